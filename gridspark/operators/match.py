@@ -1,17 +1,29 @@
 """Nearest palette entry per colour.
 
 An image repeats its colours, and a 24-bit colour has at most 2^24 values, so
-each distinct colour is matched once and the answer joined back.  The palette
-(at most 255 rows) travels as one array value; nothing is paired up.
+each distinct colour is matched once and the answer joined back.  A palette has
+at most 255 rows: it is read once and goes to the tasks as an array, each Arrow
+batch of colours is compared with it as a whole, and nothing is paired up.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.color import Lab, bayer_offset, hue, oklab_dist_sq, oklab_to_linear
-from gridspark.functions.palette import palette_array, with_oklab
+from gridspark.functions.color import (
+    LMS_FROM_LAB,
+    RGB_FROM_LMS,
+    Lab,
+    bayer_offset,
+    hue,
+    oklab_dist_sq,
+    oklab_to_linear,
+)
+from gridspark.functions.palette import PALETTE_SIZE, palette_array, palette_dim, with_oklab
 
 METRICS = ("OKLAB", "CHROMA_FIRST", "LUMA_FIRST", "HUE_ONLY", "RGB")
 ACHROMATIC_SQ = 0.04 * 0.04
@@ -19,15 +31,24 @@ GREY_PENALTY = 2.01
 RGB_KEYS = ["r", "g", "b"]
 
 
+def _once(df: DataFrame, row: Column) -> DataFrame:
+    """Append the fields of a struct, computed once per row.
+
+    A generator of one row keeps the optimizer from copying a costly
+    expression into every filter and expression that uses its fields.
+    """
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _probe(df: DataFrame, lab: Lab, metric: str) -> DataFrame:
-    """Append the values of a row that ``metric`` compares, so they are computed once per row."""
-    placed = df.withColumns({"__L": lab.L, "__a": lab.a, "__b": lab.b})
+    """Append the values of a row that ``metric`` compares."""
+    placed = _once(df, F.struct(lab.L.alias("__L"), lab.a.alias("__a"), lab.b.alias("__b")))
     here = Lab(F.col("__L"), F.col("__a"), F.col("__b"))
     if metric == "HUE_ONLY":
-        return placed.withColumns({"__hue": hue(here), "__csq": here.a * here.a + here.b * here.b})
+        return _once(placed, F.struct(hue(here).alias("__hue"), (here.a * here.a + here.b * here.b).alias("__csq")))
     if metric == "RGB":
         lin = oklab_to_linear(here)
-        return placed.withColumns({"__lr": lin.r, "__lg": lin.g, "__lb": lin.b})
+        return _once(placed, F.struct(lin.r.alias("__lr"), lin.g.alias("__lg"), lin.b.alias("__lb")))
     return placed
 
 
@@ -53,20 +74,73 @@ def _distance(metric: str, entry: Column) -> Column:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def with_best(df: DataFrame, palette: Column, lab: Lab, metric: str = "OKLAB") -> DataFrame:
-    """Append ``__m``, a ``struct(dist, id)`` of the nearest entry; the lowest id wins a tie."""
+def with_best_of(df: DataFrame, palette: Column, lab: Lab, metric: str = "OKLAB") -> DataFrame:
+    """Append ``__dist`` and ``__id`` of the nearest entry of each row's own palette array."""
     best = F.array_min(
-        F.transform(palette, lambda e: F.struct(_distance(metric, e).alias("dist"), e["id"].alias("id")))
+        F.transform(palette, lambda e: F.struct(_distance(metric, e).alias("__dist"), e["id"].alias("__id")))
     )
-    return _probe(df, lab, metric).withColumn("__m", best)
+    return _once(_probe(df, lab, metric), best)
+
+
+ENTRY = ["id", "L", "a", "b", "lr", "lg", "lb", "hue", "chroma_sq"]
+
+
+def _palette_columns(palette: DataFrame) -> dict[str, np.ndarray]:
+    """The palette (bounded to ids 1..255) as arrays ordered by id."""
+    bounded = palette_dim(palette) if "legal" not in palette.columns else palette
+    entries = palette_array(bounded).select(F.inline("palette")).limit(PALETTE_SIZE).toPandas()
+    return {name: entries[name].to_numpy() for name in ENTRY}
+
+
+def _gaps(pal: dict[str, np.ndarray], L, a, b, metric: str) -> np.ndarray:
+    """Distance of every colour (rows) to every entry (columns)."""
+
+    def sq(x, y):
+        d = np.subtract.outer(x, y)
+        return d * d
+
+    if metric == "RGB":
+        cubes = [(L + a * wa + b * wb) ** 3 for wa, wb in LMS_FROM_LAB]
+        lin = [sum(w * c for w, c in zip(row, cubes)) for row in RGB_FROM_LMS]
+        return sq(lin[0], pal["lr"]) + sq(lin[1], pal["lg"]) + sq(lin[2], pal["lb"])
+    dl, da, db = sq(L, pal["L"]), sq(a, pal["a"]), sq(b, pal["b"])
+    if metric == "CHROMA_FIRST":
+        return dl + da * 4 + db * 4
+    if metric == "LUMA_FIRST":
+        return dl * 4 + da + db
+    plain = dl + da + db
+    if metric == "HUE_ONLY":
+        turned = 1.0 - np.cos(np.subtract.outer(np.arctan2(b, a), pal["hue"]))
+        coloured = np.where(pal["chroma_sq"][None, :] < ACHROMATIC_SQ, GREY_PENALTY, turned)
+        return np.where((a * a + b * b < ACHROMATIC_SQ)[:, None], plain, coloured)
+    return plain
+
+
+def with_nearest(df: DataFrame, palette: DataFrame, lab: Lab, metric: str = "OKLAB") -> DataFrame:
+    """Append ``match_id`` and ``dist`` of the nearest entry to each row.
+
+    The lowest id wins a tie; an empty palette gives id 0 and no distance.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    pal = _palette_columns(palette)
+
+    @F.pandas_udf("match_id int, dist double")
+    def nearest(L: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        if not len(pal["id"]):
+            return pd.DataFrame({"match_id": np.zeros(len(L), np.int32), "dist": np.full(len(L), np.nan)})
+        gaps = _gaps(pal, L.to_numpy(), a.to_numpy(), b.to_numpy(), metric)
+        at = gaps.argmin(axis=1)
+        return pd.DataFrame({"match_id": pal["id"][at], "dist": gaps[np.arange(len(at)), at]})
+
+    found = df.withColumn("__m", nearest(lab.L, lab.a, lab.b))
+    return found.select(*df.columns, "__m.match_id", F.nanvl("__m.dist", F.lit(None)).alias("dist"))
 
 
 def match_colours(colours: DataFrame, palette: DataFrame, metric: str = "OKLAB") -> DataFrame:
     """Append ``match_id`` and ``dist`` (squared) to rows that are already distinct colours."""
     lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    armed = with_oklab(colours).withColumn("__pal", palette_array(palette).scalar())
-    found = with_best(armed, F.col("__pal"), lab, metric)
-    return found.select(*colours.columns, F.col("__m.id").alias("match_id"), F.col("__m.dist").alias("dist"))
+    return with_nearest(with_oklab(colours), palette, lab, metric).drop("L", "a", "lab_b")
 
 
 def nearest_match(df: DataFrame, palette: DataFrame, metric: str = "OKLAB") -> DataFrame:
@@ -88,8 +162,8 @@ def ordered_dither(
     placed = df.withColumn("__t", bayer_offset(F.col("x"), F.col("y"), size, scale))
     keys = [*RGB_KEYS, "__t"]
     shifted = Lab(F.col("L") + F.col("__t"), F.col("a") + F.col("__t"), F.col("lab_b") + F.col("__t"))
-    armed = with_oklab(placed.select(*keys).distinct()).withColumn("__pal", palette_array(palette).scalar())
-    matched = with_best(armed, F.col("__pal"), shifted, metric).select(*keys, F.col("__m.id").alias("match_id"))
+    colours = with_oklab(placed.select(*keys).distinct())
+    matched = with_nearest(colours, palette, shifted, metric).select(*keys, "match_id")
     return placed.join(matched, keys, "left").drop("__t")
 
 
@@ -123,8 +197,8 @@ def tile_palette_match(
         .join(local, tile, "left")
         .withColumn("__full", palette_array(palette).scalar())
     )
-    found = with_best(armed, F.coalesce("palette", "__full"), lab, metric)
-    matched = found.select(*keys, F.col("__m.id").alias("match_id"))
+    found = with_best_of(armed, F.coalesce("palette", "__full"), lab, metric)
+    matched = found.select(*keys, F.col("__id").alias("match_id"))
     return pixels.join(matched, keys, "left")
 
 
@@ -133,8 +207,8 @@ def nearest_other(palette: DataFrame) -> DataFrame:
     lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
     others = F.filter("__pal", lambda e: e["id"] != F.col("id"))
     armed = with_oklab(palette).withColumn("__pal", palette_array(palette).scalar())
-    found = with_best(armed, others, lab)
-    return found.select(*palette.columns, F.col("__m.id").alias("other_id"), F.col("__m.dist").alias("dist"))
+    found = with_best_of(armed, others, lab)
+    return found.select(*palette.columns, F.col("__id").alias("other_id"), F.col("__dist").alias("dist"))
 
 
 def closest_pair(counts: DataFrame, palette: DataFrame, group: list[str], weighted: bool = False) -> DataFrame:
