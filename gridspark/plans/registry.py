@@ -42,7 +42,7 @@ def with_views(sql: str) -> str:
     need(sql)
     if not needed:
         return sql
-    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    views = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {views},\n{body[len('WITH RECURSIVE'):]}"
