@@ -44,9 +44,10 @@ def append_blank(sizes: DataFrame, mode: str = "BANNER") -> DataFrame:
     """Tiles plus one empty donor row per donor the estimate asks for."""
     ends = sizes.groupBy("comp").agg(F.max("tile").alias("last"))
     wanted = donors_needed(sizes, mode).where(F.col("donors") > 0).join(ends, "comp")
-    blank = wanted.select(
+    numbered = wanted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("donors"))))
+    blank = numbered.select(
         "comp",
-        (F.col("last") + F.explode(F.sequence(F.lit(1).cast("long"), F.col("donors")))).cast("int").alias("tile"),
+        (F.col("last") + F.col("i")).cast("int").alias("tile"),
         F.lit(0).cast("long").alias("n"),
         F.lit(True).alias("donor_only"),
     )
