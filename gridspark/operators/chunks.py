@@ -15,13 +15,12 @@ def hex_index(idx: Column) -> Column:
 
 
 def chunk_explode(payloads: DataFrame, key: str, text: str, body_chars: int = BODY_CHARS) -> DataFrame:
-    """``(key, idx, body, name)``; an empty payload has no chunk."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / body_chars).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    idx = payloads.select(key, text, F.explode(starts).alias("idx"))
-    cut = idx.select(key, "idx", F.expr(f"substring({text}, idx * {body_chars} + 1, {body_chars})").alias("body"))
+    """``(key, idx, body, name)``; an empty payload has no chunk.
+
+    The text is cut in one pass before it is exploded, so no row carries it along.
+    """
+    bodies = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{body_chars}}}"), F.lit(0))
+    cut = payloads.select(key, F.posexplode(bodies).alias("idx", "body"))
     return cut.withColumn("name", F.concat(hex_index(F.col("idx")), "body"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from gridspark.session import cut_lineage
 
 BLOCK = 128
+JUMPS = 3
 ROW_STRIDE, X_OFFSET = 1 << 32, 1 << 31
 
 
@@ -98,19 +99,27 @@ def _border_edges(labelled: DataFrame, keys: list[str], block: int) -> DataFrame
 
 
 def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, node, root)`` for every node of the graph."""
-    edges = cut_lineage(edges)
-    nodes = edges.select(*keys, F.col("a").alias("node")).union(edges.select(*keys, F.col("b").alias("node"))).distinct()
-    roots = nodes.withColumn("root", F.col("node"))
+    """``(keys, node, root)`` for every node of the graph.
+
+    Each round every node hooks onto its smallest smaller neighbour, jumps
+    along those hooks, and the edges are redrawn between the new roots.  Only
+    the rounds' hooks and the shrinking edges are written out.
+    """
+    edges = cut_lineage(edges, "edges")
+    roots = (
+        edges.select(*keys, F.col("a").alias("node"))
+        .union(edges.select(*keys, F.col("b").alias("node")))
+        .distinct()
+        .withColumn("root", F.col("node"))
+    )
     while not edges.isEmpty():
-        # every node hooks onto its smallest smaller neighbour, then jumps over it twice
         hooks = edges.groupBy(*keys, F.col("b").alias("r")).agg(F.min("a").alias("p"))
-        for _ in range(2):
+        for _ in range(JUMPS):
             up = hooks.select(*keys, F.col("r").alias("p"), F.col("p").alias("pp"))
             hooks = hooks.join(up, [*keys, "p"], "left").select(*keys, "r", F.coalesce("pp", "p").alias("p"))
-        hooks = cut_lineage(hooks)
+        hooks = cut_lineage(hooks, "hooks")
         moved = roots.join(hooks.withColumnRenamed("r", "root"), [*keys, "root"], "left")
-        roots = cut_lineage(moved.select(*keys, "node", F.coalesce("p", "root").alias("root")))
+        roots = moved.select(*keys, "node", F.coalesce("p", "root").alias("root"))
         ha = hooks.select(*keys, F.col("r").alias("a"), F.col("p").alias("pa"))
         hb = hooks.select(*keys, F.col("r").alias("b"), F.col("p").alias("pb"))
         lifted = edges.join(ha, [*keys, "a"], "left").join(hb, [*keys, "b"], "left")
@@ -118,7 +127,8 @@ def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
         edges = cut_lineage(
             lifted.select(*keys, F.least(na, nb).alias("a"), F.greatest(na, nb).alias("b"))
             .where(F.col("a") != F.col("b"))
-            .distinct()
+            .distinct(),
+            "edges",
         )
     return roots
 
@@ -128,7 +138,7 @@ def components(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFra
 
     ``cells`` has ``(keys, x, y, value)``, one row per cell.
     """
-    labelled = cut_lineage(_block_labels(cells, keys, block))
+    labelled = cut_lineage(_block_labels(cells, keys, block), "labels")
     roots = _contract(_border_edges(labelled, keys, block), keys)
     found = labelled.join(roots.withColumnRenamed("node", "label"), [*keys, "label"], "left")
     return found.select(*keys, "x", "y", "value", F.coalesce("root", "label").alias("label"))

@@ -348,11 +348,11 @@ def _(spark, d):
 
 @query(
     "segment_assemble",
-    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE md5(text) END AS digest, length(text) AS total, doc_id % 4 <> 0 AS complete
-       FROM documents WHERE length(text) > 2000""",
+    """SELECT doc_id, CASE WHEN complete THEN md5(text) END AS digest, total, complete FROM
+       (SELECT doc_id, text, length(text) AS total, doc_id % 4 <> 0 OR length(text) < 2003 AS complete FROM documents WHERE length(text) > 2000)""",
 )
 def _(spark, d):
-    # every fourth receiver still waits for its last donor
+    # every fourth receiver still waits for its last donor (which has nothing to add below three bytes)
     arrived = donor_segments(spark, d).where((F.col("doc_id") % 4 != 0) | (F.col("donor") != 2)).drop("donor")
     repeats = arrived.where(F.col("doc_id") % 2 == 0)
     segments = own_segments(spark, d).unionByName(arrived).unionByName(repeats)

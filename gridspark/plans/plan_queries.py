@@ -101,7 +101,7 @@ VISITED = [1, 15, 40]
 
 @query(
     "nearest_source",
-    """SELECT q, m.l AS loc, m.d AS dist_sq FROM (SELECT q, min(struct_pack(d := (x - (q*3) % 12)*(x - (q*3) % 12) + (z - q)*(z - q), u := unknown, l := loc)) AS m
+    """SELECT q, m.l AS loc, CAST(m.d AS BIGINT) AS dist_sq FROM (SELECT q, min(struct_pack(d := (x - (q*3) % 12)*(x - (q*3) % 12) + (z - q)*(z - q), u := unknown, l := loc)) AS m
        FROM (SELECT DISTINCT loc, CAST(loc % 12 AS INT) AS x, CAST((loc - loc % 12)/12 AS INT) AS z, loc % 5 = 0 AS unknown, item, n FROM stock),
        (SELECT CAST(i AS INT) AS q FROM range(10) r(i))
        WHERE (unknown OR (item IN ('click', 'error') AND n > 20)) AND loc NOT IN (1, 15, 40) GROUP BY q)""",

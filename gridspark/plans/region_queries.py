@@ -30,7 +30,7 @@ _COMPONENTS = f"""WITH RECURSIVE g AS MATERIALIZED {_GRID}, nodes AS MATERIALIZE
 
 @query("components_equal", f"{_COMPONENTS} SELECT g.x, g.y, g.value, comp.label FROM g JOIN comp ON comp.id = g.id")
 def _(spark, d):
-    return G.components(_values(spark, d), [], block=32)
+    return G.components(_values(spark, d), [], block=64)
 
 
 @query(
@@ -39,13 +39,13 @@ def _(spark, d):
         g.y - min(g.y) OVER (PARTITION BY comp.label) AS row FROM g JOIN comp ON comp.id = g.id""",
 )
 def _(spark, d):
-    return G.grid_coords(_values(spark, d), [], block=32).select("x", "y", "label", "col", "row")
+    return G.grid_coords(_values(spark, d), [], block=64).select("x", "y", "label", "col", "row")
 
 
-SEED = (50, 40)
+SEED = (46, 4)
 _FLOOD = """WITH RECURSIVE lv AS MATERIALIZED (SELECT x, z AS y, length(item) AS n FROM cell),
-  open_cells AS MATERIALIZED (SELECT x, y FROM lv WHERE abs(n - (SELECT n FROM lv WHERE x = 50 AND y = 40)) <= 1),
-  fill(x, y) AS (SELECT x, y FROM open_cells WHERE x = 50 AND y = 40
+  open_cells AS MATERIALIZED (SELECT x, y FROM lv WHERE abs(n - (SELECT n FROM lv WHERE x = 46 AND y = 4)) <= 1),
+  fill(x, y) AS (SELECT x, y FROM open_cells WHERE x = 46 AND y = 4
     UNION SELECT o.x, o.y FROM fill f, (VALUES (1,0),(-1,0),(0,1),(0,-1)) s(dx, dy), open_cells o WHERE o.x = f.x + dx AND o.y = f.y + dy)
   SELECT x, y FROM fill"""
 
@@ -55,4 +55,4 @@ def _(spark, d):
     cells = V.cell(spark, d).select("x", F.col("z").alias("y"), F.length("item").alias("n"))
     seed = cells.where((F.col("x") == SEED[0]) & (F.col("y") == SEED[1])).agg(F.max("n")).scalar()
     near = cells.withColumn("near", F.abs(F.col("n") - seed) <= 1)
-    return G.flood_region(near, [], SEED, F.col("near"), block=32)
+    return G.flood_region(near, [], SEED, F.col("near"), block=64)

@@ -15,19 +15,16 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     n, w = F.col("nChannels"), F.col("width")
-    lines = raw.select(
-        F.col("origin").alias("image"),
-        "width",
-        "nChannels",
-        "data",
-        F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"),
-    ).select("image", "width", "nChannels", "y", F.substring("data", F.col("y") * w * n + 1, w * n).alias("line"))
-    cells = lines.select(
-        "image", "y", "nChannels", "line", F.explode(F.sequence(F.lit(0), w - 1)).alias("x")
+    # scan lines are sliced before they are exploded, so no row carries the whole image
+    scan = F.transform(
+        F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * w * n + 1, w * n)
     )
+    lines = raw.select(F.col("origin").alias("image"), "width", "nChannels", F.posexplode(scan).alias("y", "line"))
+    pixel = F.transform(F.sequence(F.lit(0), w - 1), lambda x: F.hex(F.substring("line", x * n + 1, n)))
+    cells = lines.select("image", "y", "nChannels", F.posexplode(pixel).alias("x", "hex"))
 
     def byte(k):
-        return F.conv(F.hex(F.substring("line", F.col("x") * n + F.lit(k + 1), F.lit(1))), 16, 10).cast("int")
+        return F.conv(F.substring("hex", 2 * k + 1, 2), 16, 10).cast("int")
 
     grey = n == 1
     return cells.select(

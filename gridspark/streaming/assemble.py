@@ -25,7 +25,7 @@ DAY_MS = 86_400_000
 
 PIECE_KEY = StructType([StructField("at", LongType())])
 PIECE_VALUE = StructType([StructField("body", StringType())])
-SEEN = StructType([StructField("received", LongType()), StructField("total", LongType()), StructField("done", IntegerType())])
+SEEN = StructType([StructField("total", LongType()), StructField("done", IntegerType())])
 
 
 class _Pieces(StatefulProcessor):
@@ -42,26 +42,30 @@ class _Pieces(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        received, total, done = self.seen.get() if self.seen.exists() else (0, None, 0)
+        known = self.seen.exists()
+        total, done = self.seen.get() if known else (None, 0)
+        if done:
+            return
+        fresh: dict[int, str] = {}
         for pdf in rows:
             for at, body, expected in zip(pdf["at"], pdf["body"], pdf["total"]):
                 if pd.notna(expected):
                     total = int(expected)
-                if done or at is None or pd.isna(at) or body is None:
-                    continue
-                slot = (int(at),)
-                if self.pieces.containsKey(slot):
-                    received -= self.size(self.pieces.getValue(slot)[0])
-                self.pieces.updateValue(slot, (body,))
-                received += self.size(body)
-        if not done and total is not None and received >= total:
-            ordered = sorted((k[0], v[0]) for k, v in self.pieces.iterator())
-            self.pieces.clear()
-            done = 1
-            yield pd.DataFrame(
-                [(*key, "".join(b for _, b in ordered), len(ordered))], columns=[*self.keys, "payload", "pieces"]
-            )
-        self.seen.update((received, total, done))
+                if pd.notna(at) and body is not None:
+                    fresh[int(at)] = body
+        # state is read and written only for groups that outlive a batch
+        held = {k[0]: v[0] for k, v in self.pieces.iterator()} if known else {}
+        whole = {**held, **fresh}
+        if total is not None and sum(map(self.size, whole.values())) >= total:
+            if held:
+                self.pieces.clear()
+            self.seen.update((total, 1))
+            payload = "".join(whole[at] for at in sorted(whole))
+            yield pd.DataFrame([(*key, payload, len(whole))], columns=[*self.keys, "payload", "pieces"])
+        else:
+            for at, body in fresh.items():
+                self.pieces.updateValue((at,), (body,))
+            self.seen.update((total, 0))
 
     def close(self) -> None:
         pass

@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gridspark.session import fresh_path
 from gridspark.streaming.assemble import ROCKSDB
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+# State lives in RocksDB; a drained replay needs no batches without data (an expiry
+# time would otherwise ask for one after another).
+REPLAY_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +25,9 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all data at hand into parquet in shared storage, and read that back."""
     spark = stream.sparkSession
     out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-progress")
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in REPLAY_CONF}
+    for key, value in REPLAY_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (
             stream.writeStream.format("parquet")
@@ -33,8 +39,9 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER_KEY)
-        else:
-            spark.conf.set(PROVIDER_KEY, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(out)
