@@ -24,6 +24,7 @@ from gridspark.functions.color import (
     oklab_to_linear,
 )
 from gridspark.functions.palette import PALETTE_SIZE, palette_array, palette_dim, with_oklab
+from gridspark.session import cut_lineage
 
 METRICS = ("OKLAB", "CHROMA_FIRST", "LUMA_FIRST", "HUE_ONLY", "RGB")
 ACHROMATIC_SQ = 0.04 * 0.04
@@ -144,8 +145,13 @@ def match_colours(colours: DataFrame, palette: DataFrame, metric: str = "OKLAB")
 
 
 def nearest_match(df: DataFrame, palette: DataFrame, metric: str = "OKLAB") -> DataFrame:
-    """Append ``match_id`` and ``dist`` to rows holding ``r, g, b``."""
-    matched = match_colours(df.select(*RGB_KEYS).distinct(), palette, metric)
+    """Append ``match_id`` and ``dist`` to rows holding ``r, g, b``.
+
+    The answers (at most 2^24 rows) are written once to shared storage.  The
+    planner then knows their size: it broadcasts them while they stay under
+    its threshold, so the pixels are not shuffled, and joins by shuffle beyond.
+    """
+    matched = cut_lineage(match_colours(df.select(*RGB_KEYS).distinct(), palette, metric), "colours")
     return df.join(matched, RGB_KEYS, "left")
 
 
@@ -163,7 +169,7 @@ def ordered_dither(
     keys = [*RGB_KEYS, "__t"]
     shifted = Lab(F.col("L") + F.col("__t"), F.col("a") + F.col("__t"), F.col("lab_b") + F.col("__t"))
     colours = with_oklab(placed.select(*keys).distinct())
-    matched = with_nearest(colours, palette, shifted, metric).select(*keys, "match_id")
+    matched = cut_lineage(with_nearest(colours, palette, shifted, metric).select(*keys, "match_id"), "colours")
     return placed.join(matched, keys, "left").drop("__t")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.color import Lab, half_up, oklab_dist_sq, to_byte
+from gridspark.operators.histogram import otsu_threshold
+from gridspark.session import cut_lineage
 
 
 def _line(group: list[str], other: str, along: str):
@@ -113,6 +115,18 @@ def dither_strength(contrast: DataFrame, thresholds: DataFrame, group: list[str]
     return contrast.join(thresholds, group).withColumn("strength", value).drop("threshold")
 
 
+def adaptive_strength(pixels: DataFrame, group: list[str], opaque: Column) -> DataFrame:
+    """Contrast, Otsu threshold and dither strength of ``L, a, lab_b`` pixels in one go.
+
+    The contrast feeds both the threshold and the result, so it is written
+    once; the thresholds (one row per group) are written too, which lets the
+    planner see that they are small.
+    """
+    contrast = cut_lineage(local_contrast(pixels, group, opaque), "contrast")
+    thresholds = cut_lineage(otsu_threshold(contrast, group, "contrast"), "thresholds")
+    return dither_strength(contrast, thresholds, group, opaque)
+
+
 def gaussian_kernel(radius: float) -> list[float]:
     sigma = max(0.01, radius * 0.5)
     size = max(3, int(radius * 2 + 1) | 1)

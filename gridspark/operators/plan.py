@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.payload import STACK
-from gridspark.operators.scan import row_number, scan
+from gridspark.operators.scan import row_number, rows_between, scan
 
 OK, ERRANT, OBSTRUCTION, MISSING = "OK", "ERRANT", "OBSTRUCTION", "MISSING"
 
@@ -130,8 +130,12 @@ def with_bands(cells: DataFrame, site: list[str], band_width: int, east: bool, s
     Bands of ``band_width`` columns count from the working edge (east or west);
     the row direction alternates from band to band.
     """
-    box = bounds(cells, site, "x", "z") if site else bounds(cells.withColumn("__s", F.lit(0)), ["__s"], "x", "z")
-    boxed = cells.join(box, site) if site else cells.withColumn("__s", F.lit(0)).join(box, "__s").drop("__s")
+    box = bounds(cells, site, "x", "z")
+    if site:
+        boxed = cells.join(box, site)
+    else:  # one row for the whole table: a value, not a join
+        one = cells.withColumn("__box", box.select(F.struct("*")).scalar())
+        boxed = one.select(*cells.columns, "__box.*")
     step_in = (F.col("max_x") - F.col("x")) if east else (F.col("x") - F.col("min_x"))
     band = F.floor(step_in / band_width).cast("int")
     south = (band % 2 == 0) if south_first else (band % 2 != 0)
@@ -165,19 +169,18 @@ def capped_load(
     """The prefix of the work order that fits in ``cap`` stacks of 64.
 
     A cell opens a stack when its item's running count is a multiple of 64, so
-    ``cap`` stacks never hold more than ``64 * cap`` cells: only that many per
-    site are ranked, and the rank filter drops the rest before the shuffle.
+    ``cap`` stacks never hold more than ``64 * cap`` cells.  Only the slices of
+    the walk that reach into that many first cells are ranked, which leaves a
+    handful of rows per site for the exact running counts.
     """
     banded = with_bands(cells, site, band_width, east, south_first)
-    by_site = site or ["__s"]
-    banded = banded if site else banded.withColumn("__s", F.lit(0))
-    walk = Window.partitionBy(*by_site).orderBy("walk")
-    head = banded.withColumn("seq", F.row_number().over(walk)).where(F.col("seq") <= STACK * cap)
-    nth = F.row_number().over(Window.partitionBy(*by_site, "item").orderBy("walk"))
+    head = rows_between(banded, site, "walk", F.lit(1), F.lit(STACK * cap), BLOCK_ROWS * band_width)
+    walk = Window.partitionBy(*site).orderBy("walk")
+    nth = F.row_number().over(Window.partitionBy(*site, "item").orderBy("walk"))
     opens = head.withColumn("opens", F.when((nth - 1) % STACK == 0, 1).otherwise(0))
     upto = walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stacked = opens.withColumn("stacks", F.sum("opens").over(upto))
-    return stacked.where(F.col("stacks") <= cap).select(*cells.columns, "band", "seq", "stacks")
+    return stacked.where(F.col("stacks") <= cap).select(*cells.columns, "band", F.col("row_no").alias("seq"), "stacks")
 
 
 def band_coverage(cells: DataFrame, taken: DataFrame, site: list[str], band_width: int, east: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from gridspark.functions.color import Lab
 from gridspark.functions.palette import with_oklab
 from gridspark.operators.match import RGB_KEYS, with_nearest
 from gridspark.operators.neighbours import gaussian_blur, median_filter, unsharp
+from gridspark.session import cut_lineage
 
 SIDE = 128
 
@@ -81,7 +82,7 @@ def filter_requantize(
     in_use = palette.join(chosen.select(F.col(c).alias("id")).where("id > 0").distinct(), "id", "left_semi")
     colours = with_oklab(marked.select(*RGB_KEYS).distinct())
     lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    best = with_nearest(colours, in_use, lab).select(*RGB_KEYS, "match_id")
+    best = cut_lineage(with_nearest(colours, in_use, lab).select(*RGB_KEYS, "match_id"), "colours")
     new = (
         F.when((F.col(c) == 0) | F.col("__in").isNull(), F.col(c))
         .when(F.col("alpha") < 128, F.lit(0))

@@ -320,9 +320,7 @@ def _(spark, d):
     FROM (SELECT con.*, thr.threshold AS t FROM con JOIN thr ON con.image = thr.image)""",
 )
 def _(spark, d):
-    contrast = _contrast(spark, d)
-    thresholds = H.otsu_threshold(contrast, ["image"], "contrast")
-    out = N.dither_strength(contrast, thresholds, ["image"], F.col("alpha") >= 128)
+    out = N.adaptive_strength(P.with_oklab(px_rgb(spark, d)), ["image"], F.col("alpha") >= 128)
     return out.select(*CELL, F.round("strength", 5).alias("strength"))
 
 

@@ -154,7 +154,7 @@ _LOAD = f"""(SELECT site, x, z, item, band, seq, CAST(sum(opens) OVER (PARTITION
   SELECT *, CASE WHEN (row_number() OVER (PARTITION BY site, item ORDER BY seq) - 1) % 64 = 0 THEN 1 ELSE 0 END AS opens FROM {_walk_sql(5, True, True)}))"""
 
 
-@query("capped_load", f"SELECT site, x, z, item, band, CAST(seq AS INT) AS seq, stacks FROM {_LOAD} WHERE stacks <= 36")
+@query("capped_load", f"SELECT site, x, z, item, band, seq, stacks FROM {_LOAD} WHERE stacks <= 36")
 def _(spark, d):
     return B.capped_load(_sites(spark, d), ["site"], 36, 5)
 
