@@ -467,17 +467,52 @@ def _(spark, d):
     return out
 
 
-@query("reduce_palette")
+_TARGET = 12
+_STATE_COUNTS = """(SELECT image, cur AS id, CAST(sum(n) AS BIGINT) AS n, count(*) OVER (PARTITION BY image) AS k FROM st_{s} GROUP BY image, cur)"""
+
+
+def _merge_sql(strategy: str) -> str:
+    """CTEs that replay the merges one by one: ``st_<strategy>`` holds every step."""
+    s = strategy.lower()
+    now = _STATE_COUNTS.format(s=s)
+    if strategy == R.RAREST:
+        pick = f"""SELECT v.image, v.m.id AS victim, min(struct_pack(d := {S.dist('a', 'b')}, i := b.id)).i AS survivor, v.m.n AS touched
+          FROM (SELECT image, min(struct_pack(n := n, id := id)) AS m FROM {now} WHERE k > {_TARGET} GROUP BY image) v
+          JOIN pal_lab a ON a.id = v.m.id JOIN {now} o ON o.image = v.image AND o.id <> v.m.id JOIN pal_lab b ON b.id = o.id GROUP BY v.image, v.m"""
+    else:
+        score = f"({S.dist('p', 'q')})" + ("/(a.n + b.n)" if strategy == R.WEIGHTED else "")
+        pick = f"""SELECT image, CASE WHEN m.na <= m.nb THEN m.a ELSE m.b END AS victim, CASE WHEN m.na <= m.nb THEN m.b ELSE m.a END AS survivor,
+          least(m.na, m.nb) AS touched FROM (SELECT a.image, min(struct_pack(s := {score}, a := a.id, b := b.id, na := a.n, nb := b.n)) AS m
+          FROM {now} a JOIN {now} b ON a.image = b.image AND a.id < b.id JOIN pal_lab p ON p.id = a.id JOIN pal_lab q ON q.id = b.id
+          WHERE a.k > {_TARGET} GROUP BY a.image)"""
+    return f"""st_{s} AS (SELECT image, 0 AS removed, CAST(0 AS BIGINT) AS touched, orig, orig AS cur, n FROM n0 UNION ALL
+      SELECT t.image, t.removed + 1, t.touched + m.touched, t.orig, CASE WHEN t.cur = m.victim THEN m.survivor ELSE t.cur END, t.n
+      FROM st_{s} t JOIN ({pick}) m ON m.image = t.image),
+    end_{s} AS (SELECT image, orig AS c, arg_max(cur, removed) AS "to", max(removed) AS removed, arg_max(touched, removed) AS touched FROM st_{s} GROUP BY image, orig)"""
+
+
+_N0 = "n0 AS MATERIALIZED (SELECT image, c AS orig, count(*) AS n FROM px_id WHERE c > 0 GROUP BY image, c)"
+
+
+@query(
+    "reduce_palette",
+    f"""WITH RECURSIVE {_N0}, {_merge_sql(R.WEIGHTED)} SELECT p.image, p.y, p.x, coalesce(e."to", p.c) AS c
+        FROM px_id p LEFT JOIN end_weighted e ON e.image = p.image AND e.c = p.c""",
+)
 def _(spark, d):
     pixels, pal = px_id(spark, d), P.palette_dim(V.pal(spark, d))
-    return R.reduce_palette(pixels, pal, ["image"], 12, R.WEIGHTED)
+    return R.reduce_palette(pixels, pal, ["image"], _TARGET, R.WEIGHTED)
 
 
-@query("reduction_map")
+@query(
+    "reduction_map",
+    f"WITH RECURSIVE {_N0}, {', '.join(_merge_sql(s) for s in R.STRATEGIES)} "
+    + " UNION ALL ".join(f"SELECT '{s}' AS strategy, * FROM end_{s.lower()}" for s in R.STRATEGIES),
+)
 def _(spark, d):
     pixels, pal = px_id(spark, d), P.palette_dim(V.pal(spark, d))
     out = None
     for strategy in R.STRATEGIES:
-        rows = R.reduction_map(pixels, pal, ["image"], 12, strategy).withColumn("strategy", F.lit(strategy))
+        rows = R.reduction_map(pixels, pal, ["image"], _TARGET, strategy).withColumn("strategy", F.lit(strategy))
         out = rows if out is None else out.union(rows)
     return out
