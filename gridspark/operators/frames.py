@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.payload import DEFAULT_DELAY_MS
-from gridspark.operators.scan import SLICE, WIDTH, carries, running_sum, slice_of
+from gridspark.operators.scan import SLICE, WIDTH, carries, cut, join_on, running_sum
 
 
 def _history(keys: list[str]):
@@ -38,7 +38,7 @@ def sparse_apply(patches: DataFrame, keys: list[str], frame_counts: DataFrame, a
     ``frame_counts`` has ``(anim, n_frames)``.
     """
     upto = F.coalesce(F.lead("frame").over(_history(keys)), F.col("n_frames"))
-    spans = patches.join(frame_counts, anim).withColumn("__to", upto - 1)
+    spans = join_on(patches, frame_counts, [anim]).withColumn("__to", upto - 1)
     return spans.select(*keys, F.explode(F.sequence("frame", "__to")).alias("frame"), c)
 
 
@@ -92,7 +92,7 @@ def skip_thin(frames: DataFrame, anim: str, n: int) -> DataFrame:
     f = F.col("frame")
     dropped = (f + 1) % n == 0
     heir = F.when(~dropped, f).when(f + 1 < F.col("n_frames"), f + 1).otherwise(f - 1)
-    owned = frames.join(frame_counts(frames, anim), anim).withColumn("frame", heir)
+    owned = join_on(frames, frame_counts(frames, anim), [anim]).withColumn("frame", heir)
     merged = owned.groupBy(anim, "frame").agg(F.sum("delay_ms").alias("delay_ms"))
     return merged.select(anim, skipped_index(f, n).alias("new_frame"), "frame", "delay_ms")
 
@@ -120,7 +120,7 @@ def normalize_delays(frames: DataFrame, anim: str, wanted: int) -> DataFrame:
     if wanted <= 1:
         only = frames.select(anim).distinct()
         return only.select(anim, F.lit(0).alias("frame"), F.lit(DEFAULT_DELAY_MS).alias("delay_ms"))
-    enough = frames.join(frame_counts(frames, anim), anim).where(f < wanted)
+    enough = join_on(frames, frame_counts(frames, anim), [anim]).where(f < wanted)
     kept = enough.where(F.col("n_frames") >= wanted).select(anim, "frame", "delay_ms")
     first = F.coalesce("delay_ms", F.lit(DEFAULT_DELAY_MS)).alias("delay_ms")
     filled = enough.where((F.col("n_frames") < wanted) & (f == 0)).select(
@@ -139,20 +139,17 @@ def frame_clock(
     of frames that holds the moment is scanned.
     """
     spent = running_sum(F.col("delay_ms"))
-    sliced = frames.select(anim, "frame", F.col("delay_ms").cast("long").alias("delay_ms")).withColumn(
-        SLICE, slice_of(F.col("frame"), width)
-    )
-    c = carries(sliced, [anim], {"s": spent}).withColumn(
-        "total", F.sum("__f_s").over(Window.partitionBy(anim))
-    )
+    rows = frames.select(anim, "frame", F.col("delay_ms").cast("long").alias("delay_ms"))
+    sliced, key = cut(rows, [anim], "frame", width)
+    c = carries(sliced, key, {"s": spent}).withColumn("total", F.sum("__f_s").over(Window.partitionBy(*key)))
     at = F.lit(at_ms).cast("long")
     done = (F.lit(loop_count) > 0) & (at >= F.col("total") * loop_count)
     moment = F.when(done, F.lit(0)).otherwise(at % F.col("total"))
     start = F.coalesce(F.col("__c_s"), F.lit(0))
-    hit = c.select(anim, SLICE, moment.alias("moment"), start.alias("start"), F.col("__f_s").alias("len"), done.alias("done"))
+    hit = c.select(*key, SLICE, moment.alias("moment"), start.alias("start"), F.col("__f_s").alias("len"), done.alias("done"))
     hit = hit.where((F.col("start") <= F.col("moment")) & (F.col("moment") < F.col("start") + F.col("len")))
-    local = Window.partitionBy(anim, SLICE).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sliced.join(hit, [anim, SLICE]).withColumn("until", F.col("start") + F.sum("delay_ms").over(local))
+    local = Window.partitionBy(*key, SLICE).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sliced.join(hit, [*key, SLICE]).withColumn("until", F.col("start") + F.sum("delay_ms").over(local))
     return rows.where(
         (F.col("moment") < F.col("until")) & (F.col("moment") >= F.col("until") - F.col("delay_ms"))
     ).select(anim, "frame", F.col("done").alias("finished"))

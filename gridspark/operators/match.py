@@ -86,14 +86,23 @@ def with_best_of(df: DataFrame, palette: Column, lab: Lab, metric: str = "OKLAB"
 ENTRY = ["id", "L", "a", "b", "lr", "lg", "lb", "hue", "chroma_sq"]
 
 
-def _palette_columns(palette: DataFrame) -> dict[str, np.ndarray]:
-    """The palette (bounded to ids 1..255) as arrays ordered by id."""
+Palette = dict[str, np.ndarray]
+
+
+def load_palette(palette: DataFrame | Palette) -> Palette:
+    """The palette (bounded to ids 1..255) as arrays ordered by id.
+
+    Load it once to match several inputs against it; every ``palette``
+    argument of the nearest-colour functions also takes the loaded form.
+    """
+    if isinstance(palette, dict):
+        return palette
     bounded = palette_dim(palette) if "legal" not in palette.columns else palette
     entries = palette_array(bounded).select(F.inline("palette")).limit(PALETTE_SIZE).toPandas()
     return {name: entries[name].to_numpy() for name in ENTRY}
 
 
-def _gaps(pal: dict[str, np.ndarray], L, a, b, metric: str) -> np.ndarray:
+def _gaps(pal: Palette, L, a, b, metric: str) -> np.ndarray:
     """Distance of every colour (rows) to every entry (columns)."""
 
     def sq(x, y):
@@ -117,14 +126,14 @@ def _gaps(pal: dict[str, np.ndarray], L, a, b, metric: str) -> np.ndarray:
     return plain
 
 
-def with_nearest(df: DataFrame, palette: DataFrame, lab: Lab, metric: str = "OKLAB") -> DataFrame:
+def with_nearest(df: DataFrame, palette: DataFrame | Palette, lab: Lab, metric: str = "OKLAB") -> DataFrame:
     """Append ``match_id`` and ``dist`` of the nearest entry to each row.
 
     The lowest id wins a tie; an empty palette gives id 0 and no distance.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    pal = _palette_columns(palette)
+    pal = load_palette(palette)
 
     @F.pandas_udf("match_id int, dist double")
     def nearest(L: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -138,13 +147,13 @@ def with_nearest(df: DataFrame, palette: DataFrame, lab: Lab, metric: str = "OKL
     return found.select(*df.columns, "__m.match_id", F.nanvl("__m.dist", F.lit(None)).alias("dist"))
 
 
-def match_colours(colours: DataFrame, palette: DataFrame, metric: str = "OKLAB") -> DataFrame:
+def match_colours(colours: DataFrame, palette: DataFrame | Palette, metric: str = "OKLAB") -> DataFrame:
     """Append ``match_id`` and ``dist`` (squared) to rows that are already distinct colours."""
     lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
     return with_nearest(with_oklab(colours), palette, lab, metric).drop("L", "a", "lab_b")
 
 
-def nearest_match(df: DataFrame, palette: DataFrame, metric: str = "OKLAB") -> DataFrame:
+def nearest_match(df: DataFrame, palette: DataFrame | Palette, metric: str = "OKLAB") -> DataFrame:
     """Append ``match_id`` and ``dist`` to rows holding ``r, g, b``.
 
     The answers (at most 2^24 rows) are written once to shared storage.  The
@@ -162,7 +171,7 @@ def used_entries(palette: DataFrame, colours: DataFrame, metric: str = "OKLAB")
 
 
 def ordered_dither(
-    df: DataFrame, palette: DataFrame, size: int = 4, scale: float = 0.1, metric: str = "OKLAB"
+    df: DataFrame, palette: DataFrame | Palette, size: int = 4, scale: float = 0.1, metric: str = "OKLAB"
 ) -> DataFrame:
     """Shift L, a and b by a position-dependent threshold, then match."""
     placed = df.withColumn("__t", bayer_offset(F.col("x"), F.col("y"), size, scale))

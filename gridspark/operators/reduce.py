@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gridspark.functions.palette import with_oklab
 from gridspark.operators.match import closest_pair
+from gridspark.operators.scan import join_on
 
 RAREST, CLOSEST, WEIGHTED = "RAREST", "CLOSEST", "WEIGHTED"
 STRATEGIES = (RAREST, CLOSEST, WEIGHTED)
@@ -81,7 +82,7 @@ def reduce_palette(
 ) -> DataFrame:
     """Pixels with at most ``target`` colours per group; all merges applied as one mapping."""
     mapping = reduction_map(pixels, palette, group, target, strategy, c).select(*group, c, "to")
-    out = pixels.join(mapping, [*group, c], "left").withColumn("__c", F.coalesce("to", c))
+    out = join_on(pixels, mapping, [*group, c], "left").withColumn("__c", F.coalesce("to", c))
     return out.select(*(F.col("__c").alias(c) if n == c else F.col(n) for n in pixels.columns))
 
 

@@ -11,11 +11,14 @@ partitions hold at most ``width`` distinct order values each.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
+KEY = "__key"
 WIDTH = 1 << 16
 
 
@@ -51,6 +54,25 @@ def slice_of(order: Column, width: int) -> Column:
     return F.floor(order / width).cast("long")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, so rows without a key are kept."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, (left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys))
+    return left.join(named, same, how).drop(*(f"__r_{k}" for k in keys))
+
+
+def cut(df: DataFrame, keys: list[str], order: str, width: int) -> tuple[DataFrame, list[str]]:
+    """Append the slice of each row, and its keys as one struct.
+
+    Structs with null fields compare as equal, so a null key is a group like
+    any other, and the same hash partitioning serves the join and the window.
+    """
+    sliced = df.withColumn(SLICE, slice_of(F.col(order), width))
+    if not keys:
+        return sliced, []
+    return sliced.withColumn(KEY, F.struct(*keys)), [KEY]
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -64,14 +86,14 @@ def scan(
     ``(order, *ties)`` must be unique inside a group, or the result is as
     arbitrary as a row number over ties always is.
     """
-    sliced = df.withColumn(SLICE, slice_of(F.col(order), width))
-    carry = carries(sliced, keys, outputs)
+    sliced, key = cut(df, keys, order, width)
+    carry = carries(sliced, key, outputs)
     local = (
-        Window.partitionBy(*keys, SLICE)
+        Window.partitionBy(*key, SLICE)
         .orderBy(order, *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = sliced.join(carry, [*keys, SLICE])
+    joined = sliced.join(carry, [*key, SLICE])
     scanned = {name: run.combine(F.col(f"__c_{name}"), run.scan.over(local)) for name, run in outputs.items()}
     return joined.select(*df.columns, *(c.alias(name) for name, c in scanned.items()))
 
@@ -96,15 +118,15 @@ def rows_between(
     Only the slices that reach into the range are ranked.  The bounds may use
     ``total``, the row count of the group.
     """
-    sliced = df.withColumn(SLICE, slice_of(F.col(order), width))
-    counts = carries(sliced, keys, {"n": row_number()})
-    total = F.sum("__f_n").over(Window.partitionBy(*keys))
+    sliced, key = cut(df, keys, order, width)
+    counts = carries(sliced, key, {"n": row_number()})
+    total = F.sum("__f_n").over(Window.partitionBy(*key))
     before = F.coalesce(F.col("__c_n"), F.lit(0))
     hit = (
-        counts.select(*keys, SLICE, before.alias("before"), F.col("__f_n").alias("n"), total.alias("total"))
+        counts.select(*key, SLICE, before.alias("before"), F.col("__f_n").alias("n"), total.alias("total"))
         .withColumns({"first": first, "last": last})
         .where((F.col("before") < F.col("last")) & (F.col("before") + F.col("n") >= F.col("first")))
     )
-    local = Window.partitionBy(*keys, SLICE).orderBy(order)
-    numbered = sliced.join(hit, [*keys, SLICE]).withColumn("row_no", F.col("before") + F.row_number().over(local))
+    local = Window.partitionBy(*key, SLICE).orderBy(order)
+    numbered = sliced.join(hit, [*key, SLICE]).withColumn("row_no", F.col("before") + F.row_number().over(local))
     return numbered.where(F.col("row_no").between(F.col("first"), F.col("last"))).select(*df.columns, "row_no", "total")

@@ -259,7 +259,7 @@ _P_LIN = f"(SELECT id, L, a, lb, {S.lin('r')} AS lr, {S.lin('g')} AS lg, {S.lin(
     ),
 )
 def _(spark, d):
-    src, pal = V.opaque_rgb(spark, d), P.palette_dim(V.pal(spark, d))
+    src, pal = V.opaque_rgb(spark, d), M.load_palette(P.palette_dim(V.pal(spark, d)))
     out = None
     for metric in M.METRICS:
         rows = M.nearest_match(src, pal, metric).select(
@@ -304,7 +304,7 @@ def _placed(spark, d) -> DataFrame:
     ),
 )
 def _(spark, d):
-    src, pal = _placed(spark, d), P.palette_dim(V.pal(spark, d))
+    src, pal = _placed(spark, d), M.load_palette(P.palette_dim(V.pal(spark, d)))
     out = None
     for size in (2, 4, 8, 16):
         rows = M.ordered_dither(src, pal, size, 0.12).select(F.lit(size).alias("size"), "id", "match_id")

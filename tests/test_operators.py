@@ -28,7 +28,7 @@ rnd = random.Random(7)
 
 def test_scan_spreads_a_hot_group(spark):
     # one key holds most rows; slices of 16 order values
-    data = [("hot" if i % 5 else f"k{i % 7}", i - 300, rnd.randrange(100)) for i in range(1200)]
+    data = [("hot" if i % 5 else (f"k{i % 7}" if i % 7 else None), i - 300, rnd.randrange(100)) for i in range(1200)]
     df = spark.createDataFrame(data, "k string, o long, v int")
     out = S.scan(
         df,
