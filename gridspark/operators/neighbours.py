@@ -36,10 +36,15 @@ def _clamped(col: str, k: int, w) -> Column:
 
 
 def edge_count(pixels: DataFrame, group: list[str], tile: int = 128, c: str = "c") -> DataFrame:
-    """How many 4-neighbours differ, never looking across a tile edge."""
+    """How many 4-neighbours differ, never looking across a tile edge.
+
+    Both directions stay inside a tile, so one shuffle by tile serves both.
+    """
     cut = pixels.withColumns({"__tx": F.floor(F.col("x") / tile), "__ty": F.floor(F.col("y") / tile)})
-    across = _line([*group, "__tx"], "y", "x")
-    down = _line([*group, "__ty"], "x", "y")
+    by_tile = [*group, "__tx", "__ty"]
+    cut = cut.repartition(*by_tile)
+    across = _line(by_tile, "y", "x")
+    down = _line(by_tile, "x", "y")
 
     def differs(k, w):
         return F.when(_shift(c, k, w) != F.col(c), 1).otherwise(0)
