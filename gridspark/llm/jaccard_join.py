@@ -91,8 +91,9 @@ def _heads(tokens: np.ndarray) -> np.ndarray:
 
 
 def _features(texts: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, digest, n`` per row, and rows ``block, counts`` of each task's sketch."""
-    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """``doc_id, text_key, digest, n`` per row, and rows ``block, counts`` of each task's sketch."""
+    names = (("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()))
+    out = pa.schema(names)
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -104,15 +105,17 @@ def _features(texts: DataFrame, rule: Rule) -> DataFrame:
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
             empty = pa.nulls(len(sizes))
-            columns = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())]
+            known = [batch.column("doc_id"), batch.column("text_key")]
+            columns = [*known, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())]
             yield pa.record_batch(columns, schema=out)
         if not sketch.any():
             return
         for block, part in enumerate(np.split(sketch, SKETCH_BLOCKS)):
-            row = [[None], [None], [None], [block], [zlib.compress(part.tobytes(), 1)]]
+            row = [[None], [None], [None], [None], [block], [zlib.compress(part.tobytes(), 1)]]
             yield pa.record_batch([pa.array(v, f.type) for v, f in zip(row, out)], schema=out)
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, n long, block int, counts binary")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, digest binary, n long, block int, counts binary")
 
 
 def _frequent_bits(sketches: DataFrame, total: int) -> np.ndarray:
@@ -257,12 +260,12 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(side_a, "a").join(side_b, "b").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, n_shingles, component_id`` per row."""
+def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, n, root`` per row; rows of one root are linked, a row without words has none."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut_lineage(_features(texts, rule), "jaccard-features")
-    members = rows.where(F.col("block").isNull()).select("doc_id", "digest", "n")
+    members = rows.where(F.col("block").isNull()).select("doc_id", "text_key", "digest", "n")
     total = members.agg(F.sum("n").alias("total")).first()["total"] or 0
     frequent = _frequent_bits(rows.where(F.col("block").isNotNull()).select("block", "counts"), total)
     bits = spark.sparkContext.broadcast(np.packbits(frequent).tobytes())
@@ -306,12 +309,33 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
             groups = cut_lineage(connected(links), "jaccard-groups")
         low, high = high, high * 2
 
-    root = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_digest = root.join(lowest, "root").select("digest", "component_id")
-    linked = members.join(by_digest, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return linked.select("doc_id", "digest", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    root = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return members.join(root, "digest", "left").select("doc_id", "text_key", "n", "root")
+
+
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row; the component is the smallest id reachable by links."""
+    rows = cut_lineage(jaccard_groups(docs, rule, id_col, text_col), "jaccard-rows")
+    lowest = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(lowest, "root", "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id (null last); rows without words all stay."""
+    groups = jaccard_groups(docs, rule, id_col, text_col).where(F.col("root").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    chosen = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
+    chosen = cut_lineage(chosen, "jaccard-chosen")
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(has_words).withColumn("__text", F.xxhash64(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    kept = keyed.join(chosen, same, "left_semi")
+    # equal rows are one group as well
+    order = Window.partitionBy(F.col(id_col), "__text").orderBy(F.lit(0))
+    kept = kept.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", "__text")
+    return kept.unionByName(docs.where(~has_words))
 
 
 def _open(shared: DataFrame, groups: DataFrame, done: int) -> DataFrame | None:

@@ -14,8 +14,7 @@ one task: a window sorts about a millionth of it.
 
 Cases: null texts have size 0 and are taken 0 times; a null source is a source
 of its own, last in order; equal rows are told apart by nothing and taken in any
-order, which gives equal results; empty tables give no rows.  Columns of the
-input named like an output are replaced by it.
+order, which gives equal results; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -76,6 +75,60 @@ def _cut(rows: DataFrame, by: list[str], bucket: str) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int) -> DataFrame:
+    """``docs`` with the size, the sampling key and the two buckets of every row."""
+    size = size_of(F.col(text_col))
+    weight = quality_weight(F.col("__size"), F.coalesce(F.length(text_col), F.lit(0)))
+    # 1 - exp(-key) is monotone in the key and lies in [0, 1): its leading digits are the two levels of buckets
+    even = (1 - F.exp(-F.col("__key"))) * buckets
+    second = (F.col("__even") - F.floor("__even")) * buckets
+    return (
+        docs.withColumn("__size", size)
+        .withColumn("__key", -F.log(unit_interval(F.col(id_col), "mix")) / weight)
+        .withColumn("__even", even)
+        .withColumn("__b1", F.least(F.floor("__even"), F.lit(buckets - 1)).cast("int"))
+        .withColumn("__b2", F.least(F.floor(second), F.lit(buckets - 1)).cast("int"))
+        .withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
+        .withColumn("__at", F.struct(F.col("__key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+        .drop("__even")
+    )
+
+
+def plan_mix(keyed: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """One row per source: its size, target, whole epochs, and where its keys are cut."""
+    names = F.when(F.col("__src") != "", F.substring("__src", 2, 1 << 30)).alias("src")
+    sizes = keyed.groupBy("__src").agg(F.sum("__size").alias("source_size")).select(names, "source_size")
+    targets = source_targets(sizes, weights, max_epochs)
+    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = targets.withColumn("epochs", F.least(ratio, F.lit(max_epochs)).cast("long"))
+    plan = plan.withColumn("budget", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
+    plan = cut_lineage(plan.withColumn("__src", F.coalesce(F.concat(F.lit("="), "src"), F.lit(""))).drop("src"), "mix-plan")
+
+    rows = keyed.select("__src", "__b1", "__b2", "__at", F.col("__size").alias("size"))
+    active = rows.join(plan.where(F.col("budget") > 0).select("__src", "budget"), "__src")
+    cut1 = _cut(active, ["__src"], "__b1").withColumnsRenamed({"cut": "cut1", "spent": "spent1"})
+    cut1 = cut_lineage(cut1, "mix-cut1")
+    inside = active.join(cut1, "__src").where(F.col("__b1") == F.col("cut1")).withColumn("budget", F.col("budget") - F.col("spent1"))
+    cut2 = _cut(inside, ["__src"], "__b2").withColumnsRenamed({"cut": "cut2", "spent": "spent2"})
+    cut2 = cut_lineage(cut2, "mix-cut2")
+    last = inside.join(cut2, "__src").where(F.col("__b2") == F.col("cut2"))
+    order = Window.partitionBy("__src").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("through", F.sum("size").over(order))
+    # the document at the budget comes in when more than half of it lies below
+    chosen = last.where(F.col("through") - F.col("size") / 2.0 < F.col("budget") - F.col("spent2"))
+    border = chosen.groupBy("__src").agg(F.max("__at").alias("border"))
+    cuts = cut1.select("__src", "cut1").join(cut2.select("__src", "cut2"), "__src").join(border, "__src", "left")
+    return cut_lineage(plan.join(cuts, "__src", "left"), "mix-ends")
+
+
+def copies(max_epochs: int) -> Column:
+    """How often the mix takes a row of ``_keyed`` joined with its source's plan."""
+    early = (F.col("__b1") < F.col("cut1")) | ((F.col("__b1") == F.col("cut1")) & (F.col("__b2") < F.col("cut2")))
+    at_cut = (F.col("__b1") == F.col("cut1")) & (F.col("__b2") == F.col("cut2"))
+    extra = F.coalesce(early | (at_cut & F.coalesce(F.col("__at") <= F.col("border"), F.lit(False))), F.lit(False))
+    return F.least(F.col("epochs") + extra.cast("long"), F.lit(max_epochs).cast("long"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,58 +136,30 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
-    keep: list[str] | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """``keep`` columns (default: the id) with size, source_size, target and taken (words taken, repeats counted)."""
-    keep = [id_col] if keep is None else keep
-    size = size_of(F.col(text_col))
-    chars = F.coalesce(F.length(text_col), F.lit(0))
-    u = unit_interval(F.col(id_col), "mix")
-    small = docs.select(
-        F.col(id_col).alias("__id"),
-        F.col(source_col).alias("src"),
-        F.xxhash64(text_col).alias("__text"),
-        *[F.col(c).alias(f"__keep_{c}") for c in keep],
-        size.alias("size"),
-        chars.alias("chars"),
-        u.alias("u"),
-    )
-    small = small.withColumn("key", -F.log("u") / quality_weight(F.col("size"), F.col("chars"))).drop("u", "chars")
-    # 1 - exp(-key) is monotone in the key and lies in [0, 1): its leading digits are the two levels of buckets
-    even = (1 - F.exp(-F.col("key"))) * buckets
-    first = F.least(F.floor(even), F.lit(buckets - 1)).cast("int")
-    second = F.least(F.floor((even - F.floor(even)) * buckets), F.lit(buckets - 1)).cast("int")
-    small = cut_lineage(small.withColumn("b1", first).withColumn("b2", second), "mix-keys")
+    """``doc_id, size, source_size, target, taken`` per row; ``taken`` counts words, repeats included."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    keyed = cut_lineage(_keyed(narrow, "doc_id", "text", "source", buckets).drop("text", "source"), "mix-keys")
+    rows = keyed.join(plan_mix(keyed, weights, max_epochs), "__src")
+    return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies(max_epochs)).alias("taken"))
 
-    targets = source_targets(small.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    epochs = F.least(ratio, F.lit(max_epochs)).cast("long")
-    plan = targets.withColumn("epochs", epochs)
-    plan = plan.withColumn("budget", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
-    plan = cut_lineage(plan.withColumn("src_key", F.coalesce(F.concat(F.lit("="), "src"), F.lit(""))), "mix-plan")
-
-    keyed = small.withColumn("src_key", F.coalesce(F.concat(F.lit("="), "src"), F.lit("")))
-    rows = keyed.join(plan.drop("src"), "src_key")
-    active = rows.where(F.col("budget") > 0)
-    cut1 = _cut(active, ["src_key"], "b1").withColumnsRenamed({"cut": "cut1", "spent": "spent1"})
-    inside = active.join(cut1, "src_key").where(F.col("b1") == F.col("cut1")).withColumn("budget", F.col("budget") - F.col("spent1"))
-    cut2 = _cut(inside, ["src_key"], "b2").withColumnsRenamed({"cut": "cut2", "spent": "spent2"})
-    ends = cut_lineage(cut1.join(cut2, "src_key"), "mix-cuts")
-
-    last = inside.drop("cut1", "spent1").join(ends, "src_key").where(F.col("b2") == F.col("cut2"))
-    order = Window.partitionBy("src_key").orderBy("key", "__id", "__text", "size")
-    through = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("left", F.col("budget") - F.col("spent2")).withColumn("through", through)
-    # the document at the budget comes in when more than half of it lies below
-    chosen = last.where(F.col("through") - F.col("size") / 2.0 < F.col("left"))
-    border = chosen.groupBy("src_key").agg(F.max(F.struct("key", "__id", "__text", "size")).alias("border"))
-    ends = cut_lineage(ends.join(border, "src_key", "left"), "mix-ends")
-
-    marked = rows.join(ends.select("src_key", "cut1", "cut2", "border"), "src_key", "left")
-    here = F.struct("key", "__id", "__text", "size")
-    early = (F.col("b1") < F.col("cut1")) | ((F.col("b1") == F.col("cut1")) & (F.col("b2") < F.col("cut2")))
-    at_cut = (F.col("b1") == F.col("cut1")) & (F.col("b2") == F.col("cut2"))
-    extra = F.when(F.col("cut1").isNull(), F.lit(False)).otherwise(early | (at_cut & F.coalesce(here <= F.col("border"), F.lit(False))))
-    taken = F.col("size") * F.least(F.col("epochs") + extra.cast("long"), F.lit(max_epochs).cast("long"))
-    return marked.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """The mix itself: every column of ``docs``, each row as often as it is taken (texts without words never).
+
+    The plan is one row per source, so the texts are repeated where they are read.
+    """
+    keyed = _keyed(docs, id_col, text_col, source_col, buckets)
+    small = cut_lineage(keyed.select("__src", "__b1", "__b2", "__at", "__size"), "mix-keys")
+    rows = keyed.join(plan_mix(small, weights, max_epochs), "__src")
+    times = F.when(F.col("__size") > 0, copies(max_epochs)).otherwise(0).cast("int")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")

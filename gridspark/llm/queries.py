@@ -7,16 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, gam_quality, jaccard_join, line_frequency, mixing, token_count, warc
+from gridspark.llm import byte_bpe, gam_quality, graph_ann, jaccard_join, language_id, line_frequency, mixing, pii_tagger, token_count, warc
 from gridspark.llm.text import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.learn(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.line_frequency(read(spark, folder, "documents"))
 
 
+def op3_pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = pii_tagger.tag_documents(docs, pii_tagger.learn(docs))
+    counts = [f"n_{kind}" for kind in pii_tagger.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+def op4_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_ann.nearest(read(spark, folder, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_count.count_tokens(read(spark, folder, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -47,5 +64,95 @@ def op10_gam_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_line_frequency, op5_token_counts, op6_source_mix, op7_byte_bpe, op8_warc, op9_ngram_jaccard, op10_gam_quality)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_line_frequency,
+        op3_pii_tagger,
+        op4_graph_ann,
+        op5_token_counts,
+        op6_source_mix,
+        op7_byte_bpe,
+        op8_warc,
+        op9_ngram_jaccard,
+        op10_gam_quality,
+    )
+}
+
+_LINES = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT rid, pos, array_to_string(list_slice(ws, pos, pos + 2), ' ') AS three
+        FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS pos FROM w WHERE len(ws) > 2)),
+twice AS (SELECT rid, three FROM win GROUP BY ALL HAVING count(*) > 1),
+again AS (SELECT rid, count(DISTINCT at) AS n_repeat_words
+          FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS at FROM win JOIN twice USING (rid, three)) GROUP BY rid),
+ln AS (SELECT rid, source, line, regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^\x20\x09-\x0D]+') AS ws
+       FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+live AS (SELECT rid, source, line, len(ws) AS words, array_to_string(ws, ' ') AS norm FROM ln WHERE len(ws) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM live GROUP BY rid),
+often AS (SELECT coalesce(source, '') AS host, source IS NULL AS no_host, norm FROM live GROUP BY ALL HAVING count(DISTINCT rid) > 100),
+gone AS (SELECT rid, sum(words) AS removed_words FROM live JOIN often
+         ON coalesce(source, '') = host AND (source IS NULL) = no_host AND live.norm = often.norm GROUP BY rid),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+      CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+      FROM w LEFT JOIN dup USING (rid) LEFT JOIN again USING (rid) LEFT JOIN gone USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words - removed_words >= n_words * 0.5 AS kept FROM b
+"""
+
+_MIX = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           length(coalesce(text, '')) AS chars,
+           (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+k AS (SELECT *, -ln(CAST(u AS DOUBLE)) / greatest(0.1::DOUBLE, least(1.0::DOUBLE,
+      1.0::DOUBLE - abs(chars::DOUBLE / greatest(size, 1)::DOUBLE - 6.5::DOUBLE) / 10.0::DOUBLE)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 3 * source_size AS cap FROM s),
+f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS weight_left
+      FROM w WINDOW o AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, cap * weight_left <= rest * w AS is_full FROM f),
+l AS (SELECT max(weight_left) FILTER (NOT is_full) AS top, arg_max(rest, weight_left) FILTER (NOT is_full) AS top_rest FROM g),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (top_rest * w)::DOUBLE / top::DOUBLE END AS target FROM g, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, source_size, target, epochs, target - (epochs * source_size)::DOUBLE AS budget,
+      sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS through
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * least(3, epochs + CASE WHEN budget > 0 AND through - size / 2.0 < budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hexed FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hexed) AS top FROM h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(hexed, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM g
+"""
+
+_JACCARD = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+       ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+#: The tokenizers, the trained models and the approximate search have no SQL form; the tests hold them against plain versions.
+CHECKS: dict[str, str] = {
+    "op2_line_frequency": _LINES,
+    "op6_source_mix": _MIX,
+    "op8_warc": _WARC,
+    "op9_ngram_jaccard": _JACCARD,
 }
