@@ -85,8 +85,8 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 win AS (SELECT rid, pos, array_to_string(list_slice(ws, pos, pos + 2), ' ') AS three
         FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS pos FROM w WHERE len(ws) > 2)),
 twice AS (SELECT rid, three FROM win GROUP BY ALL HAVING count(*) > 1),
-again AS (SELECT rid, count(DISTINCT at) AS n_repeat_words
-          FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS at FROM win JOIN twice USING (rid, three)) GROUP BY rid),
+again AS (SELECT rid, count(DISTINCT place) AS n_repeat_words
+          FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS place FROM win JOIN twice USING (rid, three)) GROUP BY rid),
 ln AS (SELECT rid, source, line, regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
               'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^\x20\x09-\x0D]+') AS ws
        FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)),
