@@ -1,12 +1,16 @@
 """Connected components of a graph of links, by hooking and contraction.
 
-Every round each node takes the smallest neighbour below it, follows two such
-steps, and the edges are drawn anew between what they lead to.  Rounds shrink
-the edges and are written to the shared folder.
+Every round a task first replaces its edges by a spanning forest whose trees
+point at their smallest node, which needs no more memory than the edges.  Then
+each node takes the smallest neighbour below it, follows two such steps, and
+the edges are drawn anew between what they lead to.  Rounds shrink the edges
+and are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +22,33 @@ def _follow(rows: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
     return rows.join(up, column, "left").withColumn(column, F.coalesce("parent", column)).drop("parent")
 
 
+def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's tree, for edges between positions of ``nodes`` (sorted)."""
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        if np.array_equal(root[a], root[b]):
+            return root
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def _forest(batches):
+    ends = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    a = np.concatenate([e[0] for e in ends]) if ends else np.empty(0, np.int64)
+    b = np.concatenate([e[1] for e in ends]) if ends else np.empty(0, np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = nodes[_roots(nodes, at[: len(a)], at[len(a) :])]
+    tree = root != nodes
+    yield pa.RecordBatch.from_arrays([pa.array(root[tree]), pa.array(nodes[tree])], ["a", "b"])
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); the root is the smallest node of the component."""
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = cut_lineage(edges, "edges")
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    edges = cut_lineage(edges.mapInArrow(_forest, "a long, b long").distinct(), "edges")
     roots = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
@@ -29,7 +56,6 @@ def connected(links: DataFrame) -> DataFrame:
         hooks = cut_lineage(twice.select("node", F.col("up").alias("parent")), "hooks")
         roots = cut_lineage(_follow(roots, "root", hooks), "roots")
         moved = _follow(_follow(edges, "a", hooks), "b", hooks)
-        edges = cut_lineage(
-            moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges"
-        )
+        moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+        edges = cut_lineage(moved.mapInArrow(_forest, "a long, b long").distinct(), "edges")
     return roots

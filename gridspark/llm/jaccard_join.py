@@ -12,9 +12,9 @@ tells, and one bit of it per counter is broadcast.
 
 Equal sets are one node.  A bucket of n nodes is not expanded into pairs: its
 smallest node is compared with the others; afterwards only pairs in different
-groups matter, and of those the next 1, 2, 4, ... nodes of the bucket are
-compared with the later ones, until every bucket lies in one group or has had
-all its pairs.  So no link between groups is lost and a bucket of near copies
+groups matter, and of those the nodes of rank 1 to 31, then 32 to 1023, ... of
+the bucket are compared with the later ones, until every bucket lies in one
+group or has had all its pairs.  So no link between groups is lost and a bucket of near copies
 costs one comparison per node.  Pairs are refuted on their prefixes where
 these already differ too much; the rest is compared on the whole sets.
 
@@ -41,9 +41,10 @@ from gridspark.llm.text import mix, utf8_views, window_hashes, word_hashes, word
 from gridspark.session import cut_lineage
 
 SKETCH_BITS = 22
-SKETCH_BLOCKS = 64
+SKETCH_BLOCKS = 16
 WANTED_BITS = 24
 COMBINATION = 2
+STEP = 32
 _U = np.uint64
 
 
@@ -285,8 +286,10 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     firsts = prefixes.select("node", "n", "first")
     with_node = nodes.select("node", "doc_id", "digest")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame | None:
         possible = cut_lineage(_possible(pairs, firsts, rule, bits), "jaccard-possible")
+        if possible.isEmpty():
+            return None
         wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct().join(with_node, "node")
         wanted = cut_lineage(wanted, "jaccard-wanted")
         slots = spark.sparkContext.broadcast(_wanted_bits(wanted.select("doc_id")).tobytes())
@@ -295,19 +298,22 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         sets = chosen.alias("s").join(wanted.alias("w"), match).select("w.node", "s.set").dropDuplicates(["node"])
         return cut_lineage(_links(possible, cut_lineage(sets, "jaccard-sets"), rule), "jaccard-links")
 
-    links = verified(pairs)
-    groups = cut_lineage(connected(links), "jaccard-groups")
-    low, high = 1, 2
+    groups = nodes.select("node", F.col("node").alias("root")).limit(0)
+    low, high = 0, 1
     while True:
+        links = verified(pairs)
+        if links is not None:
+            # links between the groups so far join them; a group's root is its smallest node
+            moved = _rooted(_rooted(links, "a", groups), "b", groups)
+            merged = cut_lineage(connected(moved), "jaccard-merged")
+            joined = groups.select("node", F.col("root").alias("at")).union(merged.select("node", F.col("node").alias("at")))
+            joined = joined.groupBy("node").agg(F.min("at").alias("root"))
+            groups = cut_lineage(_rooted(joined, "root", merged), "jaccard-groups")
+        low, high = high, high * STEP
         open_rows = _open(shared, groups, low)
         if open_rows is None:
             break
         pairs = _between(open_rows, low, high)
-        more = verified(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            groups = cut_lineage(connected(links), "jaccard-groups")
-        low, high = high, high * 2
 
     root = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return members.join(root, "digest", "left").select("doc_id", "text_key", "n", "root")
@@ -338,6 +344,12 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id",
     return kept.unionByName(docs.where(~has_words))
 
 
+def _rooted(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """``rows`` with the nodes of ``column`` replaced by the roots of their groups."""
+    up = groups.select(F.col("node").alias(column), F.col("root").alias("__root"))
+    return rows.join(up, column, "left").withColumn(column, F.coalesce("__root", column)).drop("__root")
+
+
 def _open(shared: DataFrame, groups: DataFrame, done: int) -> DataFrame | None:
     """Rows of the buckets that hold several groups and still have uncompared pairs, with each node's rank; None if none."""
     rows = shared.select("token", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
