@@ -29,7 +29,7 @@ HUGE = 50_000
 CHUNK = 16_384
 OVERLAP = 512
 AGREE = 3
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 WHITE = r"\t-\r\x1c- \x85\xa0  -     　"
 #: A space behind a character that no definition counts as white space.
