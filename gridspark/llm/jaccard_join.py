@@ -144,7 +144,7 @@ def _frequent_bits(sketches: DataFrame, total: int) -> np.ndarray:
 def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """What a set is indexed under, and its first tokens in the common order."""
     n = len(tokens)
-    often = frequent[_slots(tokens)] 
+    often = frequent[_slots(tokens)]
     rare, common = tokens[~often], tokens[often]
     p = rule.prefix(n)
     first = np.concatenate([rare, common])[: 2 * p]
@@ -305,7 +305,7 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         if links is not None:
             # links between the groups so far join them; a group's root is its smallest node
             moved = _rooted(_rooted(links, "a", groups), "b", groups)
-            merged = cut_lineage(connected(moved), "jaccard-merged")
+            merged = connected(moved)
             joined = groups.select("node", F.col("root").alias("at")).union(merged.select("node", F.col("node").alias("at")))
             joined = joined.groupBy("node").agg(F.min("at").alias("root"))
             groups = cut_lineage(_rooted(joined, "root", merged), "jaccard-groups")

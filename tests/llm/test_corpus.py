@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from gridspark.llm import byte_bpe, gam_quality, graph_ann, jaccard_join, language_id, line_frequency, mixing, pii_tagger, token_count, warc
+from gridspark.llm import byte_bpe, components, gam_quality, graph_ann, jaccard_join, language_id, line_frequency, mixing, pii_tagger, token_count, warc
 from gridspark.llm.queries import CHECKS, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -139,6 +139,17 @@ def test_jaccard(spark, odd, none, monkeypatch):
     assert kept.count() == len(alone) + len({c for _, n, c in want if n})
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 40, 0])
+def test_components(spark, monkeypatch, one_task):
+    """Paths, a star and loops, labelled in one task, after some rounds, and by rounds alone."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(300, 299), (299, 300), (7, 7)]
+    want = {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}, 299: 299, 300: 299}
+    got = components.connected(spark.createDataFrame(links[::-1], "a long, b long").repartition(5))
+    assert {r.node: r.root for r in got.collect()} == want
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_frequent_tokens_find_every_link():
     """With any choice of frequent tokens two sets that link share an index token."""
     rng = np.random.default_rng(5)
