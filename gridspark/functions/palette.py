@@ -61,15 +61,19 @@ def map_palette(spark: SparkSession) -> DataFrame:
 def palette_dim(rows: DataFrame) -> DataFrame:
     """``(id, r, g, b)`` rows as a palette with a derived ``legal`` flag.
 
-    Keeping one row per id in 1..255 bounds the result at 255 rows, whatever
-    the input holds; that bound is what lets other operators carry a palette
-    as one array value.
+    One row per id in 1..255 bounds the result at 255 rows, which lets other
+    operators carry a palette as one array value.  Another id, or one id with
+    two colours, is an error.
     """
     entry = F.struct("r", "g", "b")
+    in_range = F.coalesce(F.col("id").between(1, PALETTE_SIZE - 1), F.lit(False))
+    known = F.when(in_range, F.col("id")).otherwise(F.raise_error("a palette id lies in 1..255"))
+    single = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.raise_error("a palette id has two colours"))
     return (
-        rows.where(F.col("id").between(1, PALETTE_SIZE - 1))
+        rows.withColumn("id", known)
         .groupBy("id")
-        .agg(F.min(entry).alias("e"))
+        .agg(F.min(entry).alias("lo"), F.max(entry).alias("hi"))
+        .select("id", single.alias("e"))
         .select("id", "e.r", "e.g", "e.b", is_legal(F.col("id")).alias("legal"))
     )
 

@@ -98,19 +98,22 @@ def route_segments(segments: DataFrame, receivers: DataFrame, key: list[str]) ->
 
 
 def segment_assemble(segments: DataFrame, key: list[str], total: str = "total") -> DataFrame:
-    """Receiver payload from ``(key, offset, body, total)`` pieces in offset order.
+    """Receiver payload from ``(key, offset, body, total)`` pieces placed at their offsets.
 
-    Repeats of an offset are folded first; complete once enough has arrived.
+    Repeats of an offset are folded first (the greatest body stays); where
+    pieces overlap, the one that starts later counts.  ``received`` counts the
+    characters up to the first gap, where the payload ends too; it is complete
+    when they reach the total.
     """
     once = segments.groupBy(*key, "offset").agg(F.max("body").alias("__b"), F.max(total).alias("__t"))
     ordered = F.array_sort(F.collect_list(F.struct("offset", F.col("__b").alias("b"))))
-    whole = once.groupBy(*key).agg(
-        ordered.alias("__s"), F.sum(F.length("__b")).alias("received"), F.max("__t").alias("total")
-    )
-    return whole.select(
-        *key,
-        F.array_join(F.transform("__s", lambda s: s["b"]), "").alias("payload"),
-        "received",
-        "total",
-        (F.col("received") >= F.col("total")).alias("complete"),
-    )
+    whole = once.groupBy(*key).agg(ordered.alias("__s"), F.max("__t").alias("total"))
+
+    def place(acc: Column, s: Column) -> Column:
+        at, upto = s["offset"].cast("int"), (s["offset"] + F.length(s["b"])).cast("int")
+        over = F.concat(F.substring(acc, F.lit(1), at), s["b"], F.substring(acc, upto + 1, F.length(acc)))
+        return F.when((s["offset"] > F.length(acc)) | s["b"].isNull(), acc).otherwise(over)
+
+    placed = whole.select(*key, F.aggregate("__s", F.lit(""), place).alias("payload"), "total")
+    received = F.length("payload").cast("long")
+    return placed.select(*key, "payload", received.alias("received"), "total", (received >= F.col("total")).alias("complete"))

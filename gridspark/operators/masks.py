@@ -87,9 +87,14 @@ def remap(
 ) -> DataFrame:
     """Replace ``c`` by ``mapping(id, to)``; unmapped rows, and rows out of scope, keep it.
 
-    Ids are bytes, so the mapping has at most 256 rows and is broadcast.
+    Ids are bytes, so the mapping has at most 256 rows and is broadcast.  An id
+    beyond that, or one with two targets, is an error.
     """
-    bounded = mapping.where(F.col("id").between(0, 255)).groupBy("id").agg(F.min("to").alias("__to"))
+    in_range = F.coalesce(F.col("id").between(0, 255), F.lit(False))
+    byte = F.when(in_range, F.col("id")).otherwise(F.raise_error("a mapped id lies in 0..255"))
+    single = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(F.raise_error("an id is mapped twice"))
+    targets = mapping.withColumn("id", byte).groupBy("id").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
+    bounded = targets.select("id", single.alias("__to"))
     hit = pixels[c] == bounded["id"]
     if scope is not None:
         hit = hit & scope

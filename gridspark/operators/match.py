@@ -98,7 +98,9 @@ def load_palette(palette: DataFrame | Palette) -> Palette:
     if isinstance(palette, dict):
         return palette
     bounded = palette_dim(palette) if "legal" not in palette.columns else palette
-    entries = palette_array(bounded).select(F.inline("palette")).limit(PALETTE_SIZE).toPandas()
+    entries = palette_array(bounded).select(F.inline("palette")).limit(PALETTE_SIZE + 1).toPandas()
+    if len(entries) > PALETTE_SIZE:
+        raise ValueError(f"a palette has at most {PALETTE_SIZE} rows")
     return {name: entries[name].to_numpy() for name in ENTRY}
 
 
@@ -129,7 +131,8 @@ def _gaps(pal: Palette, L, a, b, metric: str) -> np.ndarray:
 def with_nearest(df: DataFrame, palette: DataFrame | Palette, lab: Lab, metric: str = "OKLAB") -> DataFrame:
     """Append ``match_id`` and ``dist`` of the nearest entry to each row.
 
-    The lowest id wins a tie; an empty palette gives id 0 and no distance.
+    The lowest id wins a tie; an empty palette gives id 0 and no distance, a
+    row without a colour gets neither.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -141,7 +144,9 @@ def with_nearest(df: DataFrame, palette: DataFrame | Palette, lab: Lab, metric:
             return pd.DataFrame({"match_id": np.zeros(len(L), np.int32), "dist": np.full(len(L), np.nan)})
         gaps = _gaps(pal, L.to_numpy(), a.to_numpy(), b.to_numpy(), metric)
         at = gaps.argmin(axis=1)
-        return pd.DataFrame({"match_id": pal["id"][at], "dist": gaps[np.arange(len(at)), at]})
+        dist = gaps[np.arange(len(at)), at]
+        ids = pd.Series(pal["id"][at], dtype="Int32").mask(np.isnan(dist))
+        return pd.DataFrame({"match_id": ids, "dist": dist})
 
     found = df.withColumn("__m", nearest(lab.L, lab.a, lab.b))
     return found.select(*df.columns, "__m.match_id", F.nanvl("__m.dist", F.lit(None)).alias("dist"))

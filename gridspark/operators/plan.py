@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.payload import STACK
-from gridspark.operators.scan import row_number, rows_between, scan
+from gridspark.operators.scan import join_on, row_number, rows_between, scan
 
 OK, ERRANT, OBSTRUCTION, MISSING = "OK", "ERRANT", "OBSTRUCTION", "MISSING"
 
@@ -78,9 +78,13 @@ def bounds(cells: DataFrame, group: list[str], x: str = "x", y: str = "y") -> Da
 
 
 def latest_stock(readings: DataFrame, loc: str = "loc", seq: str = "seq") -> DataFrame:
-    """What was last seen at each place; an empty reading forgets the place."""
-    last = readings.groupBy(loc).agg(F.max_by(F.struct("item", "n"), seq).alias("r"))
-    return last.where(F.col("r.n") > 0).select(loc, F.col("r.item").alias("item"), F.col("r.n").alias("n"))
+    """What was last seen at each place; an empty reading forgets the place.
+
+    The rows of one ``seq`` are one reading, and all its items are kept.
+    """
+    last = readings.groupBy(loc).agg(F.max(seq).alias("__last"))
+    newest = join_on(readings, last, [loc]).where(F.col(seq) == F.col("__last"))
+    return newest.where(F.col("n") > 0).select(loc, "item", "n")
 
 
 def stock_has_all(needs: DataFrame, stock: DataFrame, group: list[str]) -> DataFrame:
@@ -132,7 +136,7 @@ def with_bands(cells: DataFrame, site: list[str], band_width: int, east: bool, s
     """
     box = bounds(cells, site, "x", "z")
     if site:
-        boxed = cells.join(box, site)
+        boxed = join_on(cells, box, site)
     else:  # one row for the whole table: a value, not a join
         one = cells.withColumn("__box", box.select(F.struct("*")).scalar())
         boxed = one.select(*cells.columns, "__box.*")
@@ -227,7 +231,7 @@ def proportional_slots(needs: DataFrame, group: list[str], n_slots: int) -> Data
         .agg(F.count(F.lit(1)).alias("items"), F.sum("need").alias("total"), F.sum(stacks).alias("sum_cap"))
         .withColumn("target", F.least(F.lit(n_slots).cast("long"), F.col("sum_cap")))
     )
-    ranked = pos.join(info, part).withColumns(
+    ranked = join_on(pos, info, part).withColumns(
         {"i": F.row_number().over(w.orderBy(F.desc("need"), "item")), "cap": stacks}
     )
     scarce = F.col("target") < F.col("items")
@@ -244,7 +248,7 @@ def proportional_slots(needs: DataFrame, group: list[str], n_slots: int) -> Data
         .withColumn("__r", F.row_number().over(order))
         .where(F.col("__r") <= F.col("target"))
     )
-    filled = enough.join(won.groupBy(*part, "i").agg(F.count(F.lit(1)).alias("got")), [*part, "i"], "left")
+    filled = join_on(enough, won.groupBy(*part, "i").agg(F.count(F.lit(1)).alias("got")), [*part, "i"], "left")
     filled = filled.withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
     filled = filled.withColumn("starved", F.sum(F.when(F.col("got") == 0, 1).otherwise(0)).over(w))
     # levels 2.. of each holder are up for taking, highest level first
@@ -257,7 +261,7 @@ def proportional_slots(needs: DataFrame, group: list[str], n_slots: int) -> Data
         .groupBy(*part, "i")
         .agg(F.count(F.lit(1)).alias("lost"))
     )
-    fixed = filled.join(lost, [*part, "i"], "left").select(
+    fixed = join_on(filled, lost, [*part, "i"], "left").select(
         *part,
         "item",
         "need",

@@ -66,8 +66,9 @@ def cut(df: DataFrame, keys: list[str], order: str, width: int) -> tuple[DataFra
 
     Structs with null fields compare as equal, so a null key is a group like
     any other, and the same hash partitioning serves the join and the window.
+    Rows without an order value come first, in a slice of their own.
     """
-    sliced = df.withColumn(SLICE, slice_of(F.col(order), width))
+    sliced = df.withColumn(SLICE, F.coalesce(slice_of(F.col(order), width), F.lit(-(1 << 63))))
     if not keys:
         return sliced, []
     return sliced.withColumn(KEY, F.struct(*keys)), [KEY]

@@ -89,9 +89,9 @@ def _(spark, d):
     return T.to_global(local, cols=4, side=16).select(*CELL, "tile", "lx", "ly", "gx", "gy")
 
 
-@query("stitch", "SELECT image, x, y, c FROM px WHERE image % 2 = 0")
+@query("stitch", "SELECT image, x, y, c FROM px")
 def _(spark, d):
-    tiles = T.to_tile(V.px(spark, d).where(F.col("image") % 2 == 0), 4, 16).select("image", "tile", "lx", "ly", "c")
+    tiles = T.to_tile(V.px(spark, d), 4, 16).select("image", "tile", "lx", "ly", "c")
     return T.stitch(tiles, cols=4, side=16).select("image", "x", "y", "c")
 
 

@@ -65,33 +65,36 @@ def _(spark, d):
     return B.latest_stock(V.stock(spark, d))
 
 
-# demand per site of ten rows; supply from the places of one quarter
-_NEEDS = "SELECT CAST(floor(z/10) AS INT) AS site, item, count(*) AS need FROM cell WHERE (x + z) % 23 = 0 GROUP BY 1, 2"
+# demand per site of ten rows
+_NEEDS = "SELECT CAST(floor(z/10) AS INT) AS site, item, count(*) AS need FROM cell GROUP BY 1, 2"
 
 
 def _needs(spark, d):
-    cells = V.cell(spark, d).where((F.col("x") + F.col("z")) % 23 == 0)
-    return cells.groupBy(F.floor(F.col("z") / 10).cast("int").alias("site"), "item").agg(F.count(F.lit(1)).alias("need"))
+    site = F.floor(F.col("z") / 10).cast("int").alias("site")
+    return V.cell(spark, d).groupBy(site, "item").agg(F.count(F.lit(1)).alias("need"))
 
 
+# an item in a grade: cells want the grade of their row, a place holds the grade of its amount
 @query(
     "stock_has_all",
-    f"""SELECT site, bool_and(item IN (SELECT item FROM stock WHERE n > 0 AND loc % 4 = 1 AND item <> 'view')) AS covered
-        FROM ({_NEEDS}) WHERE NOT (site % 2 = 0 AND item = 'view') GROUP BY site""",
+    """SELECT CAST(floor(z/10) AS INT) AS site, bool_and(item || ':' || z IN (SELECT item || ':' || n FROM stock WHERE n > 0)) AS covered
+       FROM cell GROUP BY 1""",
 )
 def _(spark, d):
-    needs = _needs(spark, d).where(~((F.col("site") % 2 == 0) & (F.col("item") == "view")))
-    supply = V.stock(spark, d).where((F.col("loc") % 4 == 1) & (F.col("item") != "view"))
-    return B.stock_has_all(needs, supply, ["site"])
+    def graded(n: str):
+        return F.concat("item", F.lit(":"), F.col(n).cast("string")).alias("item")
+
+    needs = V.cell(spark, d).select(F.floor(F.col("z") / 10).cast("int").alias("site"), graded("z"))
+    return B.stock_has_all(needs, V.stock(spark, d).select(graded("n"), "n"), ["site"])
 
 
 @query(
     "stock_covers_qty",
-    f"""SELECT site, bool_and(coalesce(h.n, 0) >= need) AS covered FROM (SELECT site, item, need*(100 + site*150) AS need FROM ({_NEEDS})) q
+    f"""SELECT site, bool_and(coalesce(h.n, 0) >= need) AS covered FROM (SELECT site, item, need*(4 + site*7) AS need FROM ({_NEEDS})) q
         LEFT JOIN (SELECT item, sum(n) AS n FROM stock GROUP BY item) h ON h.item = q.item GROUP BY site""",
 )
 def _(spark, d):
-    needs = _needs(spark, d).withColumn("need", F.col("need") * (100 + F.col("site") * 150))
+    needs = _needs(spark, d).withColumn("need", F.col("need") * (4 + F.col("site") * 7))
     return B.stock_covers_qty(needs, V.stock(spark, d), ["site"])
 
 

@@ -61,10 +61,29 @@ def with_defaults(schema: T.StructType, defaults: dict, field) -> list[Column]:
     return out
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One row per batch file, missing fields filled in."""
-    raw = spark.read.schema(BATCH).option("multiLine", True).json(path)
-    return raw.select(*with_defaults(BATCH, BATCH_DEFAULTS, F.col))
+def read_batches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per batch, missing fields filled in.
+
+    A file is one document over any number of lines, or one document per line
+    as :func:`write_batches` writes them.  ``lines`` promises the latter for
+    all files, which can then be split; otherwise a file is read as a whole.
+    Fields that are partition folders are taken from the folder's name.
+    """
+    if lines:
+        raw = spark.read.schema(BATCH).json(path)
+        return raw.select(*with_defaults(BATCH, BATCH_DEFAULTS, F.col))
+    files = spark.read.text(path, wholetext=True)
+    rows = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
+    one_each = F.forall(rows, lambda line: F.try_parse_json(line).isNotNull())
+    folders = [f.name for f in BATCH.fields if f.name in files.columns]
+    documents = files.select(*folders, F.explode(F.when(one_each, rows).otherwise(F.array("value"))).alias("__json"))
+    parsed = documents.select(*folders, F.from_json("__json", BATCH).alias("__b"))
+
+    def field(name: str) -> Column:
+        inner = F.col(f"__b.{name}")
+        return F.coalesce(inner, F.col(name).cast(BATCH[name].dataType)) if name in folders else inner
+
+    return parsed.select(*with_defaults(BATCH, BATCH_DEFAULTS, field))
 
 
 def parse_batches(rows: DataFrame, json: str, *keep: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Assembly of payloads whose pieces arrive in any order.
 
 State is kept per group and bounded: a group holds one entry per index (or
-offset) it expects, and entries expire after ``ttl_ms`` (a limit of ours; drop
-it by passing None).
+offset) it expects.  Entries stay until their group is done, unless the caller
+lets them expire after ``ttl_ms``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql.types import (
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 86_400_000
 
 PIECE_KEY = StructType([StructField("at", LongType())])
 PIECE_VALUE = StructType([StructField("body", StringType())])
@@ -38,7 +37,8 @@ class _Pieces(StatefulProcessor):
         self.pieces = handle.getMapState("pieces", PIECE_KEY, PIECE_VALUE, self.ttl_ms)
         self.seen = handle.getValueState("seen", SEEN, self.ttl_ms)
 
-    def size(self, body: str) -> int:
+    def whole(self, pieces: dict[int, str], total: int) -> str | None:
+        """The payload, if the pieces make up all of it."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -55,13 +55,13 @@ class _Pieces(StatefulProcessor):
                     fresh[int(at)] = body
         # state is read and written only for groups that outlive a batch
         held = {k[0]: v[0] for k, v in self.pieces.iterator()} if known else {}
-        whole = {**held, **fresh}
-        if total is not None and sum(map(self.size, whole.values())) >= total:
+        pieces = {**held, **fresh}
+        payload = self.whole(pieces, total) if total is not None else None
+        if payload is not None:
             if held:
                 self.pieces.clear()
             self.seen.update((total, 1))
-            payload = "".join(whole[at] for at in sorted(whole))
-            yield pd.DataFrame([(*key, payload, len(whole))], columns=[*self.keys, "payload", "pieces"])
+            yield pd.DataFrame([(*key, payload, len(pieces))], columns=[*self.keys, "payload", "pieces"])
         else:
             for at, body in fresh.items():
                 self.pieces.updateValue((at,), (body,))
@@ -72,13 +72,25 @@ class _Pieces(StatefulProcessor):
 
 
 class _ByIndex(_Pieces):
-    def size(self, body: str) -> int:
-        return 1
-
-
-class _ByLength(_Pieces):
-    def size(self, body: str) -> int:
-        return len(body)
+    def whole(self, pieces: dict[int, str], total: int) -> str | None:
+        return "".join(pieces[at] for at in sorted(pieces)) if len(pieces) >= total else None
+
+
+class _ByOffset(_Pieces):
+    def whole(self, pieces: dict[int, str], total: int) -> str | None:
+        if sum(map(len, pieces.values())) < total:
+            return None
+        done, tail = [], ""  # `tail` is what may still be overwritten
+        start = 0
+        for at in sorted(pieces):
+            if at > start + len(tail):
+                return None
+            body = pieces[at]
+            done.append(tail[: at - start])
+            start, tail = at, body + tail[at - start + len(body) :]
+        done.append(tail)
+        payload = "".join(done)
+        return payload if len(payload) >= total else None
 
 
 def _run(rows: DataFrame, keys: list[str], processor: _Pieces) -> DataFrame:
@@ -97,7 +109,7 @@ def _run(rows: DataFrame, keys: list[str], processor: _Pieces) -> DataFrame:
     )
 
 
-def stream_group_assemble(parts: DataFrame, keys: list[str], ttl_ms: int | None = DAY_MS) -> DataFrame:
+def stream_group_assemble(parts: DataFrame, keys: list[str], ttl_ms: int | None = None) -> DataFrame:
     """Buffer ``(keys, at, body, total)`` parts; emit a group once, when ``total`` indexes are in.
 
     A repeated index replaces the earlier body and is not counted twice.
@@ -105,13 +117,14 @@ def stream_group_assemble(parts: DataFrame, keys: list[str], ttl_ms: int | None
     return _run(parts, keys, _ByIndex(keys, ttl_ms))
 
 
-def stream_segment_assemble(segments: DataFrame, keys: list[str], ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """Merge byte segments of a receiver; emit it once, when ``total`` characters are in.
+def stream_segment_assemble(segments: DataFrame, keys: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """Place byte segments of a receiver; emit it once, when ``total`` characters are in without a gap.
 
     Donor segments carry no total.  They wait in the state until the
-    receiver's own segment, which knows it, appears.  A repeated offset replaces.
+    receiver's own segment, which knows it, appears.  A repeated offset
+    replaces; where segments overlap, the one that starts later counts.
     """
-    return _run(segments, keys, _ByLength(keys, ttl_ms))
+    return _run(segments, keys, _ByOffset(keys, ttl_ms))
 
 
 def stream_first_seen(rows: DataFrame, keys: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:

@@ -17,8 +17,14 @@ REPLAY_CONF = {
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``name.parquet`` of ``folder`` (file or directory) as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        # a stream reads folders only
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
