@@ -90,11 +90,11 @@ def _(spark, d):
 
 @query(
     "stock_covers_qty",
-    f"""SELECT site, bool_and(coalesce(h.n, 0) >= need) AS covered FROM (SELECT site, item, need*(4 + site*7) AS need FROM ({_NEEDS})) q
+    f"""SELECT site, bool_and(coalesce(h.n, 0) >= need) AS covered FROM (SELECT site, item, need*(4 + site*100) AS need FROM ({_NEEDS})) q
         LEFT JOIN (SELECT item, sum(n) AS n FROM stock GROUP BY item) h ON h.item = q.item GROUP BY site""",
 )
 def _(spark, d):
-    needs = _needs(spark, d).withColumn("need", F.col("need") * (4 + F.col("site") * 7))
+    needs = _needs(spark, d).withColumn("need", F.col("need") * (4 + F.col("site") * 100))
     return B.stock_covers_qty(needs, V.stock(spark, d), ["site"])
 
 
