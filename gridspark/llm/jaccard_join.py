@@ -12,11 +12,14 @@ tells, and one bit of it per counter is broadcast.
 
 Equal sets are one node.  A bucket of n nodes is not expanded into pairs: its
 smallest node is compared with the others; afterwards only pairs in different
-groups matter, and of those the nodes of rank 1 to 31, then 32 to 1023, ... of
+groups matter, and of those the nodes of rank 1 to 63, then 64 to 4095, ... of
 the bucket are compared with the later ones, until every bucket lies in one
 group or has had all its pairs.  So no link between groups is lost and a bucket of near copies
-costs one comparison per node.  Pairs are refuted on their prefixes where
-these already differ too much; the rest is compared on the whole sets.
+costs one comparison per node.  The join that meets such nodes emits only pairs
+that can link by their sizes and parities: each token flips one bit of a set's
+PARITY_BITS, so two sets differ in at least as many tokens as their bits
+differ.  Pairs are then refuted on their prefixes where these already differ
+too much; the rest is compared on the whole sets.
 
 Cases: null and empty texts have an empty set, are linked with nothing and keep
 their own id; a text of fewer words than n is one token.  Rows that repeat an
@@ -44,7 +47,8 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 16
 WANTED_BITS = 24
 COMBINATION = 2
-STEP = 32
+STEP = 64
+PARITY_BITS = 512
 _U = np.uint64
 
 
@@ -141,6 +145,12 @@ def _frequent_bits(sketches: DataFrame, total: int) -> np.ndarray:
     return flags.ravel()
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of tokens fall on i, in words of 64 bits."""
+    odd = np.bincount((tokens % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """What a set is indexed under, and its first tokens in the common order."""
     n = len(tokens)
@@ -157,8 +167,10 @@ def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple
 
 
 def _prefixes(texts: DataFrame, rule: Rule, bits) -> DataFrame:
-    """``doc_id, digest, n, tokens, first``: index tokens and the leading part of the ordered set."""
-    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("first", pa.binary())])
+    """``doc_id, digest, n, tokens, first, parity``: index tokens, the leading part of the ordered set and its parities."""
+    longs = pa.list_(pa.int64())
+    names = (("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", longs), ("first", pa.binary()), ("parity", longs))
+    out = pa.schema(names)
 
     def run(batches):
         frequent = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
@@ -168,11 +180,11 @@ def _prefixes(texts: DataFrame, rule: Rule, bits) -> DataFrame:
                 tokens = shingles(buf, rule.words)
                 if len(tokens):
                     index, first = prefix_tokens(tokens, frequent, rule)
-                    rows.append((doc, _digest(tokens), len(tokens), index.view(np.int64), _heads(first).tobytes()))
+                    rows.append((doc, _digest(tokens), len(tokens), index.view(np.int64), _heads(first).tobytes(), parity(tokens)))
             columns = list(zip(*rows)) if rows else [[]] * len(out)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, out)], schema=out)
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, n long, tokens array<long>, first binary")
+    return texts.mapInArrow(run, "doc_id long, digest binary, n long, tokens array<long>, first binary, parity array<long>")
 
 
 def _wanted_bits(ids: DataFrame) -> np.ndarray:
@@ -276,7 +288,7 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     same = F.col("p.digest").eqNullSafe(F.col("d.digest")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))
     found = _prefixes(texts, rule, bits).alias("p").join(nodes.alias("d"), same)
-    prefixes = cut_lineage(found.select("node", "n", "tokens", "first"), "jaccard-prefixes")
+    prefixes = cut_lineage(found.select("node", "n", "tokens", "first", "parity"), "jaccard-prefixes")
 
     # dealt once by token: the bounds of a bucket and its rows come from the same exchange
     index = prefixes.select("node", F.explode("tokens").alias("token")).repartition("token")
@@ -284,6 +296,7 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     shared = cut_lineage(index.join(buckets.where("hub < top"), "token").select("token", "node", "hub"), "jaccard-buckets")
     pairs = shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     firsts = prefixes.select("node", "n", "first")
+    traits = prefixes.select("node", "n", "parity")
     with_node = nodes.select("node", "doc_id", "digest")
 
     def verified(pairs: DataFrame) -> DataFrame | None:
@@ -310,10 +323,10 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
             joined = joined.groupBy("node").agg(F.min("at").alias("root"))
             groups = cut_lineage(_rooted(joined, "root", merged), "jaccard-groups")
         low, high = high, high * STEP
-        open_rows = _open(shared, groups, low)
+        open_rows = _open(shared, groups, traits, low)
         if open_rows is None:
             break
-        pairs = _between(open_rows, low, high)
+        pairs = _between(open_rows, low, high, rule)
 
     root = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return members.join(root, "digest", "left").select("doc_id", "text_key", "n", "root")
@@ -350,19 +363,24 @@ def _rooted(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
     return rows.join(up, column, "left").withColumn(column, F.coalesce("__root", column)).drop("__root")
 
 
-def _open(shared: DataFrame, groups: DataFrame, done: int) -> DataFrame | None:
-    """Rows of the buckets that hold several groups and still have uncompared pairs, with each node's rank; None if none."""
+def _open(shared: DataFrame, groups: DataFrame, traits: DataFrame, done: int) -> DataFrame | None:
+    """Rows of the buckets that hold several groups and still have uncompared pairs, with each node's rank and traits; None if none."""
     rows = shared.select("token", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"))
     mixed = mixed.where((F.col("r0") < F.col("r1")) & (F.col("size") > done + 1)).select("token")
     ranked = rows.join(mixed, "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("node")) - 1)
-    ranked = cut_lineage(ranked, "jaccard-open")
+    ranked = cut_lineage(ranked.join(traits, "node"), "jaccard-open")
     return None if ranked.isEmpty() else ranked
 
 
-def _between(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Distinct pairs of different groups with the bucket's nodes of rank ``low`` to ``high`` - 1 on one side."""
+def _between(rows: DataFrame, low: int, high: int, rule: Rule) -> DataFrame:
+    """Distinct pairs of different groups that can link, with the bucket's nodes of rank ``low`` to ``high`` - 1 on one side."""
+    rows = rows.withColumn("errors", F.expr(f"({100 - rule.percent} * ((100 * n) div {rule.percent})) div 100"))
     lead = rows.where((F.col("rank") >= low) & (F.col("rank") < high))
-    lead = lead.select("token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
-    both = rows.join(lead, "token").where((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")))
-    return both.select("a", F.col("node").alias("b")).distinct()
+    lead = lead.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "rank", "n", "parity", "errors")))
+    uncompared = (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a"))
+    fits = (100 * F.col("n") >= rule.percent * F.col("n_a")) & (100 * F.col("n_a") >= rule.percent * F.col("n"))
+    words = range(PARITY_BITS // 64)
+    differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_a")[i])) for i in words), F.lit(0))
+    both = rows.join(lead, "token").where(uncompared & fits & (differ <= F.least("errors", "errors_a")))
+    return both.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
