@@ -169,6 +169,29 @@ def test_frequent_tokens_find_every_link():
             assert not jaccard_join._refuted(*heads, len(a), len(b), frequent, rule)
 
 
+def test_parities_bound_the_difference():
+    """The bits in which two sets' parities differ never outnumber the tokens in which the sets do."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 60, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[rng.random(n) > 0.1], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)])
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(jaccard_join.parity(a).view(np.uint64), jaccard_join.parity(b).view(np.uint64)))
+        assert bits <= len(np.setxor1d(a, b))
+        assert n != 60 or bits >= len(np.setxor1d(a, b)) - 4
+
+
+def test_jaccard_later_rounds(spark, monkeypatch):
+    """Texts that share a long passage fall into the same buckets without being linked: rounds of small steps find every link."""
+    monkeypatch.setattr(jaccard_join, "STEP", 3)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"q{rng.randrange(12)}" for _ in range(rng.randrange(4, 16))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, percent in ((4, 85), (5, 80)):
+        rule = jaccard_join.Rule(words, percent)
+        assert Counter(map(tuple, jaccard_join.jaccard_components(docs, rule).collect())) == plain_groups(rows, words, percent)
+
+
 def test_mix(spark, odd, none):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == odd.count()
