@@ -1,8 +1,12 @@
 """Rows that must not get lost: null keys and order values, whole files and tables, bad palettes, placed segments."""
 
+import random
+
 import pytest
 
 from gridspark.functions.palette import palette_dim
+from gridspark.functions.payload import MODES
+from gridspark.operators import allocate as L
 from gridspark.operators import chunks as K
 from gridspark.operators import plan as B
 from gridspark.operators.masks import remap
@@ -94,3 +98,24 @@ def test_segments_are_placed(spark, tmp_path):
     spark.createDataFrame(rows, "key string, at long, body string, total long").write.parquet(str(tmp_path / "s.parquet"))
     out = drain(A.stream_segment_assemble(stream_table(spark, str(tmp_path), "s"), ["key"]), "t-placed")
     assert {(r.key, r.payload) for r in out.collect()} == {("overlap", "abcdef"), ("inside", "abXYef")}
+
+
+def test_blank_tiles_have_no_limit(spark):
+    sizes = [52_200_000, 100]
+    df = spark.createDataFrame([("c", i, n) for i, n in enumerate(sizes)], "comp string, tile int, n long")
+    rows = L.blank_tiles(df, ["comp"], "BANNER").collect()
+    extra = sum(r.donor_only for r in rows)
+    assert extra > 9999 and {r.tile for r in rows} == set(range(extra + 2))
+    assert not L.fair_share([*sizes, *[0] * extra], "BANNER")[2]
+    assert L.fair_share([*sizes, *[0] * (extra - 1)], "BANNER")[2] == [0]
+
+
+def test_blank_tiles_are_the_fewest():
+    rng = random.Random(5)
+    for _ in range(60):
+        mode = rng.choice(MODES)
+        sizes = [rng.choice([rng.randint(0, 9000), rng.randint(0, 40000)]) for _ in range(rng.randint(1, 8))]
+        count = 0
+        while L.fair_share([*sizes, *[0] * count], mode)[2]:
+            count += 1
+        assert L.blanks_required(sizes, mode) == count
