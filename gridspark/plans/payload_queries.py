@@ -12,6 +12,7 @@ from gridspark.operators import history as H
 from gridspark.operators import secrets as X
 from gridspark.operators import stock as ST
 from gridspark.plans.registry import query
+from gridspark.session import fresh_path
 from gridspark.sources import batches as J
 from gridspark.sources import views as V
 
@@ -437,6 +438,7 @@ def _(spark, d):
 
 # ── batches, JSON and stock maps ────────────────────────────────────────────
 
+FILE_DOCUMENTS = 10_000
 _PROPS_K = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 
@@ -453,20 +455,28 @@ def _(spark, d):
         FROM events, range(2) r(i)""",
 )
 def _(spark, d):
-    # old snapshots: the k property as the grid width and one tile of two with a nonce
-    e = V.table(spark, d, "events").select(
-        "event_id",
+    # old snapshots: the k property as the grid width and one tile of two with a nonce, one document per line
+    old = V.table(spark, d, "events").select(
         F.concat(
-            F.lit('{"columns": '),
+            F.lit('{"sourceFilename": "'),
+            F.col("event_id").cast("string"),
+            F.lit('", "columns": '),
             F.get_json_object("props", "$.k"),
             F.lit(', "tiles": [{"nonce": '),
             F.col("user_id").cast("string"),
             F.lit("}, {}]}"),
-        ).alias("json"),
+        ).alias("value"),
     )
-    batches = J.parse_batches(e, "json", "event_id")
-    head = batches.select(
-        "event_id", "columns", "rows", F.col("activeTileIndex").alias("active"), "dither", F.col("codecMode").alias("codec"), "tiles"
+    path = fresh_path(spark, "old-batches")
+    old.write.option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    head = J.read_batches(spark, path).select(
+        F.col("sourceFilename").cast("long").alias("event_id"),
+        "columns",
+        "rows",
+        F.col("activeTileIndex").alias("active"),
+        "dither",
+        F.col("codecMode").alias("codec"),
+        "tiles",
     )
     tiles = J.batch_tiles(head, "event_id", "columns", "rows", "active", "dither", "codec")
     return tiles.select(
@@ -480,13 +490,22 @@ def _(spark, d):
 )
 def _(spark, d):
     e = V.table(spark, d, "events").select(
-        "user_id",
+        F.col("user_id").cast("string").alias("sourceFilename"),
         F.col("event_type").alias("title"),
         (F.col("event_id") % 8 + 1).alias("columns"),
         (F.col("user_id") % 8 + 1).alias("rows"),
         F.array(F.struct(F.col("event_id").alias("nonce"))).alias("tiles"),
     )
-    return J.batch_json(e, "user_id")
+    path = fresh_path(spark, "batches")
+    J.write_batches(e, path)
+    back = J.read_batches(spark, path, lines=True).select(
+        F.col("sourceFilename").cast("long").alias("user_id"),
+        "title",
+        "columns",
+        "rows",
+        F.transform("tiles", lambda t: F.struct(t["nonce"].alias("nonce"))).alias("tiles"),
+    )
+    return J.batch_json(back, "user_id")
 
 
 @query(

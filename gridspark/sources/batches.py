@@ -61,29 +61,46 @@ def with_defaults(schema: T.StructType, defaults: dict, field) -> list[Column]:
     return out
 
 
-def read_batches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def _is_document(text: Column) -> Column:
+    """The text is exactly one JSON object: in an array with a 0 behind it, it is one of two elements."""
+    elements = F.json_array_length(F.concat(F.lit("["), text, F.lit("\n,0]")))
+    return F.coalesce((elements == 2) & text.rlike(r"^\s*\{"), F.lit(False))
+
+
+def read_batches(spark: SparkSession, path: str, lines: bool = False, bad: str | None = None) -> DataFrame:
     """One row per batch, missing fields filled in.
 
     A file is one document over any number of lines, or one document per line
     as :func:`write_batches` writes them.  ``lines`` promises the latter for
     all files, which can then be split; otherwise a file is read as a whole.
+    A line that is no document is an error, or a row with that line in the
+    column ``bad`` (null for all others).
     Fields that are partition folders are taken from the folder's name.
     """
-    if lines:
-        raw = spark.read.schema(BATCH).json(path)
-        return raw.select(*with_defaults(BATCH, BATCH_DEFAULTS, F.col))
-    files = spark.read.text(path, wholetext=True)
-    rows = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
-    one_each = F.forall(rows, lambda line: F.try_parse_json(line).isNotNull())
+    files = spark.read.text(path, wholetext=not lines)
     folders = [f.name for f in BATCH.fields if f.name in files.columns]
-    documents = files.select(*folders, F.explode(F.when(one_each, rows).otherwise(F.array("value"))).alias("__json"))
-    parsed = documents.select(*folders, F.from_json("__json", BATCH).alias("__b"))
+    text = F.regexp_replace("value", "^\ufeff", "")
+    if lines:
+        documents = files.select(*folders, text.alias("__json")).where(F.col("__json").rlike(r"\S"))
+    else:
+        rows = F.filter(F.split(text, "\r?\n"), lambda line: line.rlike(r"\S"))
+        documents = files.select(*folders, F.explode(F.when(_is_document(text), F.array(text)).otherwise(rows)).alias("__json"))
+    checked = documents.withColumn("__ok", _is_document(F.col("__json")))
+    if bad is None:
+        error = F.concat(F.lit("not one batch document: "), F.substring("__json", 1, 100))
+        checked = checked.where(F.when(F.col("__ok"), True).otherwise(F.raise_error(error).cast("boolean")))
+    parsed = checked.select(
+        *folders,
+        F.when(F.col("__ok"), F.from_json("__json", BATCH)).alias("__b"),
+        F.when(~F.col("__ok"), F.col("__json")).alias("__bad"),
+    )
 
     def field(name: str) -> Column:
         inner = F.col(f"__b.{name}")
         return F.coalesce(inner, F.col(name).cast(BATCH[name].dataType)) if name in folders else inner
 
-    return parsed.select(*with_defaults(BATCH, BATCH_DEFAULTS, field))
+    kept = [] if bad is None else [F.col("__bad").alias(bad)]
+    return parsed.select(*with_defaults(BATCH, BATCH_DEFAULTS, field), *kept)
 
 
 def parse_batches(rows: DataFrame, json: str, *keep: str) -> DataFrame:

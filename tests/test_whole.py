@@ -119,3 +119,26 @@ def test_blank_tiles_are_the_fewest():
         while L.fair_share([*sizes, *[0] * count], mode)[2]:
             count += 1
         assert L.blanks_required(sizes, mode) == count
+
+
+def test_one_bad_line_loses_no_batch(spark, tmp_path):
+    good = [f'{{"sourceFilename": "f{i}", "tiles": [{{"nonce": {i}}}]}}' for i in range(5)]
+    twice = '{"sourceFilename": "f5", "columns": 1, "columns": 2}'
+    sound = tmp_path / "sound"
+    sound.mkdir()
+    (sound / "a.json").write_text("\n".join([*good, twice]) + "\n")
+    for name, lines in {"cut": [*good, '{"sourceFilename": "f5", "ti'], "two": [*good, "{}{}"], "first": ['"x": 1', *good]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(lines))
+        bad = next(x for x in lines if x not in good)
+        for by_line in (False, True):
+            with pytest.raises(Exception, match="not one batch document"):
+                J.read_batches(spark, str(tmp_path / name), by_line).collect()
+            rows = J.read_batches(spark, str(tmp_path / name), by_line, bad="bad").collect()
+            assert sorted((r.sourceFilename or "", r.bad) for r in rows) == [("", bad), *((f"f{i}", None) for i in range(5))]
+    for by_line in (False, True):
+        assert sorted(r.sourceFilename for r in J.read_batches(spark, str(sound), by_line).collect()) == [f"f{i}" for i in range(6)]
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "a.json").write_text('{\n"sourceFilename": "w",\n"tiles": [\n{"nonce": 1},\n{}\n]\n}\n')
+    assert [(r.sourceFilename, len(r.tiles)) for r in J.read_batches(spark, str(whole)).collect()] == [("w", 2)]
