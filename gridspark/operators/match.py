@@ -24,6 +24,7 @@ from gridspark.functions.color import (
     oklab_to_linear,
 )
 from gridspark.functions.palette import PALETTE_SIZE, palette_array, palette_dim, with_oklab
+from gridspark.operators.scan import join_on
 from gridspark.session import cut_lineage
 
 METRICS = ("OKLAB", "CHROMA_FIRST", "LUMA_FIRST", "HUE_ONLY", "RGB")
@@ -212,14 +213,11 @@ def tile_palette_match(
     local = palette_array(present.where(F.col("id") > 0).join(palette, "id"), *tile)
     keys = [*tile, *RGB_KEYS]
     lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    armed = (
-        with_oklab(pixels.select(*keys).distinct())
-        .join(local, tile, "left")
-        .withColumn("__full", palette_array(palette).scalar())
-    )
+    colours = with_oklab(pixels.select(*keys).distinct().dropna(subset=RGB_KEYS))
+    armed = join_on(colours, local, tile, "left").withColumn("__full", palette_array(palette).scalar())
     found = with_best_of(armed, F.coalesce("palette", "__full"), lab, metric)
     matched = found.select(*keys, F.col("__id").alias("match_id"))
-    return pixels.join(matched, keys, "left")
+    return join_on(pixels, matched, keys, "left")
 
 
 def nearest_other(palette: DataFrame) -> DataFrame:

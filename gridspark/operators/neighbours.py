@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.color import Lab, half_up, oklab_dist_sq, to_byte
 from gridspark.operators.histogram import otsu_threshold
+from gridspark.operators.scan import join_on
 from gridspark.session import cut_lineage
 
 
@@ -117,7 +118,7 @@ def dither_strength(contrast: DataFrame, thresholds: DataFrame, group: list[str]
     )
     step = F.when(F.col("contrast") <= t, F.lit(1.0)).otherwise(F.lit(0.0))
     value = F.when(opaque, F.when(reach > 1e-6, ramp).otherwise(step)).otherwise(F.lit(0.0))
-    return contrast.join(thresholds, group).withColumn("strength", value).drop("threshold")
+    return join_on(contrast, thresholds, group).withColumn("strength", value).drop("threshold")
 
 
 def adaptive_strength(pixels: DataFrame, group: list[str], opaque: Column) -> DataFrame:

@@ -99,14 +99,14 @@ def reduce_once(
 
     With a mask only selected cells count.  Groups with a single colour merge nothing.
     """
-    seen = pixels if mask is None else pixels.join(mask, cell, "left_semi")
+    seen = pixels if mask is None else join_on(pixels, mask, cell, "left_semi")
     counts = seen.where(F.col(c) > 0).groupBy(*group, F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     before = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("before"))
     if strategy == RAREST:
         step = rarest_pair(counts, palette, group)
     else:
         step = closest_pair(counts, palette, group, strategy == WEIGHTED)
-    return before.join(step, group, "left").select(
+    return join_on(before, step, group, "left").select(
         *group,
         "victim",
         "survivor",
@@ -135,6 +135,6 @@ def rarest_pair(counts: DataFrame, palette: DataFrame, group: list[str]) -> Data
 
 def apply_step(pixels: DataFrame, step: DataFrame, group: list[str], c: str = "c") -> DataFrame:
     """Recolour each group's victim as its survivor."""
-    out = pixels.join(step.select(*group, "victim", "survivor"), group, "left")
+    out = join_on(pixels, step.select(*group, "victim", "survivor"), group, "left")
     new = F.when(F.col(c) == F.col("victim"), F.col("survivor")).otherwise(F.col(c))
     return out.select(*(new.alias(c) if n == c else F.col(n) for n in pixels.columns))

@@ -57,7 +57,7 @@ def slice_of(order: Column, width: int) -> Column:
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null, so rows without a key are kept."""
     named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    same = reduce(and_, (left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys))
+    same = reduce(and_, (left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys), F.lit(True))
     return left.join(named, same, how).drop(*(f"__r_{k}" for k in keys))
 
 

@@ -4,13 +4,15 @@ import random
 
 import pytest
 
-from gridspark.functions.palette import palette_dim
+from gridspark.functions.palette import palette_dim, with_oklab
 from gridspark.functions.payload import MODES
 from gridspark.operators import allocate as L
 from gridspark.operators import chunks as K
+from gridspark.operators import neighbours as N
 from gridspark.operators import plan as B
+from gridspark.operators import reduce as R
 from gridspark.operators.masks import remap
-from gridspark.operators.match import load_palette, with_nearest
+from gridspark.operators.match import load_palette, tile_palette_match, with_nearest
 from gridspark.operators.scan import row_number, rows_between, scan
 from gridspark.functions.color import Lab
 from gridspark.sources import batches as J
@@ -142,3 +144,28 @@ def test_one_bad_line_loses_no_batch(spark, tmp_path):
     whole.mkdir()
     (whole / "a.json").write_text('{\n"sourceFilename": "w",\n"tiles": [\n{"nonce": 1},\n{}\n]\n}\n')
     assert [(r.sourceFilename, len(r.tiles)) for r in J.read_batches(spark, str(whole)).collect()] == [("w", 2)]
+
+
+def test_a_null_group_is_a_group(spark):
+    pal = palette_dim(spark.createDataFrame([(4, 0, 0, 0), (8, 255, 255, 255), (9, 250, 250, 250)], "id int, r int, g int, b int"))
+    cells = [(y, x, (x * 60 + y * 40) % 256, (4, 8, 8, 9)[x]) for y in range(4) for x in range(4)]
+    rows = [(k, y, x, v, v, v, c) for k in ("a", None) for y, x, v, c in cells] + [(None, 9, 9, None, None, None, 4)]
+    pixels = spark.createDataFrame(rows, "image string, y int, x int, r int, g int, b int, c int")
+    shown = pixels.where("y < 4")
+
+    def same(df, n, *columns):
+        found = df.collect()
+        sides = [sorted(tuple(r[c] for c in columns) for r in found if r.image == k) for k in ("a", None)]
+        assert sides[0] == sides[1] and len(sides[0]) == n
+        return sides[0]
+
+    same(N.adaptive_strength(with_oklab(shown), ["image"], F.lit(True)), 16, "y", "x", "strength")
+    mask = shown.where("x > 0").select("image", "y", "x")
+    for strategy in R.STRATEGIES:
+        step = R.reduce_once(shown, pal, ["image"], strategy)
+        assert same(step, 1, "victim", "survivor", "before", "after", "touched")[0][0] is not None
+        assert same(R.reduce_once(shown, pal, ["image"], strategy, "c", mask, ["image", "y", "x"]), 1, "before", "touched")[0][0] == 2
+        assert len({c for _, _, c in same(R.apply_step(shown, step, ["image"]), 16, "y", "x", "c")}) == 2
+    present = spark.createDataFrame([("a", 4), ("a", 9), (None, 4), (None, 9)], "image string, id int")
+    assert {m for _, _, m in same(tile_palette_match(shown, present, pal, ["image"]), 16, "y", "x", "match_id")} == {4, 9}
+    assert [r.match_id for r in tile_palette_match(pixels, present, pal, ["image"]).where("y = 9").collect()] == [None]
