@@ -6,10 +6,11 @@ document; lines found in more than ``max_docs`` documents of a host are
 removed, and a document is rejected when it fails the base rules or when less
 than ``min_share`` of its words is left.
 
-The rows keep a hash of 16 bytes per distinct line, never the text.  Counts are
-pre-aggregated, so a line of a third of all documents is one row per task in
-the shuffle; only lines above the limit go back to the documents, through a
-join that Spark can split at a hot line.
+The lines are counted by a hash of 16 bytes per distinct line, never by text.
+Counts are pre-aggregated, so a line of a third of all documents is one row per
+task in the shuffle; only lines above the limit go back to the documents, through
+a join that Spark can split at a hot line.  The texts are written once beside
+the hashes and lose their frequent lines when they are read again.
 
 Cases: a null or empty text has no words and fails the base rule.  A null host
 is a host of its own.  Every row is a document, repeated ids and rows too.
@@ -49,13 +50,14 @@ _OUT = pa.schema(
         ("n_symbols", pa.int64()),
         ("n_dup_lines", pa.int64()),
         ("n_repeat_words", pa.int64()),
-        ("lines", pa.list_(pa.struct([("h", pa.binary()), ("w", pa.int64())]))),
+        ("lines", pa.list_(pa.binary())),
+        ("host", pa.string()),
+        ("text", pa.string()),
     ]
 )
-_SCHEMA = (
-    "rid long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "lines array<struct<h: binary, w: long>>"
-)
+_COUNTS = "rid long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_SCHEMA = f"{_COUNTS}, lines array<binary>, host string, text string"
+_CUT = f"{_COUNTS}, host string, text string, removed_words long"
 
 
 def normalise(line: bytes) -> bytes:
@@ -76,18 +78,28 @@ def base_counts(buf: np.ndarray) -> tuple[int, int, int, int, int]:
     return len(starts), chars, int(np.count_nonzero(_IS_SYMBOL[buf])), again, repeated_words(words)
 
 
-def line_weights(buf: np.ndarray, host: str | None) -> dict[bytes, int]:
-    """Words of a text by its distinct normalised lines, keyed by the hash of host and line."""
+def hashed_lines(buf: np.ndarray, host: str | None):
+    """Every line of a text, its words and the hash of host and normalised line (none for a line without words)."""
     start = xxhash.xxh3_128(b"\x00" if host is None else b"\x01" + host.encode() + b"\n")
-    found: dict[bytes, int] = {}
     for line in buf.tobytes().split(b"\n"):
         clean = normalise(line)
         if clean:
             h = start.copy()
             h.update(clean)
-            key = h.digest()
-            found[key] = found.get(key, 0) + clean.count(b" ") + 1
-    return found
+            yield line, clean.count(b" ") + 1, h.digest()
+        else:
+            yield line, 0, None
+
+
+def cut_lines(buf: np.ndarray, host: str | None, frequent: set[bytes]) -> tuple[str, int]:
+    """The text without its frequent lines, and the words they had."""
+    left, removed = [], 0
+    for line, words, key in hashed_lines(buf, host):
+        if key in frequent:
+            removed += words
+        else:
+            left.append(line)
+    return b"\n".join(left).decode(), removed
 
 
 def _features(batches):
@@ -96,13 +108,27 @@ def _features(batches):
         rows = []
         hosts = batch.column("host").to_pylist()
         for doc, host, buf in zip(batch.column("doc_id").to_pylist(), hosts, utf8_views(batch.column("text"))):
-            lines = [{"h": k, "w": w} for k, w in line_weights(buf, host).items()]
+            lines = list({key for _, _, key in hashed_lines(buf, host)} - {None})
             rows.append((next(number), doc, *base_counts(buf), lines))
-        columns = list(zip(*rows)) if rows else [[]] * len(_OUT)
-        yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(columns, _OUT)], schema=_OUT)
+        names = _OUT.names[:-2]
+        columns = list(zip(*rows)) if rows else [[]] * len(names)
+        made = [pa.array(list(c), _OUT.field(n).type) for c, n in zip(columns, names)]
+        yield pa.record_batch([*made, *(batch.column(n).cast(pa.string()) for n in ("host", "text"))], schema=_OUT)
 
 
-def line_frequency(
+def _cut(batches):
+    for batch in batches:
+        texts, removed = batch.column("text").to_pylist(), [0] * batch.num_rows
+        hosts, hits = batch.column("host").to_pylist(), batch.column("frequent").to_pylist()
+        for i, buf in enumerate(utf8_views(batch.column("text"))):
+            if hits[i]:
+                texts[i], removed[i] = cut_lines(buf, hosts[i], set(hits[i]))
+        names = [*_OUT.names[:7], "host", "text", "removed_words"]
+        columns = [*(batch.column(n) for n in names[:8]), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def cut_frequent_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -110,18 +136,24 @@ def line_frequency(
     max_docs: int = MAX_DOCS,
     min_share: float = MIN_SHARE,
 ) -> DataFrame:
-    """Counts and verdict per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    removed_words, kept."""
+    """Every document as ``doc_id, host, text`` without its frequent lines, and its counts and verdict: n_words,
+    word_chars, n_symbols, n_dup_lines, n_repeat_words (all of the whole text), base_failed, removed_words, kept.
+
+    Null texts stay null; rejected documents are rows too, ``kept`` tells them.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     rows = cut_lineage(texts.mapInArrow(_features, _SCHEMA), "line-rows")
-    lines = rows.select("rid", F.inline("lines"))
+    lines = rows.select("rid", F.explode("lines").alias("h"))
     frequent = lines.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("h")
-    removed = lines.join(frequent, "h").groupBy("rid").agg(F.sum("w").alias("removed_words"))
-    found = rows.drop("lines").join(removed, "rid", "left").fillna(0, ["removed_words"])
+    # written, so that the planner sees whether the hits are small and the texts can stay where they are
+    hits = cut_lineage(lines.join(frequent, "h").groupBy("rid").agg(F.collect_list("h").alias("frequent")), "line-hits")
+    found = rows.drop("lines").join(hits, "rid", "left").mapInArrow(_cut, _CUT)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return found.withColumn("base_failed", failed).select(
         "doc_id",
+        "host",
+        "text",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -131,3 +163,15 @@ def line_frequency(
         "removed_words",
         (~F.col("base_failed") & (left >= F.col("n_words") * F.lit(min_share))).alias("kept"),
     )
+
+
+def line_frequency(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = MAX_DOCS,
+    min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """Counts and verdict per document, from the documents that :func:`cut_frequent_lines` gives."""
+    return cut_frequent_lines(docs, id_col, text_col, host_col, max_docs, min_share).drop("host", "text")

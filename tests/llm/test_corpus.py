@@ -101,6 +101,18 @@ def test_line_frequency(spark, odd, none):
     assert line_frequency.line_frequency(none).count() == 0
 
 
+def test_frequent_lines_are_cut(spark, odd, none):
+    own = [" ".join("abcd"[i] + chr(97 + k % 26) + chr(97 + k // 26) for k in range(60)) for i in range(4)]
+    rows = [(i, f"Shared LINE 1\n\n{own[i]}\nshared line  7", None, "h", None, 0.0, "") for i in range(4)]
+    rows += [(9, "shared  line 22\n" * 30, None, "h", None, 0.0, ""), (10, "shared line 1", None, None, None, 0.0, ""), (11, None, None, "h", None, 0.0, "")]
+    found = {r.doc_id: r for r in line_frequency.cut_frequent_lines(spark.createDataFrame(rows, DOCS), max_docs=3).collect()}
+    assert [found[i].text for i in range(4)] == ["\n" + text for text in own]
+    assert [found[i].text for i in (9, 10, 11)] == ["", "shared line 1", None]
+    assert [found[i].removed_words for i in (0, 9, 10, 11)] == [6, 90, 0, 0]
+    assert Counter(r.text for r in line_frequency.cut_frequent_lines(odd).collect()) == Counter(r.text for r in odd.collect())
+    assert line_frequency.cut_frequent_lines(none).count() == 0
+
+
 def plain_groups(rows, words, percent):
     sets = []
     for _, text in rows:
