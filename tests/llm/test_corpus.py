@@ -131,6 +131,16 @@ def plain_groups(rows, words, percent):
     return Counter((doc, len(s), min((x for x in lowest[g] if x is not None), default=None)) for (doc, _), s, g in zip(rows, sets, group))
 
 
+def test_heads_that_collide_refute_no_link():
+    rule, frequent = jaccard_join.Rule(), np.zeros(1 << jaccard_join.SKETCH_BITS, bool)
+    tokens = np.repeat(np.arange(1, 201, dtype=np.uint64) << np.uint64(32), 2) + np.tile(np.arange(2, dtype=np.uint64), 200)
+    heads = jaccard_join._heads(tokens)
+    assert not jaccard_join._refuted(heads.tobytes(), heads.tobytes(), 400, 400, frequent, rule)
+    other = np.sort(np.concatenate([heads[:200], heads[:200] + np.uint32(100)]))
+    last = np.append(heads[200:-1], other[-1])
+    assert jaccard_join._refuted(other.tobytes(), last.tobytes(), 400, 200, frequent, rule)
+
+
 def test_jaccard(spark, odd, none, monkeypatch):
     rng = random.Random(4)
     words = [f"t{i}" for i in range(3000)]
