@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, gam_quality, graph_ann, jaccard_join, language_id, line_frequency, mixing, pii_tagger, token_count, warc
+from gridspark.llm import byte_bpe, gam_quality, graph_ann, jaccard_join, language_id, lexical_search, line_dedup, line_frequency, mixing, pii_tagger
+from gridspark.llm import token_alignment, token_count, warc
 from gridspark.llm.text import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,20 @@ def op10_gam_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= gam_quality.CUTOFF).cast("int"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    kept = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_tokenizers(read(spark, folder, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +91,9 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_ngram_jaccard,
         op10_gam_quality,
+        op11_line_dedup,
+        op12_token_alignment,
+        op13_lexical_search,
     )
 }
 
@@ -149,10 +167,37 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+_FIRST_LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key),
+g AS (SELECT k.*, first_doc IS NOT NULL AND doc_id IS DISTINCT FROM first_doc AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY rid, doc_id
+"""
+
+_RANKED = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(len(ts)) AS BIGINT) AS all_terms FROM d WHERE len(ts) > 0),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+t AS (SELECT rid, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(((2 * all_docs + 2) / (2 * count(*) + 1))::DOUBLE)) AS BIGINT) AS w FROM t, s GROUP BY term, all_docs),
+g AS (SELECT rid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * all_docs) // all_terms))) AS gain FROM t, s),
+r AS (SELECT item_id, rid, doc_id, CAST(sum(times * w * gain) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN g USING (term) GROUP BY ALL HAVING sum(times * w * gain) > 0),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS INT) AS rank, doc_id, score FROM r)
+SELECT * FROM o WHERE rank <= 10
+"""
+
 #: The tokenizers, the trained models and the approximate search have no SQL form; the tests hold them against plain versions.
 CHECKS: dict[str, str] = {
     "op2_line_frequency": _LINES,
     "op6_source_mix": _MIX,
     "op8_warc": _WARC,
     "op9_ngram_jaccard": _JACCARD,
+    "op11_line_dedup": _FIRST_LINES,
+    "op13_lexical_search": _RANKED,
 }
