@@ -1,31 +1,35 @@
-"""Nearest palette entry per colour.
+"""Nearest palette entry per colour, where the rows are.
 
-An image repeats its colours, and a 24-bit colour has at most 2^24 values, so
-each distinct colour is matched once and the answer joined back.  A palette has
-at most 255 rows: it is read once and goes to the tasks as an array, each Arrow
-batch of colours is compared with it as a whole, and nothing is paired up.
+Matching is one narrow stage: every Arrow batch of rows looks at its own
+distinct colours only (an image repeats them), compares those with the palette
+as a whole and hands the answers back in place.  Nothing is shuffled, written
+or paired up.  A palette has at most 255 rows; the first row of each partition
+brings it along, so no job runs before the result is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gridspark.functions.color import (
+    LAB_FROM_LMS,
     LMS_FROM_LAB,
+    LMS_FROM_RGB,
     RGB_FROM_LMS,
     Lab,
     bayer_offset,
-    hue,
     oklab_dist_sq,
-    oklab_to_linear,
 )
 from gridspark.functions.palette import PALETTE_SIZE, palette_array, palette_dim, with_oklab
 from gridspark.operators.scan import join_on
-from gridspark.session import cut_lineage
 
 METRICS = ("OKLAB", "CHROMA_FIRST", "LUMA_FIRST", "HUE_ONLY", "RGB")
 ACHROMATIC_SQ = 0.04 * 0.04
@@ -33,76 +37,41 @@ GREY_PENALTY = 2.01
 RGB_KEYS = ["r", "g", "b"]
 
 
-def _once(df: DataFrame, row: Column) -> DataFrame:
-    """Append the fields of a struct, computed once per row.
-
-    A generator of one row keeps the optimizer from copying a costly
-    expression into every filter and expression that uses its fields.
-    """
-    return df.select("*", F.inline(F.array(row)))
-
-
-def _probe(df: DataFrame, lab: Lab, metric: str) -> DataFrame:
-    """Append the values of a row that ``metric`` compares."""
-    placed = _once(df, F.struct(lab.L.alias("__L"), lab.a.alias("__a"), lab.b.alias("__b")))
-    here = Lab(F.col("__L"), F.col("__a"), F.col("__b"))
-    if metric == "HUE_ONLY":
-        return _once(placed, F.struct(hue(here).alias("__hue"), (here.a * here.a + here.b * here.b).alias("__csq")))
-    if metric == "RGB":
-        lin = oklab_to_linear(here)
-        return _once(placed, F.struct(lin.r.alias("__lr"), lin.g.alias("__lg"), lin.b.alias("__lb")))
-    return placed
+ENTRY = ["id", "L", "a", "b", "lr", "lg", "lb", "hue", "chroma_sq"]
+AT_ONCE = 2048  # colours compared with the palette together
 
+Palette = dict[str, np.ndarray]
 
-def _distance(metric: str, entry: Column) -> Column:
-    lab, other = Lab(F.col("__L"), F.col("__a"), F.col("__b")), Lab(entry["L"], entry["a"], entry["b"])
-    dl, da, db = lab.L - other.L, lab.a - other.a, lab.b - other.b
-    plain = oklab_dist_sq(lab, other)
-    if metric == "OKLAB":
-        return plain
-    if metric == "CHROMA_FIRST":
-        return dl * dl + da * da * 4 + db * db * 4
-    if metric == "LUMA_FIRST":
-        return dl * dl * 4 + da * da + db * db
-    if metric == "HUE_ONLY":
-        return (
-            F.when(F.col("__csq") < ACHROMATIC_SQ, plain)
-            .when(entry["chroma_sq"] < ACHROMATIC_SQ, F.lit(GREY_PENALTY))
-            .otherwise(1.0 - F.cos(F.col("__hue") - entry["hue"]))
-        )
-    if metric == "RGB":
-        dr, dg, dbl = F.col("__lr") - entry["lr"], F.col("__lg") - entry["lg"], F.col("__lb") - entry["lb"]
-        return dr * dr + dg * dg + dbl * dbl
-    raise ValueError(f"unknown metric {metric!r}")
 
+def _entries(palette: DataFrame, *group: str) -> DataFrame:
+    """One row (per ``group``) with the palette's entries, in id order, as one flat array of numbers."""
+    flat = F.flatten(F.transform("palette", lambda e: F.array(*(e[name].cast("double") for name in ENTRY))))
+    small = F.when(F.size("palette") < PALETTE_SIZE, flat)
+    checked = F.coalesce(small, F.raise_error(F.lit(f"a palette has at most {PALETTE_SIZE - 1} rows")).cast("array<double>"))
+    return palette_array(palette, *group).select(*group, checked.alias("entries"))
 
-def with_best_of(df: DataFrame, palette: Column, lab: Lab, metric: str = "OKLAB") -> DataFrame:
-    """Append ``__dist`` and ``__id`` of the nearest entry of each row's own palette array."""
-    best = F.array_min(
-        F.transform(palette, lambda e: F.struct(_distance(metric, e).alias("__dist"), e["id"].alias("__id")))
-    )
-    return _once(_probe(df, lab, metric), best)
 
+def _bounded(palette: DataFrame) -> DataFrame:
+    return palette if "legal" in palette.columns else palette_dim(palette)
 
-ENTRY = ["id", "L", "a", "b", "lr", "lg", "lb", "hue", "chroma_sq"]
 
+def _loaded(flat: np.ndarray) -> Palette:
+    table = np.asarray(flat, np.float64).reshape(-1, len(ENTRY))
+    return {name: table[:, k] for k, name in enumerate(ENTRY)}
 
-Palette = dict[str, np.ndarray]
 
+def _weighted(weights, values):
+    out = values[0] * weights[0]
+    for weight, value in zip(weights[1:], values[1:]):
+        out = out + value * weight
+    return out
 
-def load_palette(palette: DataFrame | Palette) -> Palette:
-    """The palette (bounded to ids 1..255) as arrays ordered by id.
 
-    Load it once to match several inputs against it; every ``palette``
-    argument of the nearest-colour functions also takes the loaded form.
-    """
-    if isinstance(palette, dict):
-        return palette
-    bounded = palette_dim(palette) if "legal" not in palette.columns else palette
-    entries = palette_array(bounded).select(F.inline("palette")).limit(PALETTE_SIZE + 1).toPandas()
-    if len(entries) > PALETTE_SIZE:
-        raise ValueError(f"a palette has at most {PALETTE_SIZE} rows")
-    return {name: entries[name].to_numpy() for name in ENTRY}
+def _oklab(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    unit = [c / 255 for c in (r, g, b)]
+    linear = [np.where(c <= 0.04045, c / 12.92, ((np.maximum(c, 0) + 0.055) / 1.055) ** 2.4) for c in unit]
+    roots = [np.cbrt(_weighted(row, linear)) for row in LMS_FROM_RGB]
+    return [_weighted(row, roots) for row in LAB_FROM_LMS]
 
 
 def _gaps(pal: Palette, L, a, b, metric: str) -> np.ndarray:
@@ -129,104 +98,186 @@ def _gaps(pal: Palette, L, a, b, metric: str) -> np.ndarray:
     return plain
 
 
-def with_nearest(df: DataFrame, palette: DataFrame | Palette, lab: Lab, metric: str = "OKLAB") -> DataFrame:
-    """Append ``match_id`` and ``dist`` of the nearest entry to each row.
-
-    The lowest id wins a tie; an empty palette gives id 0 and no distance, a
-    row without a colour gets neither.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
-    pal = load_palette(palette)
-
-    @F.pandas_udf("match_id int, dist double")
-    def nearest(L: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        if not len(pal["id"]):
-            return pd.DataFrame({"match_id": np.zeros(len(L), np.int32), "dist": np.full(len(L), np.nan)})
-        gaps = _gaps(pal, L.to_numpy(), a.to_numpy(), b.to_numpy(), metric)
-        at = gaps.argmin(axis=1)
-        dist = gaps[np.arange(len(at)), at]
-        ids = pd.Series(pal["id"][at], dtype="Int32").mask(np.isnan(dist))
-        return pd.DataFrame({"match_id": ids, "dist": dist})
-
-    found = df.withColumn("__m", nearest(lab.L, lab.a, lab.b))
-    return found.select(*df.columns, "__m.match_id", F.nanvl("__m.dist", F.lit(None)).alias("dist"))
-
-
-def match_colours(colours: DataFrame, palette: DataFrame | Palette, metric: str = "OKLAB") -> DataFrame:
-    """Append ``match_id`` and ``dist`` (squared) to rows that are already distinct colours."""
-    lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    return with_nearest(with_oklab(colours), palette, lab, metric).drop("L", "a", "lab_b")
-
-
-def nearest_match(df: DataFrame, palette: DataFrame | Palette, metric: str = "OKLAB") -> DataFrame:
-    """Append ``match_id`` and ``dist`` to rows holding ``r, g, b``.
+def _answers(pal: Palette, lab: list[np.ndarray], metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Position (in id order) and distance of the nearest entry; the first one wins a tie."""
+    at, dist = np.zeros(len(lab[0]), np.int64), np.full(len(lab[0]), np.nan)
+    if len(pal["id"]):
+        for lo in range(0, len(at), AT_ONCE):
+            gaps = _gaps(pal, *(v[lo : lo + AT_ONCE] for v in lab), metric)
+            at[lo : lo + AT_ONCE] = gaps.argmin(axis=1)
+            dist[lo : lo + AT_ONCE] = gaps[np.arange(len(gaps)), at[lo : lo + AT_ONCE]]
+    return at, dist
+
+
+def _dictionary(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One row index per distinct combination of the columns, and the combination of each row."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for values in columns:
+        distinct, own = np.unique(values, return_inverse=True)
+        _, code = np.unique(code * len(distinct) + own, return_inverse=True)
+    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return first, code
+
+
+def _matched(pal: Palette, rgb: list[np.ndarray], shift: np.ndarray | None, metric_list: tuple[str, ...]):
+    """Per metric the ids (0 where the palette is empty, -1 for a row without a colour) and distances of a batch."""
+    known = ~np.isnan(rgb[0] + rgb[1] + rgb[2])
+    channels = [c[known] for c in rgb]
+    offsets = None if shift is None else shift[known]
+    first, code = _dictionary(channels if offsets is None else [*channels, offsets])
+    lab = _oklab(*(c[first] for c in channels))
+    if offsets is not None:
+        lab = [v + offsets[first] for v in lab]
+    for metric in metric_list:
+        at, dist = _answers(pal, lab, metric)
+        found = pal["id"][at] if len(pal["id"]) else np.zeros(len(at))
+        ids, dists = np.full(len(known), -1.0), np.full(len(known), np.nan)
+        ids[known], dists[known] = found[code], dist[code]
+        yield ids.astype(np.int32), dists
+
+
+#: Position of a row inside its partition, as ``monotonically_increasing_id`` numbers them.
+IN_PARTITION = (1 << 33) - 1
+
+
+def with_nearest(
+    df: DataFrame, palette: DataFrame, metrics: tuple[str, ...] = ("OKLAB",), shift: Column | None = None
+) -> DataFrame:
+    """Append ``id_<metric>`` and ``dist_<metric>`` of the nearest entry to rows holding ``r, g, b``, in one pass.
 
-    The answers (at most 2^24 rows) are written once to shared storage.  The
-    planner then knows their size: it broadcasts them while they stay under
-    its threshold, so the pixels are not shuffled, and joins by shuffle beyond.
+    ``shift`` is added to L, a and b.  The lowest id wins a tie; an empty
+    palette gives id 0 and no distance, a row without a colour gets neither.
     """
-    matched = cut_lineage(match_colours(df.select(*RGB_KEYS).distinct(), palette, metric), "colours")
-    return df.join(matched, RGB_KEYS, "left")
+    for metric in metrics:
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}")
+    fields = ", ".join(f"id_{m} int, dist_{m} double" for m in metrics)
+    shifted = shift is not None
+
+    def match(batches):
+        pal = None
+        for first, r, g, b, *rest in batches:
+            if pal is None:
+                pal = _loaded(first.iloc[0])
+            rgb = [c.to_numpy(np.float64, na_value=np.nan) for c in (r, g, b)]
+            t = rest[0].to_numpy(np.float64, na_value=np.nan) if shifted else None
+            out = {}
+            for m, (ids, dists) in zip(metrics, _matched(pal, rgb, t, metrics)):
+                out[f"id_{m}"] = pd.Series(ids, dtype="Int32").mask(ids < 0)
+                out[f"dist_{m}"] = dists
+            yield pd.DataFrame(out)
+
+    if shifted:
+
+        def plain(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            return match(batches)
+    else:
+
+        def plain(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            return match(batches)
+
+    plain.__annotations__ = {
+        "batches": Iterator[(tuple[(pd.Series,) * (5 if shifted else 4)])],
+        "return": Iterator[pd.DataFrame],
+    }
+    # not deterministic, so that no filter is moved between the palette's row and the stage that reads it
+    nearest = F.pandas_udf(plain, fields).asNondeterministic()
+    first_row = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION)) == 0
+    carried = {"__pal": F.when(first_row, _entries(_bounded(palette)).scalar())}
+    if shifted:
+        carried["__t"] = shift
+    rows = df.withColumns(carried)
+    found = rows.withColumn("__m", nearest("__pal", *RGB_KEYS, *(["__t"] if shifted else [])))
+    columns = [c for m in metrics for c in (F.col(f"__m.id_{m}"), F.nanvl(f"__m.dist_{m}", F.lit(None)).alias(f"dist_{m}"))]
+    return found.select(*df.columns, *columns)
+
+
+def nearest_match(df: DataFrame, palette: DataFrame, metric: str = "OKLAB", shift: Column | None = None) -> DataFrame:
+    """Append ``match_id`` and ``dist`` (squared) of the nearest entry to rows holding ``r, g, b``."""
+    found = with_nearest(df, palette, (metric,), shift)
+    return found.withColumnsRenamed({f"id_{metric}": "match_id", f"dist_{metric}": "dist"})
+
+
+def match_by_metric(df: DataFrame, palette: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row per row and metric: ``metric, match_id, dist``, all metrics from one pass over the rows."""
+    each = F.array(
+        *(F.struct(F.lit(m).alias("metric"), F.col(f"id_{m}").alias("match_id"), F.col(f"dist_{m}").alias("dist")) for m in metrics)
+    )
+    return with_nearest(df, palette, tuple(metrics)).select(*df.columns, F.inline(each))
 
 
 def used_entries(palette: DataFrame, colours: DataFrame, metric: str = "OKLAB") -> DataFrame:
     """Palette rows that are the nearest match of at least one colour."""
-    hits = match_colours(colours.select(*RGB_KEYS).distinct(), palette, metric)
+    hits = nearest_match(colours.select(*RGB_KEYS), palette, metric)
     return palette.join(hits.select(F.col("match_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def ordered_dither(
-    df: DataFrame, palette: DataFrame | Palette, size: int = 4, scale: float = 0.1, metric: str = "OKLAB"
+    df: DataFrame, palette: DataFrame, size: int = 4, scale: float = 0.1, metric: str = "OKLAB"
 ) -> DataFrame:
     """Shift L, a and b by a position-dependent threshold, then match."""
-    placed = df.withColumn("__t", bayer_offset(F.col("x"), F.col("y"), size, scale))
-    keys = [*RGB_KEYS, "__t"]
-    shifted = Lab(F.col("L") + F.col("__t"), F.col("a") + F.col("__t"), F.col("lab_b") + F.col("__t"))
-    colours = with_oklab(placed.select(*keys).distinct())
-    matched = cut_lineage(with_nearest(colours, palette, shifted, metric).select(*keys, "match_id"), "colours")
-    return placed.join(matched, keys, "left").drop("__t")
-
-
-def two_pass_match(
-    df: DataFrame,
-    palette: DataFrame,
-    metric: str = "OKLAB",
-    dither_size: int | None = None,
-    dither_scale: float = 0.1,
+    return nearest_match(df, palette, metric, bayer_offset(F.col("x"), F.col("y"), size, scale)).drop("dist")
+
+
+def dither_sizes(
+    df: DataFrame, palette: DataFrame, sizes: tuple[int, ...], scale: float = 0.1, metric: str = "OKLAB"
 ) -> DataFrame:
-    """Match to the whole palette, keep the entries used, dither and match to those."""
-    used = used_entries(palette, df, metric)
-    if dither_size is None:
-        return nearest_match(df, used, metric)
-    return ordered_dither(df, used, dither_size, dither_scale, metric)
+    """``ordered_dither`` with several matrix sizes from one read: one row per row and ``size``."""
+    offset = F.array(
+        *(F.struct(F.lit(n).alias("size"), bayer_offset(F.col("x"), F.col("y"), n, scale).alias("__o")) for n in sizes)
+    )
+    each = df.select(*df.columns, F.inline(offset))
+    return nearest_match(each, palette, metric, F.col("__o")).drop("__o", "dist")
+
+
+TILE_ROWS = 1 << 18
 
 
 def tile_palette_match(
-    pixels: DataFrame, present: DataFrame, palette: DataFrame, tile: list[str], metric: str = "OKLAB"
+    pixels: DataFrame, present: DataFrame, palette: DataFrame, tile: list[str], metric: str = "OKLAB", tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """Match each pixel only to entries its own tile already shows.
 
     ``present`` has one row per ``(tile, id)``; a tile without any entry falls
-    back to the whole palette.
+    back to the whole palette.  Pixels meet their palette in one shuffle by
+    tile.  A tile of more than ``tile_rows`` pixels is dealt over several
+    groups, each with a copy of the (at most 255) entries.
     """
-    local = palette_array(present.where(F.col("id") > 0).join(palette, "id"), *tile)
-    keys = [*tile, *RGB_KEYS]
-    lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    colours = with_oklab(pixels.select(*keys).distinct().dropna(subset=RGB_KEYS))
-    armed = join_on(colours, local, tile, "left").withColumn("__full", palette_array(palette).scalar())
-    found = with_best_of(armed, F.coalesce("palette", "__full"), lab, metric)
-    matched = found.select(*keys, F.col("__id").alias("match_id"))
-    return join_on(pixels, matched, keys, "left")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    key = F.struct(*tile)
+    sizes = pixels.groupBy(key.alias("__tile")).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > tile_rows).select("__tile", F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"))
+    colour = F.xxhash64(*(c for c in pixels.columns if c not in tile))
+    part = F.coalesce(F.pmod(colour, F.col("parts")).cast("int"), F.lit(0))
+    dealt = pixels.withColumn("__tile", key).join(large, "__tile", "left").withColumn("part", part).drop("parts")
+    own = _entries(present.where(F.col("id") > 0).select(*tile, "id").distinct().join(_bounded(palette), "id"), *tile)
+    local = own.select(key.alias("__tile"), "entries")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    # a tile without entries still needs the group that brings the whole palette
+    known = sizes.select("__tile").join(local, "__tile", "left").join(large, "__tile", "left")
+    armed = known.select("__tile", F.coalesce("entries", _entries(_bounded(palette)).scalar()).alias("entries"), copies.alias("part"))
+    names = pixels.columns
+
+    def match(group: pa.Table, entries: pa.Table) -> pa.Table:
+        pal = _loaded(entries.column("entries")[0].values.to_numpy(zero_copy_only=False))
+        rgb = [group.column(c).cast(pa.float64()).to_numpy() for c in RGB_KEYS]
+        ((ids, _),) = _matched(pal, rgb, None, (metric,))
+        return group.select(names).append_column("match_id", pa.array(ids, mask=ids < 0))
+
+    groups = dealt.groupBy("__tile", "part").cogroup(armed.groupBy("__tile", "part"))
+    return groups.applyInArrow(match, StructType([*pixels.schema.fields, StructField("match_id", IntegerType())]))
 
 
 def nearest_other(palette: DataFrame) -> DataFrame:
     """For each palette row, the nearest other row as ``other_id`` and ``dist``."""
-    lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    others = F.filter("__pal", lambda e: e["id"] != F.col("id"))
+    here = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
     armed = with_oklab(palette).withColumn("__pal", palette_array(palette).scalar())
-    found = with_best_of(armed, others, lab)
-    return found.select(*palette.columns, F.col("__id").alias("other_id"), F.col("__dist").alias("dist"))
+    others = F.filter("__pal", lambda e: e["id"] != F.col("id"))
+    gaps = F.transform(others, lambda e: F.struct(oklab_dist_sq(here, Lab(e["L"], e["a"], e["b"])).alias("d"), e["id"].alias("i")))
+    found = armed.select("*", F.inline(F.array(F.array_min(gaps))))
+    return found.select(*palette.columns, F.col("i").alias("other_id"), F.col("d").alias("dist"))
 
 
 def closest_pair(counts: DataFrame, palette: DataFrame, group: list[str], weighted: bool = False) -> DataFrame:
@@ -281,8 +332,7 @@ def match_quality(df: DataFrame, palette: DataFrame, good: float = 0.05) -> Data
 
     No rows give (0, 0); an empty palette gives (0, 1).
     """
-    colours = df.groupBy(*RGB_KEYS).agg(F.count(F.lit(1)).alias("n"))
-    return quality(match_colours(colours, palette), palette, good)
+    return quality(nearest_match(df.select(*RGB_KEYS), palette).withColumn("n", F.lit(1)), palette, good)
 
 
 def quality(weighted: DataFrame, palette: DataFrame | None = None, good: float = 0.05) -> DataFrame:

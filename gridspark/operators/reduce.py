@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gridspark.functions.palette import with_oklab
-from gridspark.operators.match import closest_pair
+from gridspark.operators.match import closest_pair, nearest_match, ordered_dither
 from gridspark.operators.scan import join_on
 
 RAREST, CLOSEST, WEIGHTED = "RAREST", "CLOSEST", "WEIGHTED"
@@ -138,3 +138,33 @@ def apply_step(pixels: DataFrame, step: DataFrame, group: list[str], c: str = "c
     out = join_on(pixels, step.select(*group, "victim", "survivor"), group, "left")
     new = F.when(F.col(c) == F.col("victim"), F.col("survivor")).otherwise(F.col(c))
     return out.select(*(new.alias(c) if n == c else F.col(n) for n in pixels.columns))
+
+
+def two_pass_match(
+    df: DataFrame,
+    palette: DataFrame,
+    metric: str = "OKLAB",
+    dither_size: int | None = None,
+    dither_scale: float = 0.1,
+    colours: int | None = None,
+    strategy: str = RAREST,
+    group: list[str] | None = None,
+) -> DataFrame:
+    """Match to the whole palette, keep the entries used, optionally reduce and dither, and match to those.
+
+    With ``colours`` at most that many of the used entries are left for the
+    second match, merged by ``strategy`` over the counts of the first one.
+    The reduction is over the whole table; call it per image for palettes per
+    image, or name ``group`` columns to keep what is left in any group.
+    """
+    first = nearest_match(df, palette, metric).withColumn("c", F.col("match_id"))
+    if colours is None:
+        left = first.select(F.col("c").alias("id"))
+    else:
+        keys = group or ["__all"]
+        counted = first if group else first.withColumn("__all", F.lit(0))
+        left = reduction_map(counted, palette, keys, colours, strategy).select(F.col("to").alias("id"))
+    used = palette.join(left.where("id > 0").distinct(), "id", "left_semi")
+    if dither_size is None:
+        return nearest_match(df, used, metric)
+    return ordered_dither(df, used, dither_size, dither_scale, metric)

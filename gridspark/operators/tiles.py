@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.color import Lab
-from gridspark.functions.palette import with_oklab
-from gridspark.operators.match import RGB_KEYS, with_nearest
+from gridspark.operators.match import RGB_KEYS, nearest_match
 from gridspark.operators.neighbours import gaussian_blur, median_filter, unsharp
-from gridspark.session import cut_lineage
 
 SIDE = 128
 
@@ -80,14 +77,11 @@ def filter_requantize(
         marked = soft.join(mask.select(*cell).withColumn("__in", F.lit(True)), cell, "left")
         chosen = pixels.join(mask, cell, "left_semi")
     in_use = palette.join(chosen.select(F.col(c).alias("id")).where("id > 0").distinct(), "id", "left_semi")
-    colours = with_oklab(marked.select(*RGB_KEYS).distinct())
-    lab = Lab(F.col("L"), F.col("a"), F.col("lab_b"))
-    best = cut_lineage(with_nearest(colours, in_use, lab).select(*RGB_KEYS, "match_id"), "colours")
     new = (
         F.when((F.col(c) == 0) | F.col("__in").isNull(), F.col(c))
         .when(F.col("alpha") < 128, F.lit(0))
         .otherwise(F.col("match_id"))
     )
-    out = marked.join(best, RGB_KEYS, "left").withColumn("__new", new)
+    out = nearest_match(marked, in_use).withColumn("__new", new)
     return out.select(*(F.col("__new").alias(n) if n == c else F.col(n) for n in pixels.columns))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import color as C
 from gridspark.functions import palette as P
 from gridspark.operators import match as M
+from gridspark.operators import reduce as R
 from gridspark.plans import check_views as S
 from gridspark.plans.registry import query
 from gridspark.sources import views as V
@@ -259,28 +260,21 @@ _P_LIN = f"(SELECT id, L, a, lb, {S.lin('r')} AS lr, {S.lin('g')} AS lg, {S.lin(
     ),
 )
 def _(spark, d):
-    src, pal = V.opaque_rgb(spark, d), M.load_palette(P.palette_dim(V.pal(spark, d)))
-    out = None
-    for metric in M.METRICS:
-        rows = M.nearest_match(src, pal, metric).select(
-            F.lit(metric).alias("metric"), "id", "match_id", r6("dist").alias("dist")
-        )
-        out = rows if out is None else out.union(rows)
-    return out
+    out = M.match_by_metric(V.opaque_rgb(spark, d), P.palette_dim(V.pal(spark, d)))
+    return out.select("metric", "id", "match_id", r6("dist").alias("dist"))
+
+
+# The ordered-dither matrices of side 2 and 4; 8 and 16 follow from the bits of the position.
+_BAYER = {2: "0 2 3 1", 4: "0 8 2 10 12 4 14 6 3 11 1 9 15 7 13 5"}
 
 
 def _bayer_sql(x: str, y: str, size: int) -> str:
-    rows = [[0]]
-    while len(rows) < size:
-        n = len(rows)
-        grown = [[0] * (2 * n) for _ in range(2 * n)]
-        for yy in range(n):
-            for xx in range(n):
-                for (dy, dx), add in {(0, 0): 0, (0, n): 2, (n, 0): 3, (n, n): 1}.items():
-                    grown[yy + dy][xx + dx] = rows[yy][xx] * 4 + add
-        rows = grown
-    flat = [v for row in rows for v in row]
-    return f"(list_value({', '.join(map(str, flat))})[CAST(({y} % {size})*{size} + {x} % {size} + 1 AS INT)])"
+    x, y = f"CAST({x} AS BIGINT)", f"CAST({y} AS BIGINT)"
+    if size in _BAYER:
+        return f"(list_value({', '.join(_BAYER[size].split())})[{y} % {size} * {size} + {x} % {size} + 1])"
+    # the quarter a position falls in weighs least, its place in the smallest square most
+    half = size // 2
+    return f"({_bayer_sql(x, y, half)} * 4 + list_value(0, 2, 3, 1)[({y} // {half}) % 2 * 2 + ({x} // {half}) % 2 + 1])"
 
 
 def _dithered(source: str, size: int, scale: float) -> str:
@@ -304,12 +298,8 @@ def _placed(spark, d) -> DataFrame:
     ),
 )
 def _(spark, d):
-    src, pal = _placed(spark, d), M.load_palette(P.palette_dim(V.pal(spark, d)))
-    out = None
-    for size in (2, 4, 8, 16):
-        rows = M.ordered_dither(src, pal, size, 0.12).select(F.lit(size).alias("size"), "id", "match_id")
-        out = rows if out is None else out.union(rows)
-    return out
+    out = M.dither_sizes(_placed(spark, d), P.palette_dim(V.pal(spark, d)), (2, 4, 8, 16), 0.12)
+    return out.select("size", "id", "match_id")
 
 
 @query(
@@ -319,7 +309,7 @@ def _(spark, d):
     FROM {_dithered('rgb_lab', 4, 0.3)} s, used p GROUP BY s.id)""",
 )
 def _(spark, d):
-    out = M.two_pass_match(_placed(spark, d), P.palette_dim(V.pal(spark, d)), dither_size=4, dither_scale=0.3)
+    out = R.two_pass_match(_placed(spark, d), P.palette_dim(V.pal(spark, d)), dither_size=4, dither_scale=0.3)
     return out.select("id", "match_id")
 
 

@@ -12,9 +12,8 @@ from gridspark.operators import neighbours as N
 from gridspark.operators import plan as B
 from gridspark.operators import reduce as R
 from gridspark.operators.masks import remap
-from gridspark.operators.match import load_palette, tile_palette_match, with_nearest
+from gridspark.operators.match import nearest_match, tile_palette_match
 from gridspark.operators.scan import row_number, rows_between, scan
-from gridspark.functions.color import Lab
 from gridspark.sources import batches as J
 from gridspark.streaming import assemble as A
 from gridspark.streaming.replay import drain, stream_table
@@ -68,8 +67,8 @@ def test_bad_palettes_are_errors(spark):
         with pytest.raises(Exception, match="palette id"):
             palette_dim(spark.createDataFrame(rows, schema)).collect()
     wide = spark.range(999).select(F.col("id").cast("int"), *(F.lit(1).alias(c) for c in "rgb"), F.lit(True).alias("legal"))
-    with pytest.raises(ValueError, match="at most"):
-        load_palette(wide)
+    with pytest.raises(Exception, match="at most"):
+        nearest_match(wide, wide).collect()
     pixels = spark.createDataFrame([(1,), (2,)], "c int")
     for rows in ([(300, 1)], [(1, 2), (1, 3)]):
         with pytest.raises(Exception, match="mapped"):
@@ -78,9 +77,9 @@ def test_bad_palettes_are_errors(spark):
 
 def test_no_colour_has_no_match(spark):
     pal = palette_dim(spark.createDataFrame([(4, 0, 0, 0), (8, 255, 255, 255)], "id int, r int, g int, b int"))
-    rows = spark.createDataFrame([(0.9, 0.0, 0.0), (None, None, None)], "L double, a double, b double")
-    got = with_nearest(rows, pal, Lab(F.col("L"), F.col("a"), F.col("b"))).collect()
-    assert {(r.L, r.match_id) for r in got} == {(0.9, 8), (None, None)} and {r.dist is None for r in got if r.L is None} == {True}
+    rows = spark.createDataFrame([(250, 250, 250), (None, 1, 1), (None, None, None)], "r int, g int, b int")
+    got = nearest_match(rows, pal).collect()
+    assert {(r.r, r.match_id) for r in got} == {(250, 8), (None, None)} and {r.dist is None for r in got if r.r is None} == {True}
 
 
 SEGMENTS = {
