@@ -140,7 +140,7 @@ def frame_clock(
     """
     spent = running_sum(F.col("delay_ms"))
     rows = frames.select(anim, "frame", F.col("delay_ms").cast("long").alias("delay_ms"))
-    sliced, key = cut(rows, [anim], "frame", width)
+    sliced, key, _ = cut(rows, [anim], "frame", width)
     c = carries(sliced, key, {"s": spent}).withColumn("total", F.sum("__f_s").over(Window.partitionBy(*key)))
     at = F.lit(at_ms).cast("long")
     done = (F.lit(loop_count) > 0) & (at >= F.col("total") * loop_count)

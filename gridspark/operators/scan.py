@@ -1,11 +1,17 @@
 """Running values over groups too large for one task.
 
-A plain window function sorts each group inside a single task.  Here every
-group is cut into slices of its integer order column; a slice is summarised
-first (a normal partial aggregation), the summaries of earlier slices are
-added up per group, and only then is each slice scanned on its own.  A group
-that holds a third of the table is thus spread over many tasks, and the window
-partitions hold at most ``width`` distinct order values each.
+A plain window function sorts each group inside a single task.  Here the rows
+of large groups are counted first and cut into slices of at most ``width``
+rows along their integer order column; a slice is summarised (a normal partial
+aggregation), the summaries of earlier slices are added up per group, and only
+then is each slice scanned on its own.  A group that holds a third of the table
+is thus spread over many tasks.  Groups of up to ``width`` rows are one slice,
+and a table without larger ones is scanned without any carry.
+
+Slices follow the rows, not the values.  A group is cut into equal ranges of
+its order values; ranges that still hold too many rows are cut again by their
+own bounds, until none does.  Each cut narrows a range to its share, so values
+of any spread take few rounds.
 """
 
 from __future__ import annotations
@@ -17,8 +23,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.session import cut_lineage
+
 SLICE = "__slice"
 KEY = "__key"
+NODE = "__node"
 WIDTH = 1 << 16
 
 
@@ -50,10 +59,6 @@ def running_xor(value: Column) -> Running:
     )
 
 
-def slice_of(order: Column, width: int) -> Column:
-    return F.floor(order / width).cast("long")
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null, so rows without a key are kept."""
     named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -61,17 +66,55 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*(f"__r_{k}" for k in keys))
 
 
-def cut(df: DataFrame, keys: list[str], order: str, width: int) -> tuple[DataFrame, list[str]]:
-    """Append the slice of each row, and its keys as one struct.
+LOWEST = -(1 << 63)
+
 
-    Structs with null fields compare as equal, so a null key is a group like
-    any other, and the same hash partitioning serves the join and the window.
-    Rows without an order value come first, in a slice of their own.
+def cut(df: DataFrame, keys: list[str], order: str, width: int, tied: bool = False) -> tuple[DataFrame, list[str], bool]:
+    """Append the slice of each row and its keys as one struct; tell whether any group has several slices.
+
+    A slice is a struct that sorts as its rows do.  Structs with null fields
+    compare as equal, so a null key is a group like any other.  Rows without an
+    order value come first.  Rows with equal order values (or none) are dealt
+    over slices by a hash of the row, unless ``tied`` says that further columns
+    order them.  Counting starts a job, one more for each round of cuts.
     """
-    sliced = df.withColumn(SLICE, F.coalesce(slice_of(F.col(order), width), F.lit(-(1 << 63))))
-    if not keys:
-        return sliced, []
-    return sliced.withColumn(KEY, F.struct(*keys)), [KEY]
+    value = F.col(order).cast("long")
+    rows = df.withColumns(
+        {KEY: F.struct(*(keys or [F.lit(0)])), "__at": F.when(value.isNotNull(), F.lit(LOWEST)), "__part": F.lit(0)}
+    )
+    waiting, several = rows, False
+    while True:
+        held = waiting.groupBy(F.struct(KEY, "__at").alias(NODE)).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        )
+        one = F.col("lo").isNull() | (F.col("lo") == F.col("hi"))
+        if tied:
+            held = held.where(~one)
+        large = cut_lineage(held.where(F.col("n") > width), "slices")
+        if large.isEmpty():
+            break
+        several = True
+        # exact in decimals: the bounds may be 2^64 apart
+        span = (F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1).cast("decimal(20,0)")
+        cells = F.ceil(F.col("n") * 2 / width).cast("decimal(20,0)")
+        plan = large.select(
+            F.col(NODE).alias("__cut"),
+            F.when(~one, F.col("lo")).alias("__lo"),
+            F.when(~one, F.greatest(F.ceil(span / cells), F.lit(1)).cast("decimal(20,0)")).alias("__step"),
+            F.when(one, F.ceil(F.col("n") / width).cast("int")).alias("__parts"),
+        )
+        joined = rows.join(plan, F.struct(KEY, "__at") == F.col("__cut"), "left")
+        offset = F.expr(f"(cast({order} as decimal(20,0)) - cast(__lo as decimal(20,0))) div __step")
+        cell = (F.col("__lo").cast("decimal(20,0)") + offset.cast("decimal(20,0)") * F.col("__step")).cast("long")
+        columns = {
+            "__at": F.when(F.col("__step").isNotNull(), cell).otherwise(F.col("__at")),
+            "__part": F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("__parts")).cast("int")).otherwise(F.col("__part")),
+        }
+        moved = joined.select(*df.columns, KEY, *(c.alias(n) for n, c in columns.items()), F.col("__step").isNotNull().alias("__moved"))
+        waiting = moved.where("__moved")
+        rows = moved.drop("__moved")
+    sliced = rows.withColumn(SLICE, F.struct("__at", "__part")).drop("__at", "__part")
+    return sliced, [KEY], several
 
 
 def scan(
@@ -87,16 +130,15 @@ def scan(
     ``(order, *ties)`` must be unique inside a group, or the result is as
     arbitrary as a row number over ties always is.
     """
-    sliced, key = cut(df, keys, order, width)
-    carry = carries(sliced, key, outputs)
-    local = (
-        Window.partitionBy(*key, SLICE)
-        .orderBy(order, *ties)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = sliced.join(carry, [*key, SLICE])
-    scanned = {name: run.combine(F.col(f"__c_{name}"), run.scan.over(local)) for name, run in outputs.items()}
-    return joined.select(*df.columns, *(c.alias(name) for name, c in scanned.items()))
+    sliced, key, several = cut(df, keys, order, width, bool(ties))
+    if several:
+        sliced = sliced.join(carries(sliced, key, outputs), [*key, SLICE])
+    # a group of one slice starts at its first row, whether its order value is there or not
+    place = [*key, SLICE] if several else key
+    local = Window.partitionBy(*place).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = (lambda name: F.col(f"__c_{name}")) if several else (lambda name: F.lit(None))
+    scanned = {name: run.combine(carry(name), run.scan.over(local)) for name, run in outputs.items()}
+    return sliced.select(*df.columns, *(c.alias(name) for name, c in scanned.items()))
 
 
 def carries(sliced: DataFrame, keys: list[str], outputs: dict[str, Running]) -> DataFrame:
@@ -119,15 +161,21 @@ def rows_between(
     Only the slices that reach into the range are ranked.  The bounds may use
     ``total``, the row count of the group.
     """
-    sliced, key = cut(df, keys, order, width)
-    counts = carries(sliced, key, {"n": row_number()})
-    total = F.sum("__f_n").over(Window.partitionBy(*key))
-    before = F.coalesce(F.col("__c_n"), F.lit(0))
-    hit = (
-        counts.select(*key, SLICE, before.alias("before"), F.col("__f_n").alias("n"), total.alias("total"))
-        .withColumns({"first": first, "last": last})
-        .where((F.col("before") < F.col("last")) & (F.col("before") + F.col("n") >= F.col("first")))
-    )
-    local = Window.partitionBy(*key, SLICE).orderBy(order)
-    numbered = sliced.join(hit, [*key, SLICE]).withColumn("row_no", F.col("before") + F.row_number().over(local))
+    sliced, key, several = cut(df, keys, order, width)
+    if several:
+        counts = carries(sliced, key, {"n": row_number()})
+        total = F.sum("__f_n").over(Window.partitionBy(*key))
+        before = F.coalesce(F.col("__c_n"), F.lit(0))
+        hit = (
+            counts.select(*key, SLICE, before.alias("before"), F.col("__f_n").alias("n"), total.alias("total"))
+            .withColumns({"first": first, "last": last})
+            .where((F.col("before") < F.col("last")) & (F.col("before") + F.col("n") >= F.col("first")))
+        )
+        local = Window.partitionBy(*key, SLICE).orderBy(order)
+        ranked = sliced.join(hit, [*key, SLICE])
+    else:
+        local = Window.partitionBy(*key).orderBy(order)
+        total = F.count(F.lit(1)).over(Window.partitionBy(*key))
+        ranked = sliced.withColumns({"total": total, "before": F.lit(0)}).withColumns({"first": first, "last": last})
+    numbered = ranked.withColumn("row_no", F.col("before") + F.row_number().over(local))
     return numbered.where(F.col("row_no").between(F.col("first"), F.col("last"))).select(*df.columns, "row_no", "total")
