@@ -1,12 +1,24 @@
-"""Payload text to indexed chunks and back, and segments that travel with donors."""
+"""Payload text to indexed chunks and back, and segments that travel with donors.
+
+Putting a payload together is a secondary sort: one shuffle brings a key's
+pieces to one task, sorted by key and position, and a single pass over the
+sorted rows joins them.  Rows of a key that is larger than memory are spilled by
+the sort; the pass holds one payload, which has to be one value in the end.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridspark.functions.payload import BODY_CHARS
 
+OPENS = "__opens"
+
 
 def hex_index(idx: Column) -> Column:
     """At least two lower-case hex digits."""
@@ -24,23 +36,71 @@ def chunk_explode(payloads: DataFrame, key: str, text: str, body_chars: int = BO
     return cut.withColumn("name", F.concat(hex_index(F.col("idx")), "body"))
 
 
+def _in_order(pieces: DataFrame, key: list[str], at: str, body: str) -> DataFrame:
+    """Pieces by key and position; a repeated position keeps its greatest body, ``__opens`` marks a key's first row."""
+    walk = Window.partitionBy(*key).orderBy(at, F.desc(body))
+    marked = pieces.withColumns({OPENS: F.row_number().over(walk) == 1, "__before": F.lag(at).over(walk)})
+    return marked.where(F.col(OPENS) | ~F.col("__before").eqNullSafe(F.col(at))).drop("__before")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[list[pa.Array], list[dict]]]:
+    """Per batch the keys that end in it and, for each, its rows so far as lists by column.
+
+    The last key of a batch may go on in the next one, so it is handed out later.
+    """
+    held_key, held = None, None
+    for batch in batches:
+        opens = [i for i, first in enumerate(batch.column(OPENS).to_pylist()) if first]
+        lists = {n: batch.column(n).to_pylist() for n in batch.schema.names if n not in (*key, OPENS)}
+        if held is not None:
+            upto = opens[0] if opens else batch.num_rows
+            for n, values in lists.items():
+                held[n] += values[:upto]
+        if not opens:
+            continue
+        if held is not None:
+            yield held_key, [held]
+        ends = [*opens[1:], batch.num_rows]
+        done = [{n: v[a:b] for n, v in lists.items()} for a, b in zip(opens, ends)]
+        if len(done) > 1:
+            yield [batch.column(k).take(pa.array(opens[:-1])) for k in key], done[:-1]
+        held_key, held = [batch.column(k).slice(opens[-1], 1) for k in key], done[-1]
+    if held is not None:
+        yield held_key, [held]
+
+
+def _joined(ordered: DataFrame, key: list[str], columns: list[str], out: str, join: Callable[[dict], tuple]) -> DataFrame:
+    """``key`` and the fields of ``out``, which ``join`` makes of one key's rows."""
+    schema = StructType([*(ordered.schema[k] for k in key), *StructType.fromDDL(out).fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for keys, groups in _groups(batches, key):
+            made = zip(*(join(g) for g in groups))
+            types = [_ARROW[f.dataType.typeName()] for f in schema.fields[len(key) :]]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, t) for v, t in zip(made, types))], names)
+
+    return ordered.select(*key, OPENS, *columns).mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
 def chunk_assemble(chunks: DataFrame, key: list[str], idx: str = "idx", body: str = "body") -> DataFrame:
     """Bodies joined in index order, with ``complete`` false on a gap.
 
-    Repeats of an index are folded first (the greatest body stays), so a
-    payload gathers each of its indexes once.
+    A repeated index counts once (its greatest body stays).  A chunk without an
+    index comes first and leaves the payload incomplete; without a body it adds nothing.
     """
-    once = chunks.groupBy(*key, idx).agg(F.max(body).alias("__b"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__b").alias("b"))))
-    whole = once.groupBy(*key).agg(
-        ordered.alias("__cs"), F.count(F.lit(1)).alias("n_chunks"), F.min(idx).alias("__lo"), F.max(idx).alias("__hi")
-    )
-    return whole.select(
-        *key,
-        F.array_join(F.transform("__cs", lambda s: s["b"]), "").alias("payload"),
-        "n_chunks",
-        ((F.col("__lo") == 0) & (F.col("__hi") == F.col("n_chunks") - 1)).alias("complete"),
-    )
+
+    def join(rows: dict) -> tuple:
+        known = [i for i in rows[idx] if i is not None]
+        n = len(rows[idx])
+        complete = known[0] == 0 and known[-1] == n - 1 if known else None
+        return "".join(b for b in rows[body] if b is not None), n, complete
+
+    ordered = _in_order(chunks.select(*key, idx, body), key, idx, body)
+    return _joined(ordered, key, [idx, body], "payload string, n_chunks long, complete boolean", join)
 
 
 def missing_chunks(expected: DataFrame, registered: DataFrame, key: list[str], count: str = "expected") -> DataFrame:
@@ -97,23 +157,46 @@ def route_segments(segments: DataFrame, receivers: DataFrame, key: list[str]) ->
     return segments.join(receivers, key)
 
 
+def overlay(pieces: Iterator[tuple[int, str]]) -> str:
+    """Pieces in order of their starts, laid over one another up to the first gap; the later start counts."""
+    out: list[str] = []
+    open_pieces: list[tuple[int, int, str]] = []  # those that reach farther than all after them: start, end, text
+    at = reach = 0
+
+    def upto(end: int) -> None:
+        nonlocal at
+        while at < end:
+            start, stop, text = open_pieces[-1]
+            if stop <= at:
+                open_pieces.pop()
+                continue
+            out.append(text[at - start : min(end, stop) - start])
+            at = min(end, stop)
+
+    for start, text in pieces:
+        if start > reach:
+            break
+        upto(start)
+        open_pieces.append((start, start + len(text), text))
+        reach = max(reach, start + len(text))
+    upto(reach)
+    return "".join(out)
+
+
 def segment_assemble(segments: DataFrame, key: list[str], total: str = "total") -> DataFrame:
     """Receiver payload from ``(key, offset, body, total)`` pieces placed at their offsets.
 
-    Repeats of an offset are folded first (the greatest body stays); where
-    pieces overlap, the one that starts later counts.  ``received`` counts the
+    A repeated offset counts once (its greatest body stays); where pieces
+    overlap, the one that starts later counts.  ``received`` counts the
     characters up to the first gap, where the payload ends too; it is complete
-    when they reach the total.
+    when they reach the total.  A piece without an offset or a body is none.
     """
-    once = segments.groupBy(*key, "offset").agg(F.max("body").alias("__b"), F.max(total).alias("__t"))
-    ordered = F.array_sort(F.collect_list(F.struct("offset", F.col("__b").alias("b"))))
-    whole = once.groupBy(*key).agg(ordered.alias("__s"), F.max("__t").alias("total"))
-
-    def place(acc: Column, s: Column) -> Column:
-        at, upto = s["offset"].cast("int"), (s["offset"] + F.length(s["b"])).cast("int")
-        over = F.concat(F.substring(acc, F.lit(1), at), s["b"], F.substring(acc, upto + 1, F.length(acc)))
-        return F.when((s["offset"] > F.length(acc)) | s["b"].isNull(), acc).otherwise(over)
-
-    placed = whole.select(*key, F.aggregate("__s", F.lit(""), place).alias("payload"), "total")
-    received = F.length("payload").cast("long")
-    return placed.select(*key, "payload", received.alias("received"), "total", (received >= F.col("total")).alias("complete"))
+
+    def join(rows: dict) -> tuple:
+        payload = overlay((o, b) for o, b in zip(rows["offset"], rows["body"]) if o is not None and b is not None)
+        return payload, len(payload), rows["__total"][0]
+
+    whole = segments.withColumn("__total", F.max(total).over(Window.partitionBy(*key)).cast("long"))
+    ordered = _in_order(whole.select(*key, "offset", "body", "__total"), key, "offset", "body")
+    placed = _joined(ordered, key, ["offset", "body", "__total"], "payload string, received long, total long", join)
+    return placed.withColumn("complete", F.col("received") >= F.col("total"))

@@ -110,30 +110,34 @@ def _answers(pal: Palette, lab: list[np.ndarray], metric: str) -> tuple[np.ndarr
 
 
 def _dictionary(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One row index per distinct combination of the columns, and the combination of each row."""
-    code = np.zeros(len(columns[0]), np.int64)
+    """The first row of each distinct combination of the columns, and the combination of each row."""
+    code, kinds = np.zeros(len(columns[0]), np.int64), 1
     for values in columns:
-        distinct, own = np.unique(values, return_inverse=True)
-        _, code = np.unique(code * len(distinct) + own, return_inverse=True)
-    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
-    first[code[::-1]] = np.arange(len(code))[::-1]
+        own, distinct = pd.factorize(values)
+        code, every = pd.factorize(code * len(distinct) + own)
+        kinds = len(every)
+    first = np.zeros(kinds if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]  # the earliest row of a combination is written last
     return first, code
 
 
-def _matched(pal: Palette, rgb: list[np.ndarray], shift: np.ndarray | None, metric_list: tuple[str, ...]):
-    """Per metric the ids (0 where the palette is empty, -1 for a row without a colour) and distances of a batch."""
+def _matched(pal: Palette, rgb: list[np.ndarray], wanted: list[tuple[str, np.ndarray | None]]):
+    """Per metric and shift the ids (0 where the palette is empty, -1 for a row without a colour) and distances of a batch."""
     known = ~np.isnan(rgb[0] + rgb[1] + rgb[2])
     channels = [c[known] for c in rgb]
-    offsets = None if shift is None else shift[known]
-    first, code = _dictionary(channels if offsets is None else [*channels, offsets])
+    first, code = _dictionary(channels)
     lab = _oklab(*(c[first] for c in channels))
-    if offsets is not None:
-        lab = [v + offsets[first] for v in lab]
-    for metric in metric_list:
-        at, dist = _answers(pal, lab, metric)
+    for metric, shift in wanted:
+        if shift is None:
+            colours, own = lab, code
+        else:
+            offsets = shift[known]
+            some, own = _dictionary([code, offsets])
+            colours = [v[code[some]] + offsets[some] for v in lab]
+        at, dist = _answers(pal, colours, metric)
         found = pal["id"][at] if len(pal["id"]) else np.zeros(len(at))
         ids, dists = np.full(len(known), -1.0), np.full(len(known), np.nan)
-        ids[known], dists[known] = found[code], dist[code]
+        ids[known], dists[known] = found[own], dist[own]
         yield ids.astype(np.int32), dists
 
 
@@ -141,62 +145,50 @@ def _matched(pal: Palette, rgb: list[np.ndarray], shift: np.ndarray | None, metr
 IN_PARTITION = (1 << 33) - 1
 
 
-def with_nearest(
-    df: DataFrame, palette: DataFrame, metrics: tuple[str, ...] = ("OKLAB",), shift: Column | None = None
-) -> DataFrame:
-    """Append ``id_<metric>`` and ``dist_<metric>`` of the nearest entry to rows holding ``r, g, b``, in one pass.
+Wanted = dict[str, tuple[str, Column | None]]
+
 
-    ``shift`` is added to L, a and b.  The lowest id wins a tie; an empty
-    palette gives id 0 and no distance, a row without a colour gets neither.
+def with_nearest(df: DataFrame, palette: DataFrame, wanted: Wanted) -> DataFrame:
+    """Append ``id_<name>`` and ``dist_<name>`` of the nearest entry to rows holding ``r, g, b``, all in one pass.
+
+    ``wanted`` names metrics, each with a shift that is added to L, a and b, or
+    None.  The lowest id wins a tie; an empty palette gives id 0 and no
+    distance, a row without a colour gets neither.
     """
-    for metric in metrics:
+    for metric, _ in wanted.values():
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}")
-    fields = ", ".join(f"id_{m} int, dist_{m} double" for m in metrics)
-    shifted = shift is not None
+    shifts = {f"__t_{name}": shift for name, (_, shift) in wanted.items() if shift is not None}
+    plan = [(name, metric, list(shifts).index(f"__t_{name}") if shift is not None else None) for name, (metric, shift) in wanted.items()]
 
     def match(batches):
         pal = None
         for first, r, g, b, *rest in batches:
             if pal is None:
                 pal = _loaded(first.iloc[0])
-            rgb = [c.to_numpy(np.float64, na_value=np.nan) for c in (r, g, b)]
-            t = rest[0].to_numpy(np.float64, na_value=np.nan) if shifted else None
+            rgb, offsets = ([c.to_numpy(np.float64, na_value=np.nan) for c in cs] for cs in ((r, g, b), rest))
+            asked = [(metric, None if at is None else offsets[at]) for _, metric, at in plan]
             out = {}
-            for m, (ids, dists) in zip(metrics, _matched(pal, rgb, t, metrics)):
-                out[f"id_{m}"] = pd.Series(ids, dtype="Int32").mask(ids < 0)
-                out[f"dist_{m}"] = dists
+            for (name, *_), (ids, dists) in zip(plan, _matched(pal, rgb, asked)):
+                out[f"id_{name}"] = pd.Series(ids, dtype="Int32").mask(ids < 0)
+                out[f"dist_{name}"] = dists
             yield pd.DataFrame(out)
 
-    if shifted:
-
-        def plain(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            return match(batches)
-    else:
-
-        def plain(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            return match(batches)
-
-    plain.__annotations__ = {
-        "batches": Iterator[(tuple[(pd.Series,) * (5 if shifted else 4)])],
-        "return": Iterator[pd.DataFrame],
-    }
+    series = tuple[(pd.Series,) * (4 + len(shifts))]
+    match.__annotations__ = {"batches": Iterator[series], "return": Iterator[pd.DataFrame]}
     # not deterministic, so that no filter is moved between the palette's row and the stage that reads it
-    nearest = F.pandas_udf(plain, fields).asNondeterministic()
+    nearest = F.pandas_udf(match, ", ".join(f"id_{n} int, dist_{n} double" for n in wanted)).asNondeterministic()
     first_row = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION)) == 0
-    carried = {"__pal": F.when(first_row, _entries(_bounded(palette)).scalar())}
-    if shifted:
-        carried["__t"] = shift
-    rows = df.withColumns(carried)
-    found = rows.withColumn("__m", nearest("__pal", *RGB_KEYS, *(["__t"] if shifted else [])))
-    columns = [c for m in metrics for c in (F.col(f"__m.id_{m}"), F.nanvl(f"__m.dist_{m}", F.lit(None)).alias(f"dist_{m}"))]
-    return found.select(*df.columns, *columns)
+    rows = df.withColumns({"__pal": F.when(first_row, _entries(_bounded(palette)).scalar()), **shifts})
+    found = rows.withColumn("__m", nearest("__pal", *RGB_KEYS, *shifts))
+    answers = [c for n in wanted for c in (F.col(f"__m.id_{n}"), F.nanvl(f"__m.dist_{n}", F.lit(None)).alias(f"dist_{n}"))]
+    return found.select(*df.columns, *answers)
 
 
 def nearest_match(df: DataFrame, palette: DataFrame, metric: str = "OKLAB", shift: Column | None = None) -> DataFrame:
     """Append ``match_id`` and ``dist`` (squared) of the nearest entry to rows holding ``r, g, b``."""
-    found = with_nearest(df, palette, (metric,), shift)
-    return found.withColumnsRenamed({f"id_{metric}": "match_id", f"dist_{metric}": "dist"})
+    found = with_nearest(df, palette, {"m": (metric, shift)})
+    return found.withColumnsRenamed({"id_m": "match_id", "dist_m": "dist"})
 
 
 def match_by_metric(df: DataFrame, palette: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -204,7 +196,7 @@ def match_by_metric(df: DataFrame, palette: DataFrame, metrics: tuple[str, ...]
     each = F.array(
         *(F.struct(F.lit(m).alias("metric"), F.col(f"id_{m}").alias("match_id"), F.col(f"dist_{m}").alias("dist")) for m in metrics)
     )
-    return with_nearest(df, palette, tuple(metrics)).select(*df.columns, F.inline(each))
+    return with_nearest(df, palette, {m: (m, None) for m in metrics}).select(*df.columns, F.inline(each))
 
 
 def used_entries(palette: DataFrame, colours: DataFrame, metric: str = "OKLAB") -> DataFrame:
@@ -223,12 +215,10 @@ def ordered_dither(
 def dither_sizes(
     df: DataFrame, palette: DataFrame, sizes: tuple[int, ...], scale: float = 0.1, metric: str = "OKLAB"
 ) -> DataFrame:
-    """``ordered_dither`` with several matrix sizes from one read: one row per row and ``size``."""
-    offset = F.array(
-        *(F.struct(F.lit(n).alias("size"), bayer_offset(F.col("x"), F.col("y"), n, scale).alias("__o")) for n in sizes)
-    )
-    each = df.select(*df.columns, F.inline(offset))
-    return nearest_match(each, palette, metric, F.col("__o")).drop("__o", "dist")
+    """``ordered_dither`` with several matrix sizes in one pass: one row per row and ``size``."""
+    wanted = {str(n): (metric, bayer_offset(F.col("x"), F.col("y"), n, scale)) for n in sizes}
+    each = F.array(*(F.struct(F.lit(n).alias("size"), F.col(f"id_{n}").alias("match_id")) for n in sizes))
+    return with_nearest(df, palette, wanted).select(*df.columns, F.inline(each))
 
 
 TILE_ROWS = 1 << 18
@@ -263,7 +253,7 @@ def tile_palette_match(
     def match(group: pa.Table, entries: pa.Table) -> pa.Table:
         pal = _loaded(entries.column("entries")[0].values.to_numpy(zero_copy_only=False))
         rgb = [group.column(c).cast(pa.float64()).to_numpy() for c in RGB_KEYS]
-        ((ids, _),) = _matched(pal, rgb, None, (metric,))
+        ((ids, _),) = _matched(pal, rgb, [(metric, None)])
         return group.select(names).append_column("match_id", pa.array(ids, mask=ids < 0))
 
     groups = dealt.groupBy("__tile", "part").cogroup(armed.groupBy("__tile", "part"))

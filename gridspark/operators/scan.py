@@ -66,7 +66,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*(f"__r_{k}" for k in keys))
 
 
-LOWEST = -(1 << 63)
+LOWEST, WIDE = -(1 << 63), 1 << 62
 
 
 def cut(df: DataFrame, keys: list[str], order: str, width: int, tied: bool = False) -> tuple[DataFrame, list[str], bool]:
@@ -76,7 +76,8 @@ def cut(df: DataFrame, keys: list[str], order: str, width: int, tied: bool = Fal
     compare as equal, so a null key is a group like any other.  Rows without an
     order value come first.  Rows with equal order values (or none) are dealt
     over slices by a hash of the row, unless ``tied`` says that further columns
-    order them.  Counting starts a job, one more for each round of cuts.
+    order them.  Counting starts a job, and one more for each round of cuts of
+    groups whose values are sparse.
     """
     value = F.col(order).cast("long")
     rows = df.withColumns(
@@ -88,35 +89,50 @@ def cut(df: DataFrame, keys: list[str], order: str, width: int, tied: bool = Fal
             F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
         )
         one = F.col("lo").isNull() | (F.col("lo") == F.col("hi"))
-        if tied:
-            held = held.where(~one)
-        large = cut_lineage(held.where(F.col("n") > width), "slices")
-        if large.isEmpty():
+        large = _at_hand(held.where((F.col("n") > width) & ~one if tied else F.col("n") > width))
+        if large is None:
             break
         several = True
-        # exact in decimals: the bounds may be 2^64 apart
+        # the bounds may be 2^64 apart: decimals in the plan's few rows, and cells of 2^61 where longs would overflow
         span = (F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1).cast("decimal(20,0)")
-        cells = F.ceil(F.col("n") * 2 / width).cast("decimal(20,0)")
+        wide = span > WIDE
+        # where values are dense, ranges of ``width`` values cannot hold more rows, so nothing is left to count
+        dense = span <= F.col("n").cast("decimal(20,0)") * 4
+        cells = F.when(dense, F.ceil(span / width)).otherwise(F.ceil(F.col("n") * 2 / width))
+        step = F.greatest(F.ceil(span / cells), F.lit(1)).cast("long")
         plan = large.select(
             F.col(NODE).alias("__cut"),
-            F.when(~one, F.col("lo")).alias("__lo"),
-            F.when(~one, F.greatest(F.ceil(span / cells), F.lit(1)).cast("decimal(20,0)")).alias("__step"),
+            F.when(~one & ~wide, F.col("lo")).when(~one, F.lit(0)).cast("long").alias("__lo"),
+            F.when(~one & ~wide, step).when(~one, F.lit(WIDE // 2)).alias("__step"),
             F.when(one, F.ceil(F.col("n") / width).cast("int")).alias("__parts"),
+            (~one & ~dense).alias("__sparse"),
         )
         joined = rows.join(plan, F.struct(KEY, "__at") == F.col("__cut"), "left")
-        offset = F.expr(f"(cast({order} as decimal(20,0)) - cast(__lo as decimal(20,0))) div __step")
-        cell = (F.col("__lo").cast("decimal(20,0)") + offset.cast("decimal(20,0)") * F.col("__step")).cast("long")
-        columns = {
-            "__at": F.when(F.col("__step").isNotNull(), cell).otherwise(F.col("__at")),
-            "__part": F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("__parts")).cast("int")).otherwise(F.col("__part")),
-        }
-        moved = joined.select(*df.columns, KEY, *(c.alias(n) for n, c in columns.items()), F.col("__step").isNotNull().alias("__moved"))
-        waiting = moved.where("__moved")
-        rows = moved.drop("__moved")
+        cell = value - F.pmod(value - F.col("__lo"), F.col("__step"))
+        at = F.when(F.col("__step").isNotNull(), cell).otherwise(F.col("__at"))
+        own = F.pmod(F.xxhash64(*df.columns), F.col("__parts")).cast("int")
+        part = F.when(F.col("__parts").isNotNull(), own).otherwise(F.col("__part"))
+        moved = joined.select(*df.columns, KEY, at.alias("__at"), part.alias("__part"), "__sparse")
+        waiting, rows = moved.where("__sparse"), moved.drop("__sparse")
+        if plan.where("__sparse").isEmpty():
+            break
     sliced = rows.withColumn(SLICE, F.struct("__at", "__part")).drop("__at", "__part")
     return sliced, [KEY], several
 
 
+FEW = 1000
+
+
+def _at_hand(found: DataFrame) -> DataFrame | None:
+    """A few rows as a local table, more of them written; None for none."""
+    some = found.limit(FEW + 1).collect()
+    if not some:
+        return None
+    if len(some) <= FEW:
+        return found.sparkSession.createDataFrame(some, found.schema)
+    return cut_lineage(found, "slices")
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -176,6 +192,6 @@ def rows_between(
     else:
         local = Window.partitionBy(*key).orderBy(order)
         total = F.count(F.lit(1)).over(Window.partitionBy(*key))
-        ranked = sliced.withColumns({"total": total, "before": F.lit(0)}).withColumns({"first": first, "last": last})
+        ranked = sliced.withColumns({"total": total, "before": F.lit(0).cast("long")}).withColumns({"first": first, "last": last})
     numbered = ranked.withColumn("row_no", F.col("before") + F.row_number().over(local))
     return numbered.where(F.col("row_no").between(F.col("first"), F.col("last"))).select(*df.columns, "row_no", "total")
