@@ -6,9 +6,12 @@ Counting is a partial aggregation, so everything after it works on at most
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators.scan import join_on, running_sum, scan
+from gridspark.session import cut_lineage
+
 
 def color_histogram(pixels: DataFrame, group: list[str], c: str = "c") -> DataFrame:
     """Count and percentage per colour.
@@ -53,32 +56,46 @@ def rarest(pixels: DataFrame, group: list[str], c: str = "c") -> DataFrame:
     )
 
 
-OTSU_STEP = 1_000_000
+#: Steps a factor of two is cut into, and an exponent below the smallest double's: where a value lies, to 2e-14 of itself.
+LOG_STEPS, LOG_LEAST = 1 << 45, 1100
+
+
+def _place(v: Column) -> Column:
+    """An integer that grows with ``v`` over the whole range of doubles; neighbours may share one."""
+    size = F.floor((F.log2(F.abs(v)) + LOG_LEAST) * LOG_STEPS).cast("long")
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size).cast("long")
+
+
+def value_histogram(values: DataFrame, group: list[str], v: str) -> DataFrame:
+    """``(group, v, n)``: how often each value occurs; nulls and NaN are no values.
+
+    Counted per task before the shuffle and written, as the sums over it read it several times.
+    """
+    known = values.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+    counted = known.groupBy(*group, F.col(v).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counted, "histogram")
 
 
 def otsu_threshold(values: DataFrame, group: list[str], v: str) -> DataFrame:
     """The value that splits each group's distribution at maximum between-class variance.
 
-    Values are counted on a grid of 1e-6, which bounds the histogram by the
-    value range instead of the row count and keeps every sum an exact integer.
-    Inside a run of equal values the variance is convex, so only the borders
-    between distinct values can be the maximum; the first maximum wins, and a
-    constant group returns its value.
+    Values are counted as they are.  Inside a run of equal values the variance
+    is convex, so only the borders between distinct values can be the maximum;
+    the first maximum wins, and a constant group returns its value.  The sums
+    below each value run over slices of the group, so a group whose values all
+    differ is spread as any other.
     """
-    q = F.round(F.col(v) * OTSU_STEP).cast("long")
-    hist = values.groupBy(*group, q.alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumns(
-        {
-            "cnt": F.sum("n").over(whole),
-            "tot": F.sum(F.col("n") * F.col("q")).over(whole),
-            "k": F.sum("n").over(before),
-            "low": F.sum(F.col("n") * F.col("q")).over(before),
-        }
+    if not group:
+        return otsu_threshold(values.withColumn("__all", F.lit(0)), ["__all"], v).drop("__all")
+    hist = value_histogram(values, group, v).withColumn("__o", _place(F.col("v")))
+    part = F.col("n") * F.col("v")
+    sums = scan(hist, group, "__o", {"upto": running_sum(F.col("n")), "low": running_sum(part)}, ties=("v",))
+    whole = hist.groupBy(*group).agg(F.sum("n").alias("cnt"), F.sum(part).alias("tot"))
+    h = join_on(sums, whole, group).withColumns(
+        {"k": F.col("upto") - F.col("n"), "below": F.col("low") - part}
     )
     w0 = F.col("k") / F.col("cnt")
-    gap = F.col("low") / F.col("k") - (F.col("tot") - F.col("low")) / (F.col("cnt") - F.col("k"))
-    between = F.when(F.col("k").isNull(), F.lit(-1.0)).otherwise(w0 * (1 - w0) * gap * gap)
-    best = h.withColumn("bv", between).groupBy(*group).agg(F.max(F.struct(F.col("bv"), -F.col("q"))).alias("m"))
-    return best.select(*group, (-F.col("m.col2") / OTSU_STEP).alias("threshold"))
+    gap = F.col("below") / F.nullif(F.col("k"), F.lit(0)) - (F.col("tot") - F.col("below")) / (F.col("cnt") - F.col("k"))
+    between = F.when(F.col("k") == 0, F.lit(-1.0)).otherwise(w0 * (1 - w0) * gap * gap)
+    best = h.groupBy(*group).agg(F.max(F.struct(between.alias("bv"), (-F.col("v")).alias("nv"))).alias("m"))
+    return best.select(*group, (F.lit(0.0) - F.col("m.nv")).alias("threshold"))

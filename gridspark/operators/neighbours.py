@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from gridspark.functions.color import Lab, half_up, oklab_dist_sq, to_byte
 from gridspark.operators.histogram import otsu_threshold
 from gridspark.operators.scan import join_on
-from gridspark.session import cut_lineage
 
 
 def _line(group: list[str], other: str, along: str):
@@ -124,13 +123,14 @@ def dither_strength(contrast: DataFrame, thresholds: DataFrame, group: list[str]
 def adaptive_strength(pixels: DataFrame, group: list[str], opaque: Column) -> DataFrame:
     """Contrast, Otsu threshold and dither strength of ``L, a, lab_b`` pixels in one go.
 
-    The contrast feeds both the threshold and the result, so it is written
-    once; the thresholds (one row per group) are written too, which lets the
-    planner see that they are small.
+    Two passes over the pixels: the first counts contrasts and keeps only their
+    histogram, the second computes the contrast again and meets the thresholds.
     """
-    contrast = cut_lineage(local_contrast(pixels, group, opaque), "contrast")
-    thresholds = cut_lineage(otsu_threshold(contrast, group, "contrast"), "thresholds")
-    return dither_strength(contrast, thresholds, group, opaque)
+    contrast = local_contrast(pixels, group, opaque)
+    if group:
+        return dither_strength(contrast, otsu_threshold(contrast, group, "contrast"), group, opaque)
+    one = contrast.withColumn("__all", F.lit(0))
+    return dither_strength(one, otsu_threshold(one, ["__all"], "contrast"), ["__all"], opaque).drop("__all")
 
 
 def gaussian_kernel(radius: float) -> list[float]:
