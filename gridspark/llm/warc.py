@@ -17,13 +17,14 @@ Cases: a null html is an empty payload; equal payloads of ``min_bytes`` or more
 make one response (largest page id) and revisits; rows that repeat that page
 and payload are responses too.  A null page id is written as an empty id and
 comes back as null; it is a response only if no row with an id has its payload.
-A null url is empty, line ends inside one are written as %0D and %0A.  An empty
-table gives no records.
+A null url is empty; in one, line ends are written as %0D and %0A and the magic as
+``%57ARC/1.``, so that headers hold no candidate.  An empty table gives no records.
+Reading back fewer records than were written is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.session import cut_lineage, fresh_path
@@ -44,12 +45,19 @@ def base32_of_hex(hexed: Column) -> Column:
     return F.concat(*letters)
 
 
+def _in_header(value: Column) -> Column:
+    """A value that neither ends its line nor looks like the start of a record."""
+    for mark, written in (("\r", "%0D"), ("\n", "%0A"), (MAGIC, f"%{ord(MAGIC[0]):02X}{MAGIC[1:]}")):
+        value = F.replace(value, F.lit(mark), F.lit(written))
+    return value
+
+
 def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, digest, refers_to``; ``refers_to`` is null for responses."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
+        _in_header(F.coalesce("url", F.lit(""))).alias("url"),
         payload.alias("payload"),
         F.sha1(payload.cast("binary")).alias("sha1"),
         F.octet_length(payload).alias("bytes"),
@@ -64,8 +72,8 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return found.select("page_id", "url", "payload", base32_of_hex(F.col("sha1")).alias("digest"), F.col("top").alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes one record per page; the last line end of a record is the separator of the text files."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> int:
+    """Writes one record per page and tells how many; the last line end of a record is the separator of the text files."""
 
     def urn(page: Column) -> Column:
         return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
@@ -85,7 +93,10 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "197
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(END, *lines), F.lit(END * 2), block, F.lit(END))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).text(path)
+    written = Observation()
+    values = rows.select(record.alias("value")).observe(written, F.count(F.lit(1)).alias("n"))
+    values.write.option("lineSep", END).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).text(path)
+    return written.get["n"]
 
 
 def _parts(spark: SparkSession, path: str) -> DataFrame:
@@ -142,13 +153,21 @@ def reachable(links: DataFrame) -> DataFrame:
     return runs.join(reached, ["file", "run"]).where(F.col("at") >= F.col("entry")).select("file", "at")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """Every record of the archives: ``file, at, record_type, page_id, refers_to, url, digest`` (as written),
-    ``payload_bytes`` and ``sha1`` of the block that was read."""
+    ``payload_bytes`` and ``sha1`` of the block that was read.
+
+    With ``expected`` a chain that breaks off, so that records are missing, is an error.
+    """
     rows = cut_lineage(candidates(spark, path), "warc-links")
     total = len(MAGIC) + F.col("body") + F.col("length") + 4
     links = rows.select("file", "at", (F.col("at") + total).alias("next"))
-    found = rows.join(reachable(links), ["file", "at"])
+    reached = reachable(links)
+    if expected is not None:
+        whole_chain = reached.join(links.where(F.col("next").isNotNull()), ["file", "at"], "left_semi")
+        if (n := whole_chain.count()) != expected:
+            raise RuntimeError(f"{expected} records were written, {n} were read back")
+    found = rows.join(reached, ["file", "at"])
 
     whole = found.where(F.col("sha1").isNotNull()).select("file", "at", "head", "length", "sha1")
     split = found.where(F.col("sha1").isNull() & F.col("length").isNotNull()).select("file", "at", "head", "length", "body")
@@ -207,8 +226,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the pages to an archive in the shared folder, reads it back and resolves the revisits."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_warc(pages, path, min_bytes)
-    records = read_warc(spark, path).withColumn("payload_digest", base32_of_hex(F.col("sha1")))
+    records = read_warc(spark, path, write_warc(pages, path, min_bytes)).withColumn("payload_digest", base32_of_hex(F.col("sha1")))
     responses = records.where(F.col("record_type") == "response")
     # a revisit has the payload of the response that it names
     named = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
