@@ -12,9 +12,14 @@ are cut into ``BUCKETS`` ranges and each of those into as many again; both
 levels are partial sums, so a source with a third of all rows never meets in
 one task: a window sorts about a millionth of it.
 
+Rows that are equal in id and text have equal keys.  Where the budget ends among
+them, the plan says how many of them come in, and a number that every row gets as
+it is read picks them: the partitions before the border's as a whole, a prefix
+inside it.
+
 Cases: null texts have size 0 and are taken 0 times; a null source is a source
-of its own, last in order; equal rows are told apart by nothing and taken in any
-order, which gives equal results; empty tables give no rows.
+of its own, last in order; of equal rows at the border any may be taken, which
+gives equal results; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -90,6 +95,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets
         .withColumn("__b2", F.least(F.floor(second), F.lit(buckets - 1)).cast("int"))
         .withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
         .withColumn("__at", F.struct(F.col("__key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+        .withColumn("__row", F.monotonically_increasing_id())
         .drop("__even")
     )
 
@@ -112,20 +118,45 @@ def plan_mix(keyed: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Dat
     cut2 = _cut(inside, ["__src"], "__b2").withColumnsRenamed({"cut": "cut2", "spent": "spent2"})
     cut2 = cut_lineage(cut2, "mix-cut2")
     last = inside.join(cut2, "__src").where(F.col("__b2") == F.col("cut2"))
-    order = Window.partitionBy("__src").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("through", F.sum("size").over(order))
-    # the document at the budget comes in when more than half of it lies below
-    chosen = last.where(F.col("through") - F.col("size") / 2.0 < F.col("budget") - F.col("spent2"))
-    border = chosen.groupBy("__src").agg(F.max("__at").alias("border"))
-    cuts = cut1.select("__src", "cut1").join(cut2.select("__src", "cut2"), "__src").join(border, "__src", "left")
+    # equal rows count as one step of the order, so a window sorts distinct keys only
+    steps = last.groupBy("__src", "__at").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.max(F.col("budget") - F.col("spent2")).alias("left")
+    )
+    order = Window.partitionBy("__src").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("before", F.coalesce(F.sum(F.col("rows") * F.col("size")).over(order), F.lit(0)))
+    # the document at the budget comes in when more than half of it lies below: before + k * size - size / 2 < left
+    fits = F.ceil((F.col("left") - F.col("before")) / F.greatest(F.col("size"), F.lit(1)) + 0.5) - 1
+    steps = steps.withColumn("fits", F.least(F.when(F.col("size") > 0, fits).otherwise(F.col("rows")), F.col("rows")).cast("long"))
+    chosen = steps.where((F.col("fits") > 0) & (F.col("before") - F.col("size") / 2.0 < F.col("left")))
+    end = F.max(F.struct("__at", "fits", "rows")).alias("end")
+    border = chosen.groupBy("__src").agg(end).select("__src", F.col("end.__at").alias("border"), "end.fits", "end.rows")
+    border = cut_lineage(border, "mix-border")
+    cuts = cut1.select("__src", "cut1").join(cut2.select("__src", "cut2"), "__src").join(border.drop("fits", "rows"), "__src", "left")
+    cuts = cuts.join(_last_row(keyed, border.where("fits < rows")), "__src", "left")
     return cut_lineage(plan.join(cuts, "__src", "left"), "mix-ends")
 
 
+def _last_row(keyed: DataFrame, border: DataFrame) -> DataFrame:
+    """``__src, last_row``: the number of the last row to take among the equal ones at the border, where only some fit."""
+    at_border = keyed.select("__src", "__at", "__row").join(border.withColumnRenamed("border", "__at"), ["__src", "__at"])
+    part = F.shiftright("__row", 33)  # the partition a row was numbered in
+    counts = at_border.groupBy("__src", "fits", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("__src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ends = counts.where((F.col("before") < F.col("fits")) & (F.col("before") + F.col("n") >= F.col("fits")))
+    ends = ends.select("__src", "part", (F.col("fits") - F.col("before")).alias("take"))
+    inside = at_border.select("__src", "__row", part.alias("part")).join(ends, ["__src", "part"])
+    numbered = inside.withColumn("k", F.row_number().over(Window.partitionBy("__src", "part").orderBy("__row")))
+    return numbered.where("k = take").select("__src", F.col("__row").alias("last_row"))
+
+
 def copies(max_epochs: int) -> Column:
     """How often the mix takes a row of ``_keyed`` joined with its source's plan."""
     early = (F.col("__b1") < F.col("cut1")) | ((F.col("__b1") == F.col("cut1")) & (F.col("__b2") < F.col("cut2")))
     at_cut = (F.col("__b1") == F.col("cut1")) & (F.col("__b2") == F.col("cut2"))
-    extra = F.coalesce(early | (at_cut & F.coalesce(F.col("__at") <= F.col("border"), F.lit(False))), F.lit(False))
+    among = F.col("last_row").isNull() | (F.col("__row") <= F.col("last_row"))
+    upto = (F.col("__at") < F.col("border")) | ((F.col("__at") == F.col("border")) & among)
+    extra = F.coalesce(early | (at_cut & F.coalesce(upto, F.lit(False))), F.lit(False))
     return F.least(F.col("epochs") + extra.cast("long"), F.lit(max_epochs).cast("long"))
 
 
@@ -159,7 +190,7 @@ def mix_documents(
     The plan is one row per source, so the texts are repeated where they are read.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, buckets)
-    small = cut_lineage(keyed.select("__src", "__b1", "__b2", "__at", "__size"), "mix-keys")
+    small = cut_lineage(keyed.select("__src", "__b1", "__b2", "__at", "__size", "__row"), "mix-keys")
     rows = keyed.join(plan_mix(small, weights, max_epochs), "__src")
     times = F.when(F.col("__size") > 0, copies(max_epochs)).otherwise(0).cast("int")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")
