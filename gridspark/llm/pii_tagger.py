@@ -41,7 +41,7 @@ STEPS = 200
 TRAIN_WIDTH, TRAIN_WINDOWS = 96, 96
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DIGITS_AND_DOTS = re.compile(r"[0-9.]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,14 +80,29 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ips(text: str) -> list[tuple[int, int, list[str]]]:
+    """Four numbers joined by single dots, leftmost first; each run of digits and dots is read once."""
+    found = []
+    for run in DIGITS_AND_DOTS.finditer(text):
+        numbers = run.group().split(".")
+        at, i = run.start(), 0
+        while i + 3 < len(numbers):
+            four = numbers[i : i + 4]
+            if all(four):
+                end = at + sum(map(len, four)) + 3
+                found.append((at, end, four))
+                at, i = end + 1, i + 4
+            else:
+                at, i = at + len(numbers[i]) + 1, i + 1
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """The pattern's spans by kind, then start."""
     spans: list[Span] = [("email", a, b) for a, b in emails(text)]
     if not DIGIT.search(text):
         return spans
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            spans.append(("ip", *m.span()))
+    spans += [("ip", a, b) for a, b, parts in ips(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)]
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m.group())
         if 16 <= len(digits) <= 19 and luhn(digits):
