@@ -30,6 +30,7 @@ CHUNK = 16_384
 OVERLAP = 512
 AGREE = 3
 KEPT_PIECES = 200_000
+KEPT_CHARS = 8 << 20
 
 WHITE = r"\t-\r\x1c- \x85\xa0  -     　"
 #: A space behind a character that no definition counts as white space.
@@ -54,10 +55,14 @@ class Pieces:
 
     def __init__(self, encode):
         self.encode, self.first, self.later = encode, {}, {}
+        self.chars = 0
 
     def _fill(self, kept: dict, pieces: list[str], lead: str) -> None:
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
+        if len(kept) > KEPT_PIECES or self.chars > KEPT_CHARS:
+            self.first.clear()
+            self.later.clear()
+            self.chars = 0
+        self.chars += sum(map(len, pieces))
         kept.update(zip(pieces, self.encode([lead + p for p in pieces])))
 
     def __call__(self, text: str) -> list:
@@ -70,8 +75,8 @@ class Pieces:
         distinct = set(rest)
         fresh = distinct.difference(self.later)
         if fresh:
-            if len(self.later) > KEPT_PIECES:
-                fresh = distinct
+            if len(self.later) > KEPT_PIECES or self.chars > KEPT_CHARS:
+                fresh = distinct  # all are needed again once the others are forgotten
             self._fill(self.later, list(fresh), " ")
         out += map(self.later.__getitem__, rest)
         return out
@@ -100,8 +105,9 @@ def encode_huge(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
         wide = overlap
         while True:
             start = max(at, end - wide)
-            if start == at:  # the overlap has eaten the chunk: encode it together with the next one
-                end = min(len(text), end + chunk)
+            # the overlap has eaten the chunk, or holds no boundary however wide: encode it together with the next one
+            if start == at or not CUT.search(text, at + 1, end):
+                end = min(len(text), end + max(chunk, end - at))  # doubled, so that all tries together cost twice the last
                 left, joined = encode(text[at:end]), True
                 break
             right = encode(text[start : start + chunk + wide])
