@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.components import connected
-from gridspark.llm.text import mix, utf8_views, window_hashes, word_hashes, word_spans
+from gridspark.llm.text import mix, small_batches, utf8_views, window_hashes, word_hashes, word_spans
 from gridspark.session import cut_lineage
 
 SKETCH_BITS = 22
@@ -102,7 +102,7 @@ def _features(texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             sizes, digests = [], []
             for buf in utf8_views(batch.column("text")):
                 tokens = shingles(buf, rule.words)
@@ -174,7 +174,7 @@ def _prefixes(texts: DataFrame, rule: Rule, bits) -> DataFrame:
 
     def run(batches):
         frequent = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             rows = []
             for doc, buf in zip(batch.column("doc_id").to_pylist(), utf8_views(batch.column("text"))):
                 tokens = shingles(buf, rule.words)
@@ -213,7 +213,7 @@ def _sets(texts: DataFrame, rule: Rule, wanted) -> DataFrame:
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
             slots = [zlib.crc32(b"" if i is None else str(i).encode()) % (1 << WANTED_BITS) for i in ids]
             chosen = batch.filter(pa.array(bits[slots] if slots else [], pa.bool_()))
@@ -285,8 +285,10 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     # one node per distinct set, numbered once and written
     nodes = members.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    same = F.col("p.digest").eqNullSafe(F.col("d.digest")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))
-    found = _prefixes(texts, rule, bits).alias("p").join(nodes.alias("d"), same)
+    # the id without its nulls, so that the join's partitions serve to take each node once, however often its row is repeated
+    place = [F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id"), "digest"]
+    found = _prefixes(texts, rule, bits).select(*place, "n", "tokens", "first", "parity").join(nodes.select("node", *place), ["id0", "no_id", "digest"])
+    found = found.dropDuplicates(["id0", "no_id", "digest"])
     prefixes = cut_lineage(found.select("node", "n", "tokens", "first", "parity"), "jaccard-prefixes")
 
     # dealt once by token: the bounds of a bucket and its rows come from the same exchange

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,17 @@ def utf8_views(column: pa.Array) -> Iterator[np.ndarray]:
         yield body[edges[i] : edges[i + 1]] if valid[i] else body[:0]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``rows`` rows and about ``size`` bytes of one column, so that what is made of a batch stays small."""
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        number = np.maximum(np.cumsum(lengths, dtype=np.int64) // size, np.arange(len(lengths)) // rows)
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(lengths)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that no other task gives; stable once the rows are written."""
     base = TaskContext.get().partitionId() << 36
