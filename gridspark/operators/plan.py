@@ -102,29 +102,6 @@ def stock_covers_qty(needs: DataFrame, stock: DataFrame, group: list[str]) -> Da
     return joined.groupBy(*group).agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("covered"))
 
 
-def nearest_source(
-    places: DataFrame, points: list[tuple[int, float, float]], needed: list[str], visited: list[int] = ()
-) -> DataFrame:
-    """For each query point, the nearest place that may hold a needed item.
-
-    ``places`` has ``(loc, x, z, item, n)``; a null item marks a place whose
-    contents are unknown, which loses a distance tie against a known one.  The
-    points are a short list of the caller's, compared with each place as it is
-    read; every task keeps one candidate per point.
-    """
-    useful = F.col("item").isNull() | (F.col("item").isin(*needed) & (F.col("n") > 0))
-    open_places = places.where(useful & ~F.col("loc").isin(*visited)) if visited else places.where(useful)
-    queries = F.array(
-        *(F.struct(F.lit(q).alias("q"), F.lit(x).alias("qx"), F.lit(z).alias("qz")) for q, x, z in points)
-    )
-    tried = open_places.select("loc", "x", "z", F.col("item").isNull().alias("unknown"), F.explode(queries).alias("p"))
-    dx, dz = F.col("x") - F.col("p.qx"), F.col("z") - F.col("p.qz")
-    best = tried.groupBy(F.col("p.q").alias("q")).agg(
-        F.min(F.struct((dx * dx + dz * dz).alias("d"), F.col("unknown").alias("u"), F.col("loc").alias("l"))).alias("m")
-    )
-    return best.select("q", F.col("m.l").alias("loc"), F.col("m.d").alias("dist_sq"))
-
-
 BLOCK_ROWS = 4096
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridspark.operators import nearest as N
 from gridspark.operators import plan as B
 from gridspark.plans.registry import query
 from gridspark.sources import views as V
@@ -98,29 +99,32 @@ def _(spark, d):
     return B.stock_covers_qty(needs, V.stock(spark, d), ["site"])
 
 
-POINTS = [(q, (q * 3) % 12, q) for q in range(10)]
 VISITED = [1, 15, 40]
 
+_PLACES = """(SELECT DISTINCT loc, CAST(loc % 12 AS DOUBLE) AS x, CAST(loc % 5 AS DOUBLE) AS y, CAST((loc - loc % 12)/12 AS DOUBLE) AS z,
+  loc % 5 = 0 AS unknown, item, n FROM stock)"""
+
 
 @query(
     "nearest_source",
-    """SELECT q, m.l AS loc, CAST(m.d AS BIGINT) AS dist_sq FROM (SELECT q, min(struct_pack(d := (x - (q*3) % 12)*(x - (q*3) % 12) + (z - q)*(z - q), u := unknown, l := loc)) AS m
-       FROM (SELECT DISTINCT loc, CAST(loc % 12 AS INT) AS x, CAST((loc - loc % 12)/12 AS INT) AS z, loc % 5 = 0 AS unknown, item, n FROM stock),
-       (SELECT CAST(i AS INT) AS q FROM range(10) r(i))
-       WHERE (unknown OR (item IN ('click', 'error') AND n > 20)) AND loc NOT IN (1, 15, 40) GROUP BY q)""",
+    f"""SELECT q, m.l AS loc, CAST(m.d AS BIGINT) AS dist_sq FROM (SELECT q, min(struct_pack(d := d, u := unknown, l := loc)) AS m FROM (
+       SELECT q, loc, unknown, item, n, (x - px)*(x - px) + (y - py)*(y - py) + (z - pz)*(z - pz) AS d FROM {_PLACES},
+       (SELECT s_suppkey AS q, CAST(s_suppkey * 3 % 12 AS DOUBLE) AS px, CAST(s_suppkey % 40 - 20 AS DOUBLE) AS py, CAST(s_suppkey % 97 AS DOUBLE) AS pz FROM supplier))
+       WHERE ((unknown AND d <= 9) OR (NOT unknown AND item IN ('click', 'error') AND n > 20)) AND loc NOT IN (1, 15, 40) GROUP BY q)""",
 )
 def _(spark, d):
     # places whose number is a multiple of five have never been opened
-    s = V.stock(spark, d)
-    loc = F.col("loc")
-    places = s.select(
+    loc, key = F.col("loc"), F.col("s_suppkey")
+    places = V.stock(spark, d).select(
         "loc",
-        (loc % 12).cast("int").alias("x"),
-        ((loc - loc % 12) / 12).cast("int").alias("z"),
+        (loc % 12).alias("x"),
+        (loc % 5).alias("y"),
+        ((loc - loc % 12) / 12).alias("z"),
         F.when(loc % 5 != 0, F.col("item")).alias("item"),
         (F.col("n") - 20).alias("n"),
     )
-    out = B.nearest_source(places, POINTS, ["click", "error"], VISITED)
+    points = V.table(spark, d, "supplier").select(key.alias("q"), (key * 3 % 12).alias("x"), (key % 40 - 20).alias("y"), (key % 97).alias("z"))
+    out = N.nearest_source(places, points, ["click", "error"], VISITED, reach=3.0)
     return out.select("q", "loc", F.col("dist_sq").cast("long").alias("dist_sq"))
 
 
