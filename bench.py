@@ -43,7 +43,6 @@ HEADLINE = (
     "channel_split",
     "tile_stats",
     "batch_status",
-    "overflow_allocate",
     "plan_vs_actual",
     "unbuilt",
     "demand",

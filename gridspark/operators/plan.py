@@ -80,10 +80,11 @@ def bounds(cells: DataFrame, group: list[str], x: str = "x", y: str = "y") -> Da
 def latest_stock(readings: DataFrame, loc: str = "loc", seq: str = "seq") -> DataFrame:
     """What was last seen at each place; an empty reading forgets the place.
 
-    The rows of one ``seq`` are one reading, and all its items are kept.
+    The rows of one ``seq`` are one reading, and all its items are kept.  Rows
+    without a ``seq`` are the reading of a place that has no other.
     """
     last = readings.groupBy(loc).agg(F.max(seq).alias("__last"))
-    newest = join_on(readings, last, [loc]).where(F.col(seq) == F.col("__last"))
+    newest = join_on(readings, last, [loc]).where(F.col(seq).eqNullSafe(F.col("__last")))
     return newest.where(F.col("n") > 0).select(loc, "item", "n")
 
 

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from gridspark.functions import color
+# The published OKLab matrices, written out so that the checks do not share them with what they check.
+LMS_FROM_RGB = (
+    (0.4122214708, 0.5363325363, 0.0514459929),
+    (0.2119034982, 0.6806995451, 0.1073969566),
+    (0.0883024619, 0.2817188376, 0.6299787005),
+)
+LAB_FROM_LMS = (
+    (0.2104542553, 0.7936177850, -0.0040720468),
+    (1.9779984951, -2.4285922050, 0.4505937099),
+    (0.0259040371, 0.7827717662, -0.8086757660),
+)
+LMS_FROM_LAB = ((0.3963377774, 0.2158037573), (-0.1055613458, -0.0638541728), (-0.0894841775, -1.2914855480))
+RGB_FROM_LMS = (
+    (4.0767416621, -3.3077115913, 0.2309699292),
+    (-1.2684380046, 2.6097574011, -0.3413193965),
+    (-0.0041960863, -0.7034186147, 1.7076147010),
+)
 
 
 def lin(c: str) -> str:
@@ -30,9 +46,9 @@ def mix(weights, values) -> str:
 def lab(source: str, keep: str, r="r", g="g", b="b", names=("L", "a", "lb")) -> str:
     """Rows of ``source`` with OKLab columns."""
     lms = ", ".join(
-        f"cbrt({mix(row, ('__lr', '__lg', '__lb'))}) AS __c{i}" for i, row in enumerate(color.LMS_FROM_RGB)
+        f"cbrt({mix(row, ('__lr', '__lg', '__lb'))}) AS __c{i}" for i, row in enumerate(LMS_FROM_RGB)
     )
-    out = ", ".join(f"{mix(row, ('__c0', '__c1', '__c2'))} AS {n}" for row, n in zip(color.LAB_FROM_LMS, names))
+    out = ", ".join(f"{mix(row, ('__c0', '__c1', '__c2'))} AS {n}" for row, n in zip(LAB_FROM_LMS, names))
     return (
         f"(SELECT {keep}, {out} FROM (SELECT *, {lms} FROM (SELECT *, {lin(r)} AS __lr, {lin(g)} AS __lg, "
         f"{lin(b)} AS __lb FROM {source})))"
@@ -42,10 +58,10 @@ def lab(source: str, keep: str, r="r", g="g", b="b", names=("L", "a", "lb")) ->
 def linear_from_lab(source: str, keep: str, L="L", a="a", b="lb") -> str:
     """Rows of ``source`` with linear RGB columns ``lr, lg, lbl``."""
     roots = ", ".join(
-        f"({L} + {a}*{num(wa)} + {b}*{num(wb)}) AS __q{i}" for i, (wa, wb) in enumerate(color.LMS_FROM_LAB)
+        f"({L} + {a}*{num(wa)} + {b}*{num(wb)}) AS __q{i}" for i, (wa, wb) in enumerate(LMS_FROM_LAB)
     )
     cubes = [f"(__q{i}*__q{i}*__q{i})" for i in range(3)]
-    out = ", ".join(f"{mix(row, cubes)} AS {n}" for row, n in zip(color.RGB_FROM_LMS, ("lr", "lg", "lbl")))
+    out = ", ".join(f"{mix(row, cubes)} AS {n}" for row, n in zip(RGB_FROM_LMS, ("lr", "lg", "lbl")))
     return f"(SELECT {keep}, {out} FROM (SELECT *, {roots} FROM {source}))"
 
 

@@ -15,7 +15,9 @@ from gridspark.operators import reduce as R
 from gridspark.operators import tiles as T
 from gridspark.plans import check_views as S
 from gridspark.plans.registry import query
+from gridspark.session import fresh_path
 from gridspark.sources import grids as G
+from gridspark.sources import images as I
 from gridspark.sources import views as V
 
 CELL = ["image", "y", "x"]
@@ -52,6 +54,25 @@ def mask_b(spark, d) -> DataFrame:
     return V.px(spark, d).where(F.col("c").between(128, 150)).select(*CELL)
 
 
+# ── image files ─────────────────────────────────────────────────────────────
+
+
+@query(
+    "read_images",
+    """SELECT CAST(image % 16384 AS INT) AS image, y, x, CAST(c % 128 AS INT) AS r, FALSE AS bad FROM px
+    UNION ALL SELECT NULL, NULL, NULL, NULL, TRUE FROM region""",
+)
+def _(spark, d):
+    """Every grid written as a bitmap file and read back; one undecodable file per row of ``region``."""
+    path = fresh_path(spark, "images")
+    image = F.col("image")
+    shown = V.px(spark, d).select(*CELL, (F.col("c") % 128).alias("r"), (image % 128).alias("g"), F.floor(image / 128).cast("int").alias("b"))
+    I.write_bitmaps(shown.withColumn("b", F.col("b") % 128), ["image"], path)
+    V.table(spark, d, "region").select(F.col("r_name").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    found = I.read_images(spark, path)
+    return found.select((F.col("b") * 128 + F.col("g")).alias("image"), "y", "x", "r", "bad")
+
+
 # ── arrays and addresses ────────────────────────────────────────────────────
 
 

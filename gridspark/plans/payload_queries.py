@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.functions import payload as P
-from gridspark.operators import allocate as L
 from gridspark.operators import budget as B
 from gridspark.operators import chunks as K
 from gridspark.operators import history as H
@@ -36,19 +35,28 @@ def _(spark, d):
     )
 
 
+# Fixed values, written out for the checks: capacity per mode, channels in filling order, bytes per channel.
+_CAPACITY = {"BANNER": 5290, "CARPET": 8176, "CARPET_SHADE": 10192, "CARPET_BANNERS": 13466, "CARPET_SHADE_BANNERS": 15482, "CARPET_BANNERS_SHADE": 15482}
+_ORDER = {
+    "BANNER": "", "CARPET": "carpet", "CARPET_SHADE": "carpet shade", "CARPET_BANNERS": "carpet overflow",
+    "CARPET_SHADE_BANNERS": "carpet shade overflow", "CARPET_BANNERS_SHADE": "carpet overflow shade",
+}
+_BYTES = {"carpet": 8176, "shade": 2016, "overflow": 5290}
+
+
 def _split_sql(mode: str) -> str:
     used, col = 0, {"carpet": "CAST(0 AS BIGINT)", "shade": "CAST(0 AS BIGINT)", "overflow": "CAST(0 AS BIGINT)"}
-    for name in P.FILL_ORDER[mode]:
-        col[name] = f"CAST(greatest(least(n_chars - {used}, {P.CHANNEL_BYTES[name]}), 0) AS BIGINT)"
-        used += P.CHANNEL_BYTES[name]
+    for name in _ORDER[mode].split():
+        col[name] = f"CAST(greatest(least(n_chars - {used}, {_BYTES[name]}), 0) AS BIGINT)"
+        used += _BYTES[name]
     ov = col["overflow"]
     chunks = "CAST(ceil((n_chars + 2)/84::DOUBLE) AS INT)" if mode == "BANNER" else "CAST(0 AS INT)"
     return f"""SELECT doc_id, '{mode}' AS mode, {col['carpet']} AS carpet_bytes, {col['shade']} AS shade_bytes, {ov} AS overflow_bytes,
       CASE WHEN {ov} > 0 THEN CAST(ceil(({ov} + 2)/84::DOUBLE) AS INT) ELSE 0 END AS overflow_chunks, {chunks} AS chunks,
-      n_chars <= {P.CAPACITY[mode]} AS fits FROM documents"""
+      n_chars <= {_CAPACITY[mode]} AS fits FROM documents"""
 
 
-@query("channel_split", " UNION ALL ".join(_split_sql(m) for m in P.MODES))
+@query("channel_split", " UNION ALL ".join(_split_sql(m) for m in _CAPACITY))
 def _(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
     modes = F.array(
@@ -131,8 +139,8 @@ def _(spark, d):
     return B.comp_totals(V.sizes(spark, d))
 
 
-_MODE_OF = "list_value({})[CAST(1 + tile % 6 AS INT)]".format(", ".join(f"'{m}'" for m in P.MODES))
-_CAP_OF = "list_value({})[CAST(1 + tile % 6 AS INT)]".format(", ".join(str(P.CAPACITY[m]) for m in P.MODES))
+_MODE_OF = "list_value({})[CAST(1 + tile % 6 AS INT)]".format(", ".join(f"'{m}'" for m in _CAPACITY))
+_CAP_OF = "list_value({})[CAST(1 + tile % 6 AS INT)]".format(", ".join(map(str, _CAPACITY.values())))
 
 
 @query("over_budget", f"SELECT comp, tile, n, {_MODE_OF} AS mode, {_CAP_OF} AS capacity FROM sizes WHERE n > {_CAP_OF}")
@@ -370,39 +378,6 @@ def _(spark, d):
     return whole.select("doc_id", digest.alias("digest"), "total", "complete")
 
 
-# ── allocation ──────────────────────────────────────────────────────────────
-
-GRID_TILES = 64
-
-
-def compositions(spark, d):
-    """Each source's documents in grids of 64 tiles, the largest grid offered."""
-    s = V.sizes(spark, d)
-    return s.select(
-        "comp",
-        F.floor(F.col("tile") / GRID_TILES).cast("int").alias("grid"),
-        (F.col("tile") % GRID_TILES).alias("tile"),
-        "n",
-    )
-
-
-@query("overflow_allocate")
-def _(spark, d):
-    return L.overflow_allocate(compositions(spark, d), ["comp", "grid"], "BANNER")
-
-
-@query("tile_roles")
-def _(spark, d):
-    return L.tile_roles(compositions(spark, d), ["comp", "grid"], "CARPET")
-
-
-@query("append_blank_exact")
-def _(spark, d):
-    # three times the size, so that the room at hand does not suffice
-    crowded = compositions(spark, d).withColumn("n", F.col("n") * 3)
-    return L.blank_tiles(crowded, ["comp", "grid"], "BANNER")
-
-
 # ── secrets ─────────────────────────────────────────────────────────────────
 
 KEY_RING = ["0123456789abcdef", "fedcba9876543210"]
@@ -543,10 +518,17 @@ def _(spark, d):
 
 @query(
     "history_top",
-    "SELECT * FROM (SELECT owner, id, saved_seq, CAST(row_number() OVER (PARTITION BY owner ORDER BY saved_seq DESC) AS INT) AS rank FROM sess) WHERE rank <= 30",
+    """SELECT owner, id, saved_seq, rank, version, total_tiles, list_sum(list_transform(range(1, total_tiles + 1), lambda t: CAST(1 + (id + t) % 9 AS INT)))::INT AS total_frames
+    FROM (SELECT *, CAST((1 + id % 3)*(1 + id % 2) AS INT) AS total_tiles, CAST(1 + id % 5 AS INT) AS version,
+      CAST(row_number() OVER (PARTITION BY owner ORDER BY saved_seq DESC) AS INT) AS rank FROM sess) WHERE rank <= 30 AND version BETWEEN 2 AND 4""",
 )
 def _(spark, d):
-    return H.history_top(V.sess(spark, d), "owner", "saved_seq").select("owner", "id", "saved_seq", "rank")
+    i = F.col("id")
+    grid = {"version": (1 + i % 5).cast("int"), "grid_cols": (1 + i % 3).cast("int"), "grid_rows": (1 + i % 2).cast("int")}
+    frames = F.transform(F.sequence(F.lit(1), F.col("grid_cols") * F.col("grid_rows")), lambda t: (1 + (i + t) % 9).cast("int"))
+    saved = V.sess(spark, d).withColumns(grid).withColumn("frame_counts", frames)
+    listed = H.session_totals(H.history_top(saved, "owner", "saved_seq", version="version"))
+    return listed.select("owner", "id", "saved_seq", "rank", "version", "total_tiles", "total_frames")
 
 
 def _page_sql(no: int) -> str:

@@ -181,25 +181,23 @@ def _(spark, d):
 
 
 def _slots_check(n: int) -> str:
-    """Water-filling replayed step by step in a recursive query, group by group."""
+    """The best ``target`` of all (item, j) slots; items left empty take the highest levels of the others."""
     return f"""SELECT CAST({n} AS INT) AS n_slots, grp, item, need, slots FROM (
-    WITH RECURSIVE nd AS (SELECT CAST(user_id % 6 AS INT) AS grp, event_type AS item,
+    WITH nd AS (SELECT CAST(user_id % 6 AS INT) AS grp, event_type AS item,
         CAST(sum(CASE WHEN event_type = 'view' AND user_id % 6 = 1 THEN 0 WHEN event_type = 'click' THEN k*k ELSE k END) AS BIGINT) AS need
         FROM (SELECT user_id, event_type, CAST(floor(value/40) AS INT) AS k FROM events) GROUP BY 1, 2),
     rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY need DESC, item) AS i, CAST(ceil(need/64::DOUBLE) AS BIGINT) AS cap,
         sum(need) OVER (PARTITION BY grp) AS total, count(*) OVER (PARTITION BY grp) AS items FROM nd WHERE need > 0),
     tg AS (SELECT *, CAST(least({n}, sum(cap) OVER (PARTITION BY grp)) AS BIGINT) AS target FROM rk),
-    lists AS (SELECT grp, max(target) AS target, max(items) AS items, list(need ORDER BY i) AS needs, list(cap ORDER BY i) AS caps, max(total) AS total FROM tg GROUP BY grp),
-    fill AS (SELECT grp, CAST(0 AS BIGINT) AS step, list_transform(needs, lambda v: CAST(0 AS BIGINT)) AS got, target, needs, caps, total FROM lists WHERE target >= items
-      UNION ALL SELECT grp, step + 1, list_transform(got, lambda v, j: CASE WHEN j = list_position(sc, list_max(sc)) THEN v + 1 ELSE v END), target, needs, caps, total
-      FROM (SELECT *, list_transform(got, lambda v, j: CASE WHEN v >= caps[j] THEN -1e300::DOUBLE ELSE target::DOUBLE*needs[j]/total - v END) AS sc FROM fill WHERE step < target)),
-    full_fill AS (SELECT grp, got, CAST(0 AS BIGINT) AS fixed, needs FROM fill WHERE step = target),
-    steal AS (SELECT * FROM full_fill
-      UNION ALL SELECT grp, list_transform(got, lambda v, j: CASE WHEN j = list_position(got, 0) THEN CAST(1 AS BIGINT) WHEN j = list_position(got, list_max(got)) THEN v - 1 ELSE v END), fixed + 1, needs
-      FROM steal WHERE list_contains(got, 0) AND list_max(got) > 1),
-    done AS (SELECT grp, arg_max(got, fixed) AS got FROM steal GROUP BY grp)
-    SELECT tg.grp, tg.item, tg.need, CASE WHEN tg.target < tg.items THEN CASE WHEN tg.i <= tg.target THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END ELSE done.got[tg.i] END AS slots
-    FROM tg LEFT JOIN done ON done.grp = tg.grp
+    slot AS (SELECT grp, i, target, target::DOUBLE*need/total - j AS score FROM (SELECT *, unnest(range(least(cap, {n}))) AS j FROM tg WHERE target >= items)),
+    won AS (SELECT grp, i FROM slot QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, i) <= target),
+    got AS (SELECT tg.grp, tg.i, count(won.i) AS got FROM tg LEFT JOIN won USING (grp, i) WHERE target >= items GROUP BY ALL),
+    short AS (SELECT grp, count(*) FILTER (got = 0) AS empty FROM got GROUP BY grp),
+    lost AS (SELECT grp, i FROM (SELECT grp, i, empty, unnest(range(2, got + 1)) AS level FROM got JOIN short USING (grp))
+      QUALIFY row_number() OVER (PARTITION BY grp ORDER BY level DESC, i) <= empty)
+    SELECT tg.grp, item, need, CAST(CASE WHEN target < items THEN CASE WHEN tg.i <= target THEN 1 ELSE 0 END WHEN got = 0 THEN 1
+      ELSE got - (SELECT count(*) FROM lost WHERE lost.grp = tg.grp AND lost.i = tg.i) END AS BIGINT) AS slots
+    FROM tg LEFT JOIN got ON got.grp = tg.grp AND got.i = tg.i
     UNION ALL SELECT grp, item, need, CAST(0 AS BIGINT) FROM nd WHERE need <= 0)"""
 
 

@@ -8,10 +8,11 @@ import sys
 import zlib
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridspark.sources import batches as J
-from gridspark.sources.images import read_images, visible
+from gridspark.sources.images import read_images, visible, write_bitmaps
 from gridspark.streaming import assemble as A
 from gridspark.streaming.replay import drain
 
@@ -39,6 +40,20 @@ def test_images(spark, tmp_path):
     assert visible(read_images(spark, str(tmp_path))).count() == 12
 
 
+def test_bitmaps_and_bad_files(spark, tmp_path):
+    cells = [(i, x, y, (x * 40 + i) % 128, y, 7) for i, (w, h) in enumerate([(3, 2), (1, 1), (4, 5)]) for x in range(w) for y in range(h)]
+    pixels = spark.createDataFrame(cells, "image int, x int, y int, r int, g int, b int")
+    write_bitmaps(pixels, ["image"], str(tmp_path / "out"))
+    (tmp_path / "out" / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nand no more")
+    back = read_images(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.image.rsplit("/", 1)[1] for r in back if r.bad) == ["broken.png"]
+    assert all(r.x is None and r.r is None and r.alpha is None for r in back if r.bad)
+    assert sorted((r.x, r.y, r.r, r.g, r.b) for r in back if not r.bad) == sorted(c[1:] for c in cells)
+    for wrong in ([(0, 0, 0, 128, 0, 0)], [(0, 1, 0, 1, 1, 1)]):
+        with pytest.raises(Exception, match="channel|missing"):
+            write_bitmaps(spark.createDataFrame(wrong, pixels.schema), ["image"], str(tmp_path / f"bad{wrong[0][3]}"))
+
+
 def test_batches(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -105,7 +120,7 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
         "from gridspark.session import local_session\n"
         "spark = local_session(2, **{'spark.driver.memory': '1g'})\n"
         "q = e.queries()\n"
-        "for n in ('match_quality', 'components_equal', 'overflow_allocate', 'reduce_palette'):\n"
+        "for n in ('match_quality', 'components_equal', 'nearest_match', 'reduce_palette'):\n"
         "    print(n, q[n](spark, '/root/testdata/sf0.001').count())\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}

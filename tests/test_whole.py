@@ -6,7 +6,6 @@ import pytest
 
 from gridspark.functions.palette import palette_dim, with_oklab
 from gridspark.functions.payload import MODES
-from gridspark.operators import allocate as L
 from gridspark.operators import chunks as K
 from gridspark.operators import neighbours as N
 from gridspark.operators import plan as B
@@ -58,6 +57,8 @@ def test_a_reading_keeps_all_its_items(spark):
     seen = [("p", "a", 1, 1), ("p", "a", 2, 2), ("p", "b", 3, 2), ("q", "a", 5, 1), ("q", "a", 0, 2), (None, "c", 4, 1)]
     got = B.latest_stock(spark.createDataFrame(seen, "loc string, item string, n int, seq int"))
     assert {tuple(r) for r in got.collect()} == {("p", "a", 2), ("p", "b", 3), (None, "c", 4)}
+    unnumbered = spark.createDataFrame([("q", "a", 5, None), ("q", "b", 6, None), ("r", "a", 1, None), ("r", "b", 2, 1)], "loc string, item string, n int, seq int")
+    assert {tuple(r) for r in B.latest_stock(unnumbered).collect()} == {("q", "a", 5), ("q", "b", 6), ("r", "b", 2)}
 
 
 def test_bad_palettes_are_errors(spark):
@@ -101,27 +102,6 @@ def test_segments_are_placed(spark, tmp_path):
     assert {(r.key, r.payload) for r in out.collect()} == {("overlap", "abcdef"), ("inside", "abXYef")}
 
 
-def test_blank_tiles_have_no_limit(spark):
-    sizes = [52_200_000, 100]
-    df = spark.createDataFrame([("c", i, n) for i, n in enumerate(sizes)], "comp string, tile int, n long")
-    rows = L.blank_tiles(df, ["comp"], "BANNER").collect()
-    extra = sum(r.donor_only for r in rows)
-    assert extra > 9999 and {r.tile for r in rows} == set(range(extra + 2))
-    assert not L.fair_share([*sizes, *[0] * extra], "BANNER")[2]
-    assert L.fair_share([*sizes, *[0] * (extra - 1)], "BANNER")[2] == [0]
-
-
-def test_blank_tiles_are_the_fewest():
-    rng = random.Random(5)
-    for _ in range(60):
-        mode = rng.choice(MODES)
-        sizes = [rng.choice([rng.randint(0, 9000), rng.randint(0, 40000)]) for _ in range(rng.randint(1, 8))]
-        count = 0
-        while L.fair_share([*sizes, *[0] * count], mode)[2]:
-            count += 1
-        assert L.blanks_required(sizes, mode) == count
-
-
 def test_one_bad_line_loses_no_batch(spark, tmp_path):
     good = [f'{{"sourceFilename": "f{i}", "tiles": [{{"nonce": {i}}}]}}' for i in range(5)]
     twice = '{"sourceFilename": "f5", "columns": 1, "columns": 2}'
