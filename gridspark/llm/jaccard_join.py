@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.components import connected
-from gridspark.llm.text import mix, small_batches, utf8_views, window_hashes, word_hashes, word_spans
+from gridspark.llm.text import mix, small_arrow_batches, small_batches, utf8_views, window_hashes, word_hashes, word_spans
 from gridspark.session import cut_lineage
 
 SKETCH_BITS = 22
@@ -274,6 +274,11 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_key, n, root`` per row; rows of one root are linked, a row without words has none."""
+    with small_arrow_batches(docs.sparkSession):  # every stage that reads texts runs in here
+        return _grouped(docs, rule, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut_lineage(_features(texts, rule), "jaccard-features")

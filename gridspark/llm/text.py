@@ -10,12 +10,13 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 18
@@ -157,6 +158,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 10
                 yield batch.slice(a, b - a)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs started inside send Python at most ``rows`` rows at once, so that whole texts cost little memory on either side.
+
+    Results do not depend on the size, so another job of the session may run meanwhile.
+    """
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that no other task gives; stable once the rows are written."""
     base = TaskContext.get().partitionId() << 36
