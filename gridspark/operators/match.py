@@ -322,7 +322,8 @@ def match_quality(df: DataFrame, palette: DataFrame, good: float = 0.05) -> Data
 
     No rows give (0, 0); an empty palette gives (0, 1).
     """
-    return quality(nearest_match(df.select(*RGB_KEYS), palette).withColumn("n", F.lit(1)), palette, good)
+    colours = df.groupBy(*RGB_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return quality(nearest_match(colours, palette), palette, good)
 
 
 def quality(weighted: DataFrame, palette: DataFrame | None = None, good: float = 0.05) -> DataFrame:

@@ -11,6 +11,7 @@ from gridspark.operators import match as M
 from gridspark.operators import reduce as R
 from gridspark.plans import check_views as S
 from gridspark.plans.registry import query
+from gridspark.session import cut_lineage
 from gridspark.sources import views as V
 
 def _rgb() -> C.Rgb:
@@ -375,6 +376,7 @@ def _(spark, d):
     counts = matched.groupBy((F.col("id") % 7).cast("int").alias("grp"), F.col("match_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    counts = cut_lineage(counts, "counts")  # at most 255 rows a group, read for both scores
     out = None
     for weighted in (False, True):
         rows = M.closest_pair(counts, pal, ["grp"], weighted).select(
