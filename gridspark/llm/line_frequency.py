@@ -9,8 +9,12 @@ than ``min_share`` of its words is left.
 The lines are counted by a hash of 16 bytes per distinct line, never by text.
 Counts are pre-aggregated, so a line of a third of all documents is one row per
 task in the shuffle; only lines above the limit go back to the documents, through
-a join that Spark can split at a hot line.  The texts are written once beside
-the hashes and lose their frequent lines when they are read again.
+a join that Spark can split at a hot line.  Which lines a document loses depends on
+its host and text alone, so the lines found wait under a digest of both and no text
+is stored: the documents are read a second time, those whose digest cannot be among
+the found ones (a bitmap of fixed size tells) stay where they are, and only the
+others meet their lines in a shuffle.  Digests of more than 1/256 of all documents
+(fewer than 256, by that) are salted there.
 
 Cases: a null or empty text has no words and fails the base rule.  A null host
 is a host of its own.  Every row is a document, repeated ids and rows too.
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import SPACE, repeated_words, row_numbers, utf8_views, word_hashes, word_spans
+from gridspark.llm.text import SPACE, may_hold, repeated_words, utf8_views, word_hashes, word_spans
 from gridspark.session import cut_lineage
 
 MAX_DOCS = 100
@@ -41,23 +45,10 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _DIGITS = re.compile(rb"[0-9]+")
 
-_OUT = pa.schema(
-    [
-        ("rid", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("n_words", pa.int64()),
-        ("word_chars", pa.int64()),
-        ("n_symbols", pa.int64()),
-        ("n_dup_lines", pa.int64()),
-        ("n_repeat_words", pa.int64()),
-        ("lines", pa.list_(pa.binary())),
-        ("host", pa.string()),
-        ("text", pa.string()),
-    ]
-)
-_COUNTS = "rid long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_SCHEMA = f"{_COUNTS}, lines array<binary>, host string, text string"
-_CUT = f"{_COUNTS}, host string, text string, removed_words long"
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_LINES = "key binary, lines array<binary>"
+_CUT = "doc_id long, host string, text string, " + ", ".join(f"{n} long" for n in _COUNTS) + ", removed_words long"
+HOT, SALTS = 256, 64
 
 
 def normalise(line: bytes) -> bytes:
@@ -102,30 +93,43 @@ def cut_lines(buf: np.ndarray, host: str | None, frequent: set[bytes]) -> tuple[
     return b"\n".join(left).decode(), removed
 
 
-def _features(batches):
-    number = row_numbers()
+def _lines(batches):
     for batch in batches:
-        rows = []
-        hosts = batch.column("host").to_pylist()
-        for doc, host, buf in zip(batch.column("doc_id").to_pylist(), hosts, utf8_views(batch.column("text"))):
-            lines = list({key for _, _, key in hashed_lines(buf, host)} - {None})
-            rows.append((next(number), doc, *base_counts(buf), lines))
-        names = _OUT.names[:-2]
-        columns = list(zip(*rows)) if rows else [[]] * len(names)
-        made = [pa.array(list(c), _OUT.field(n).type) for c, n in zip(columns, names)]
-        yield pa.record_batch([*made, *(batch.column(n).cast(pa.string()) for n in ("host", "text"))], schema=_OUT)
+        views = utf8_views(batch.column("text"))
+        lines = [list({key for _, _, key in hashed_lines(buf, host)} - {None}) for host, buf in zip(batch.column("host").to_pylist(), views)]
+        yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), pa.array(lines, pa.list_(pa.binary()))], ["key", "lines"])
 
 
 def _cut(batches):
     for batch in batches:
-        texts, removed = batch.column("text").to_pylist(), [0] * batch.num_rows
-        hosts, hits = batch.column("host").to_pylist(), batch.column("frequent").to_pylist()
+        texts, hosts = batch.column("text").to_pylist(), batch.column("host").to_pylist()
+        hits, removed, counts = batch.column("frequent").to_pylist(), [0] * batch.num_rows, []
         for i, buf in enumerate(utf8_views(batch.column("text"))):
+            counts.append(base_counts(buf))
             if hits[i]:
                 texts[i], removed[i] = cut_lines(buf, hosts[i], set(hits[i]))
-        names = [*_OUT.names[:7], "host", "text", "removed_words"]
-        columns = [*(batch.column(n) for n in names[:8]), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        columns = zip(*counts) if counts else [()] * len(_COUNTS)
+        made = [pa.array(list(c), pa.int64()) for c in (*columns, removed)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), *made],
+            ["doc_id", "host", "text", *_COUNTS, "removed_words"],
+        )
+
+
+def _with_hits(texts: DataFrame, hits: DataFrame, n_docs: int) -> DataFrame:
+    """Every document with its frequent lines (null for none); only documents that may have some are shuffled."""
+    marked = may_hold(texts, hits.select("key"), "key", "__may")
+    # fewer than HOT digests can each belong to more than 1/HOT of the documents
+    hot = hits.where(F.col("copies") * HOT > n_docs).select(F.col("key").alias("__hot"))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    spread = hits.join(F.broadcast(hot), F.col("key") == F.col("__hot"), "left").select(
+        "key", "frequent", F.explode(F.when(F.col("__hot").isNotNull(), salts).otherwise(F.array(F.lit(0)))).alias("__salt")
+    )
+    some = marked.where("__may").join(F.broadcast(hot), F.col("key") == F.col("__hot"), "left")
+    salt = F.when(F.col("__hot").isNotNull(), F.spark_partition_id() % SALTS).otherwise(0)
+    met = some.withColumn("__salt", salt).join(spread, ["key", "__salt"], "left").select("doc_id", "host", "text", "frequent")
+    rest = marked.where(~F.col("__may")).select("doc_id", "host", "text", F.lit(None).cast("array<binary>").alias("frequent"))
+    return met.union(rest)
 
 
 def cut_frequent_lines(
@@ -142,12 +146,15 @@ def cut_frequent_lines(
     Null texts stay null; rejected documents are rows too, ``kept`` tells them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(_features, _SCHEMA), "line-rows")
-    lines = rows.select("rid", F.explode("lines").alias("h"))
-    frequent = lines.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("h")
-    # written, so that the planner sees whether the hits are small and the texts can stay where they are
-    hits = cut_lineage(lines.join(frequent, "h").groupBy("rid").agg(F.collect_list("h").alias("frequent")), "line-hits")
-    found = rows.drop("lines").join(hits, "rid", "left").mapInArrow(_cut, _CUT)
+    named = F.coalesce(F.concat(F.length("host").cast("string"), F.lit(":"), "host"), F.lit("-"))
+    texts = texts.withColumn("key", F.unhex(F.md5(F.encode(F.concat(named, "text"), "UTF-8"))))
+    lines = cut_lineage(texts.where(F.col("text").isNotNull()).select("key", "host", "text").mapInArrow(_lines, _LINES), "line-hashes")
+    each = lines.select("key", F.explode("lines").alias("h"))
+    frequent = each.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("h")
+    found = each.join(frequent, "h").groupBy("key").agg(F.collect_set("h").alias("frequent"), F.count("*").alias("n"))
+    # written, so that the planner sees whether the hits are small and all texts can stay where they are
+    hits = cut_lineage(found.select("key", "frequent", (F.col("n") / F.size("frequent")).cast("long").alias("copies")), "line-hits")
+    found = _with_hits(texts, hits, lines.count()).mapInArrow(_cut, _CUT)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return found.withColumn("base_failed", failed).select(

@@ -7,6 +7,7 @@ hashed by one cumulative sum; the result is scrambled by the splitmix finaliser.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,12 @@ def worker_object(key: str, make: Callable[[], object]) -> object:
     return kept[key]
 
 
+def share(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """A broadcast that takes its classes along, so that executors need no copy of this package; call it once a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def table(base: int, size: int) -> np.ndarray:
         out = np.ones(size, dtype=_U)
@@ -175,6 +182,24 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]
         spark.conf.set(ARROW_ROWS, before)
 
 
+BITMAPS, BITMAP = 128, 1 << 15
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` and whether their key (binary) may be among ``keys``: false only where it is not.
+
+    One bit for each of 2^22 slots, as at most 128 bitmaps of 4 KB that are broadcast whatever the number of keys.
+    """
+    slot = F.crc32(F.col(key)) % (BITMAPS * BITMAP)
+    maps = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / BITMAP).alias("__map"))
+    maps = maps.agg(F.bitmap_construct_agg((F.col("slot") % BITMAP)).alias("__bits"))
+    place = slot % BITMAP
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (place % 8).cast("int")) == 1
+    joined = rows.join(F.broadcast(maps), F.floor(slot / BITMAP) == F.col("__map"), "left")
+    return joined.select(*rows.columns, F.coalesce(held, F.lit(False)).alias(out))
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that no other task gives; stable once the rows are written."""
     base = TaskContext.get().partitionId() << 36
