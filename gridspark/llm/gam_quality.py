@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridspark.llm.text import SPACE, fold, repeated_words, unit_interval, utf8_views, word_hashes, word_spans
+from gridspark.llm.text import SPACE, fold, repeated_words, share, unit_interval, utf8_views, word_hashes, word_spans
 
 MAX_TRAIN = 20_000
 BINS = 48
@@ -225,12 +225,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 0, fol
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 as column ``out``."""
     docs = docs.drop(out)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches):
+        kept = shared()
         for batch in batches:
-            found = shared.value.score(_matrix(batch.column(text_col)))
+            found = kept.score(_matrix(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.nets import Adam, byte_inputs, cut_windows, input_gradients, window_starts
-from gridspark.llm.text import fold, unit_interval, utf8_views
+from gridspark.llm.text import fold, share, unit_interval, utf8_views
 
 WIDTH = 64
 HIDDEN = 8
@@ -159,7 +159,9 @@ def learn(docs: DataFrame, held_out_fold: int = 2, folds: int = 4, per_language:
     room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
     part = F.substring("text", (F.floor(unit_interval(F.col("doc_id"), "part") * room) + 1).cast("int"), F.lit(excerpt))
     sample = known.where(u <= share[F.col("lang")]).select("lang", part.alias("part"))
-    rows = sample.orderBy("lang", "part").limit(2 * per_language * len(counts)).collect()
+    # repeated or null ids share one draw: the bound holds for each language on its own
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("part"))
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).orderBy("lang", "part").collect()
     return train([r["part"].encode() for r in rows], [r["lang"] for r in rows])
 
 
@@ -185,10 +187,10 @@ def _pooled(net: Network, views: list[np.ndarray]) -> np.ndarray:
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` per row."""
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
 
     def run(batches):
-        model = shared.value
+        model = shared()
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridspark.llm.nets import Adam, byte_inputs, cut_windows, input_gradients, window_starts
-from gridspark.llm.text import unit_interval
+from gridspark.llm.text import share, unit_interval
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)
@@ -383,13 +383,14 @@ def tag_documents(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id"
     """``doc_id, n_email, n_ip, n_card, n_phone`` (base), ``base_spans`` and ``spans`` (kind:start:end, comma-joined)."""
     counts = [(f"n_{k}", pa.int64()) for k in KINDS]
     out = pa.schema([("doc_id", pa.int64()), *counts, ("base_spans", pa.string()), ("spans", pa.string())])
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = share(docs.sparkSession, tagger)
 
     def run(batches):
+        model = shared()
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                found = find_spans(shared.value, [t or "" for t in batch.column("text").to_pylist()])
+                found = find_spans(model, [t or "" for t in batch.column("text").to_pylist()])
                 numbers = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 names = [pa.array([written(s[i]) for s in found], pa.string()) for i in (0, 1)]
                 yield pa.record_batch([batch.column("doc_id"), *numbers, *names], schema=out)
@@ -411,16 +412,17 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def mask_documents(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text_col`` masked; all other columns as they are, null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = share(docs.sparkSession, tagger)
     place = docs.columns.index(text_col)
     fields = [StructField(f.name, StringType() if f.name == text_col else f.dataType, True) for f in docs.schema.fields]
 
     def run(batches):
+        model = shared()
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
                 texts = batch.column(place).to_pylist()
-                found = find_spans(shared.value, [t or "" for t in texts])
+                found = find_spans(model, [t or "" for t in texts])
                 masked = [None if t is None else mask(t, every) for t, (_, every) in zip(texts, found)]
                 columns = list(batch.columns)
                 columns[place] = pa.array(masked, pa.string())
