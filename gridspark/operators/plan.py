@@ -189,64 +189,76 @@ def band_coverage(cells: DataFrame, taken: DataFrame, site: list[str], band_widt
     )
 
 
-def proportional_slots(needs: DataFrame, group: list[str], n_slots: int) -> DataFrame:
-    """Share ``n_slots`` over items by demand: ``(group, item, need, slots)``.
-
-    An item never gets more slots than it has stacks.  Handing each slot to the
-    item furthest below its ideal equals taking the best of the exploded
-    (item, j) slots by ``ideal - j``; items left with nothing then take the
-    highest slots of the largest holders.  No item can win more than
-    ``n_slots``, so no more are exploded.
+def _bisect(lo: str, hi: str, fits: str) -> str:
+    """The lowest whole ``mid`` in (lo, hi] for which ``fits`` holds (it holds at ``hi`` and above any that it holds at)."""
+    mid = "((b.lo + b.hi) div 2)"
+    step = f"""if(b.hi - b.lo <= 1, b, if({fits.format(mid=mid)},
+      named_struct('lo', b.lo, 'hi', {mid}), named_struct('lo', {mid}, 'hi', b.hi)))"""
+    return f"aggregate(sequence(0, 63), named_struct('lo', {lo}, 'hi', {hi}), (b, s) -> {step}).hi"
+
+
+def _fill(tops: DataFrame) -> DataFrame:
+    """``slots`` of the entries of ``top``, an array in rank order that holds all items wherever no item stays without.
+
+    The slots won are those above a level: the lowest whole level that leaves no more than ``target`` slots above it
+    gives all but the last few, and of the next slot of each item the best ones give these.  Items left with nothing
+    then take slots from the largest holders, found by the same search over how many slots a holder may keep.
+    """
+    above = "least(greatest(cast(ceil(x.ideal - {mid}) AS BIGINT), 0L), x.cap)"
+    held = "aggregate(at, 0L, (a, x) -> a + " + above + ")"
+    over = "aggregate(got, 0L, (a, x) -> a + greatest(x - {mid}, 0L))"
+    ideal = "cast(target AS DOUBLE) * x.need / total"
+    return (
+        tops.withColumn("at", F.expr(f"transform(top, x -> struct({ideal} AS ideal, least(x.cap, n_slots) AS cap))"))
+        .withColumn("level", F.expr(_bisect("-n_slots - 2L", "n_slots + 1L", f"{held} <= target")))
+        .withColumn("base", F.expr(f"transform(at, x -> {above.format(mid='level')})"))
+        .withColumn(
+            "next",
+            F.expr("filter(transform(at, (x, i) -> struct(base[i] - x.ideal AS miss, i AS i, base[i] < x.cap AS room)), x -> x.room)"),
+        )
+        .withColumn("last", F.expr("slice(sort_array(next), 1, cast(target - aggregate(base, 0L, (a, x) -> a + x) AS INT)).i"))
+        .withColumn("got", F.expr("transform(base, (x, i) -> x + if(array_contains(last, i), 1L, 0L))"))
+        .withColumn("empty", F.expr("cast(size(filter(got, x -> x = 0)) AS BIGINT)"))
+        .withColumn("most", F.expr(_bisect("0L", "n_slots + 1L", f"{over} <= empty")))
+        .withColumn("more", F.expr("cast(empty - " + over.format(mid="most") + " AS INT)"))
+        .withColumn("one_less", F.expr("slice(filter(transform(got, (x, i) -> if(x >= most AND most > 1, i, -1)), x -> x >= 0), 1, more)"))
+        .withColumn("filled", F.expr("transform(got, (x, i) -> if(x = 0, 1L, least(x, most) - if(array_contains(one_less, i), 1L, 0L)))"))
+        .withColumn("slots", F.expr("if(target < items, transform(top, (x, i) -> if(i < target, 1L, 0L)), filled)"))
+    )
+
+
+def proportional_slots(needs: DataFrame, group: list[str], n_slots: int | list[int]) -> DataFrame:
+    """Share ``n_slots`` over items by demand: ``(group, item, need, slots)``; a list of counts adds ``n_slots`` as a column.
+
+    ``needs`` has one row per item of a group.  An item never gets more slots
+    than it has stacks; each slot goes to the item furthest below its ideal,
+    ties to the larger demand, then the first name; items left with nothing
+    take the highest slots of the largest holders.  Without a demand there are
+    no slots.
+
+    Only the ``n_slots`` largest items of a group can get any, and a group where
+    every item gets one has no more than that.  So each task sends at most
+    ``n_slots`` rows of a group, and the shares are found on one bounded array.
     """
+    counts = [n_slots] if isinstance(n_slots, int) else sorted(set(n_slots))
     part = group or ["__g"]
     base = needs if group else needs.withColumn("__g", F.lit(0))
-    w = Window.partitionBy(*part)
-    pos = base.where(F.col("need") > 0)
     stacks = F.ceil(F.col("need") / STACK).cast("long")
-    # rank by demand, then name; only the first n_slots can matter when slots are scarce
-    info = (
-        pos.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("items"), F.sum("need").alias("total"), F.sum(stacks).alias("sum_cap"))
-        .withColumn("target", F.least(F.lit(n_slots).cast("long"), F.col("sum_cap")))
-    )
-    ranked = join_on(pos, info, part).withColumns(
-        {"i": F.row_number().over(w.orderBy(F.desc("need"), "item")), "cap": stacks}
-    )
-    scarce = F.col("target") < F.col("items")
-    few = ranked.where(scarce).select(
-        *part, "item", "need", F.when(F.col("i") <= F.col("target"), 1).otherwise(0).cast("long").alias("slots")
-    )
-    enough = ranked.where(~scarce)
-    ideal = F.col("target").cast("double") * F.col("need") / F.col("total")
-    top = F.least(F.col("cap"), F.lit(n_slots).cast("long"))
-    slots = enough.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), top - 1)))
-    order = w.orderBy(F.desc("score"), "i")
-    won = (
-        slots.withColumn("score", ideal - F.col("j"))
-        .withColumn("__r", F.row_number().over(order))
-        .where(F.col("__r") <= F.col("target"))
-    )
-    filled = join_on(enough, won.groupBy(*part, "i").agg(F.count(F.lit(1)).alias("got")), [*part, "i"], "left")
-    filled = filled.withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
-    filled = filled.withColumn("starved", F.sum(F.when(F.col("got") == 0, 1).otherwise(0)).over(w))
-    # levels 2.. of each holder are up for taking, highest level first
-    levels = filled.where((F.col("got") >= 2) & (F.col("starved") > 0)).withColumn(
-        "level", F.explode(F.sequence(F.lit(2).cast("long"), F.col("got")))
-    )
-    lost = (
-        levels.withColumn("__r", F.row_number().over(w.orderBy(F.desc("level"), "i")))
-        .where(F.col("__r") <= F.col("starved"))
-        .groupBy(*part, "i")
-        .agg(F.count(F.lit(1)).alias("lost"))
-    )
-    fixed = join_on(filled, lost, [*part, "i"], "left").select(
-        *part,
-        "item",
-        "need",
-        F.when(F.col("got") == 0, F.lit(1).cast("long"))
-        .otherwise(F.col("got") - F.coalesce("lost", F.lit(0)))
-        .alias("slots"),
+    rank = F.struct((-F.col("need")).alias("down"), F.col("item").alias("item"))
+    pos = base.where(F.col("need") > 0)
+    info = pos.groupBy(*part).agg(F.count(F.lit(1)).alias("items"), F.sum("need").alias("total"), F.sum(stacks).alias("sum_cap"))
+    nth = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("need"), "item"))
+    first = pos.withColumn("__n", nth).where(F.col("__n") <= counts[-1]).groupBy(*part)
+    tops = join_on(first.agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "need", stacks.alias("cap")))).alias("top")), info, part)
+    asked = tops.withColumn("n_slots", F.explode(F.array(*(F.lit(n).cast("long") for n in counts))))
+    shares = _fill(asked.withColumn("target", F.least("n_slots", "sum_cap")))
+    given = shares.select(*part, "n_slots", F.inline(F.arrays_zip("top", "slots"))).select(
+        *part, F.col("top.rank.item").alias("item"), F.col("top.need").alias("need"), "slots", "n_slots"
     )
-    none = base.where(F.col("need") <= 0).select(*part, "item", "need", F.lit(0).cast("long").alias("slots"))
-    out = few.union(fixed).union(none)
+    # whoever ranks behind the array gets nothing; most groups have no such items
+    end = tops.where(F.col("items") > counts[-1]).select(*part, F.element_at("top", -1)["rank"].alias("__end"))
+    behind = join_on(base, end, part, "left").where(~F.coalesce(F.col("need") > 0, F.lit(False)) | (rank > F.col("__end")))
+    zero = behind.withColumn("n_slots", F.explode(F.array(*(F.lit(n).cast("long") for n in counts))))
+    out = given.union(zero.select(*part, "item", "need", F.lit(0).cast("long").alias("slots"), "n_slots"))
+    out = out.withColumn("n_slots", F.col("n_slots").cast("int")) if not isinstance(n_slots, int) else out.drop("n_slots")
     return out if group else out.drop("__g")

@@ -208,8 +208,4 @@ def _(spark, d):
     grp = (F.col("user_id") % 6).cast("int")
     weight = F.when((kind == "view") & (grp == 1), 0).when(kind == "click", k * k).otherwise(k)
     needs = V.table(spark, d, "events").groupBy(grp.alias("grp"), kind.alias("item")).agg(F.sum(weight).alias("need"))
-    out = None
-    for n in (3, 12, 36):
-        rows = B.proportional_slots(needs, ["grp"], n).select(F.lit(n).alias("n_slots"), "grp", "item", "need", "slots")
-        out = rows if out is None else out.union(rows)
-    return out
+    return B.proportional_slots(needs, ["grp"], [3, 12, 36])

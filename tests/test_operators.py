@@ -258,6 +258,19 @@ def test_slots_are_the_best_ones(spark):
         got[r.g][r.item] = r.slots
     for g, slots in want.items():
         assert [got[g][f"i{i:02d}"] for i in range(len(slots))] == slots
+    several = B.proportional_slots(df, ["g"], [20, 1, 7, 900]).collect()
+    assert len(several) == 4 * len(rows)
+    for m in (1, 7, 20, 900):
+        found = {(r.g, r.item): r.slots for r in several if r.n_slots == m}
+        for g in want:
+            mine = sorted(((item, v) for h, item, v in rows if h == g))
+            assert [found[g, item] for item, _ in mine] == shares([v for _, v in mine], m), (g, m)
+
+
+def test_slots_without_group_or_demand(spark):
+    df = spark.createDataFrame([("a", 64), ("b", None), ("c", 0), (None, 200)], "item string, need long")
+    assert {(r["item"], r.slots) for r in B.proportional_slots(df, [], 3).collect()} == {("a", 1), ("b", 0), ("c", 0), (None, 2)}
+    assert B.proportional_slots(df.limit(0), [], [3, 4]).count() == 0
 
 
 @pytest.mark.parametrize("east,south", [(True, True), (False, False)])
