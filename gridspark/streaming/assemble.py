@@ -3,10 +3,17 @@
 State is kept per group and bounded: a group holds one entry per index (or
 offset) it expects.  Entries stay until their group is done, unless the caller
 lets them expire after ``ttl_ms``.
+
+Beside the pieces a group keeps the ranges of positions that have come in, merged
+as they come.  A batch reads these few numbers, adds its own pieces and leaves the
+others where they are; the pieces are read when the ranges say that nothing is
+missing.  The ranges may say too much (a piece that was replaced by a shorter one,
+or that expired), never too little, so the pieces have the last word.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +31,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 PIECE_KEY = StructType([StructField("at", LongType())])
 PIECE_VALUE = StructType([StructField("body", StringType())])
-SEEN = StructType([StructField("total", LongType()), StructField("done", IntegerType())])
+SEEN = StructType([StructField("total", LongType()), StructField("done", IntegerType()), StructField("covered", StringType())])
+
+Ranges = list[list[int]]
+
+
+def merged(ranges: Ranges) -> Ranges:
+    """Sorted ranges [from, to) without those that touch or overlap; an empty one stays where nothing touches it."""
+    out: Ranges = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
 
 
 class _Pieces(StatefulProcessor):
@@ -37,13 +57,21 @@ class _Pieces(StatefulProcessor):
         self.pieces = handle.getMapState("pieces", PIECE_KEY, PIECE_VALUE, self.ttl_ms)
         self.seen = handle.getValueState("seen", SEEN, self.ttl_ms)
 
+    def span(self, at: int, body: str) -> list[int]:
+        """The range of positions that a piece covers."""
+        raise NotImplementedError
+
+    def complete(self, covered: Ranges, total: int) -> bool:
+        """Whether pieces over these ranges can make up a payload."""
+        raise NotImplementedError
+
     def whole(self, pieces: dict[int, str], total: int) -> str | None:
         """The payload, if the pieces make up all of it."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.seen.exists()
-        total, done = self.seen.get() if known else (None, 0)
+        total, done, ranges = self.seen.get() if known else (None, 0, "[]")
         if done:
             return
         fresh: dict[int, str] = {}
@@ -53,30 +81,46 @@ class _Pieces(StatefulProcessor):
                     total = int(expected)
                 if pd.notna(at) and body is not None:
                     fresh[int(at)] = body
-        # state is read and written only for groups that outlive a batch
-        held = {k[0]: v[0] for k, v in self.pieces.iterator()} if known else {}
-        pieces = {**held, **fresh}
-        payload = self.whole(pieces, total) if total is not None else None
-        if payload is not None:
-            if held:
-                self.pieces.clear()
-            self.seen.update((total, 1))
-            yield pd.DataFrame([(*key, payload, len(pieces))], columns=[*self.keys, "payload", "pieces"])
-        else:
-            for at, body in fresh.items():
-                self.pieces.updateValue((at,), (body,))
-            self.seen.update((total, 0))
+        covered = merged([*json.loads(ranges), *(self.span(at, body) for at, body in fresh.items())])
+        if total is not None and self.complete(covered, total):
+            # state is read only for groups that outlive a batch, and only when they may be done
+            held = {k[0]: v[0] for k, v in self.pieces.iterator()} if known else {}
+            pieces = {**held, **fresh}
+            payload = self.whole(pieces, total)
+            if payload is not None:
+                if held:
+                    self.pieces.clear()
+                self.seen.update((total, 1, "[]"))
+                yield pd.DataFrame([(*key, payload, len(pieces))], columns=[*self.keys, "payload", "pieces"])
+                return
+            covered = merged([self.span(at, body) for at, body in pieces.items()])
+        for at, body in fresh.items():
+            self.pieces.updateValue((at,), (body,))
+        self.seen.update((total, 0, json.dumps(covered)))
 
     def close(self) -> None:
         pass
 
 
 class _ByIndex(_Pieces):
+    def span(self, at: int, body: str) -> list[int]:
+        return [at, at + 1]
+
+    def complete(self, covered: Ranges, total: int) -> bool:
+        return sum(hi - lo for lo, hi in covered) >= total
+
     def whole(self, pieces: dict[int, str], total: int) -> str | None:
         return "".join(pieces[at] for at in sorted(pieces)) if len(pieces) >= total else None
 
 
 class _ByOffset(_Pieces):
+    def span(self, at: int, body: str) -> list[int]:
+        return [at, at + len(body)]
+
+    def complete(self, covered: Ranges, total: int) -> bool:
+        # without any piece only an empty payload is complete
+        return total <= 0 if not covered else len(covered) == 1 and covered[0][0] <= 0 and covered[0][1] - covered[0][0] >= total
+
     def whole(self, pieces: dict[int, str], total: int) -> str | None:
         if sum(map(len, pieces.values())) < total:
             return None
