@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridspark.functions.payload import STACK
 from gridspark.operators.scan import join_on, row_number, rows_between, scan
@@ -42,14 +47,48 @@ def plan_vs_actual(planned: DataFrame, actual: DataFrame, keys: list[str], floor
     return both.select(*keys, "real_top", F.col("w.top").alias("wanted_top"), finding.alias("finding"))
 
 
+def _heads(cls: str, n: int):
+    """From rows sorted by class: the first ``n`` of each class, and how many it had on the first of them (0 on the others)."""
+
+    def close(rows: list[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+        for i, part in enumerate(rows):
+            held = np.zeros(part.num_rows, np.int64)
+            held[0] = count if i == 0 else 0
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held)], [*part.schema.names, "__n"])
+
+    def run(batches):
+        rows, count, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(cls).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                here = batch.column(cls).slice(lo, 1)
+                if last is None or not here.equals(last):
+                    yield from close(rows, count)
+                    rows, count, last = [], 0, here
+                if count < n:
+                    rows.append(batch.slice(lo, min(hi - lo, n - count)))
+                count += hi - lo
+        yield from close(rows, count)
+
+    return run
+
+
 def samples_per_class(findings: DataFrame, cls: str, order: list[str], n: int = 3) -> DataFrame:
-    """The first ``n`` rows per class, with the class count.
+    """The first ``n`` rows per class (``n`` of at least 1) as ``sample_no`` 1, 2, ..., with the ``class_count``.
 
-    The rank filter limits every task to ``n`` rows per class before the shuffle.
+    Each task sorts its rows and sends ``n`` rows per class, the first of them with the number of rows it stands for; so
+    rows and counts come from one pass and one small shuffle.  Rows without a class are a class of their own.
     """
-    counts = findings.groupBy(cls).agg(F.count(F.lit(1)).alias("class_count"))
-    ranked = findings.withColumn("sample_no", F.row_number().over(Window.partitionBy(cls).orderBy(*order)))
-    return ranked.where(F.col("sample_no") <= n).join(counts, cls)
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in findings.schema.fields), StructField("__n", LongType())])
+    heads = findings.sortWithinPartitions(cls, *order).mapInArrow(_heads(cls, n), schema)
+    whole = Window.partitionBy(cls)
+    ranked = heads.withColumns(
+        {"sample_no": F.row_number().over(whole.orderBy(*order)), "class_count": F.sum("__n").over(whole)}
+    )
+    return ranked.where(F.col("sample_no") <= n).drop("__n")
 
 
 def unbuilt(planned: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,11 +120,11 @@ def latest_stock(readings: DataFrame, loc: str = "loc", seq: str = "seq") -> Dat
     """What was last seen at each place; an empty reading forgets the place.
 
     The rows of one ``seq`` are one reading, and all its items are kept.  Rows
-    without a ``seq`` are the reading of a place that has no other.
+    without a ``seq`` are the reading of a place that has no other.  The rank
+    filter lets every task send only the newest reading it has of a place.
     """
-    last = readings.groupBy(loc).agg(F.max(seq).alias("__last"))
-    newest = join_on(readings, last, [loc]).where(F.col(seq).eqNullSafe(F.col("__last")))
-    return newest.where(F.col("n") > 0).select(loc, "item", "n")
+    newest = F.rank().over(Window.partitionBy(loc).orderBy(F.col(seq).desc_nulls_last()))
+    return readings.withColumn("__age", newest).where((F.col("__age") == 1) & (F.col("n") > 0)).select(loc, "item", "n")
 
 
 def stock_has_all(needs: DataFrame, stock: DataFrame, group: list[str]) -> DataFrame:

@@ -267,6 +267,23 @@ def test_slots_are_the_best_ones(spark):
             assert [found[g, item] for item, _ in mine] == shares([v for _, v in mine], m), (g, m)
 
 
+@pytest.mark.parametrize("parts,rows_a_batch", [(1, 7), (9, 10_000)])
+def test_samples_per_class(spark, parts, rows_a_batch):
+    rows = [(rnd.choice(["a", "b", None, "once"[: rnd.randrange(5)]]), rnd.choice([None, float("nan"), rnd.random()]), i) for i in range(300)] + [("single", 1.0, 300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        df = spark.createDataFrame(rows, "c string, o double, i int").repartition(parts)
+        got = B.samples_per_class(df, "c", ["o", "i"], 4).collect()
+        assert B.samples_per_class(df.limit(0), "c", ["o", "i"], 4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for c in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] != r[1], r[1] if r[1] == r[1] and r[1] is not None else 0, r[2]))
+        want |= {(c, r[2], k + 1, len(mine)) for k, r in enumerate(mine[:4])}
+    assert {(r.c, r.i, r.sample_no, r.class_count) for r in got} == want and len(got) == len(want)
+
+
 def test_slots_without_group_or_demand(spark):
     df = spark.createDataFrame([("a", 64), ("b", None), ("c", 0), (None, 200)], "item string, need long")
     assert {(r["item"], r.slots) for r in B.proportional_slots(df, [], 3).collect()} == {("a", 1), ("b", 0), ("c", 0), (None, 2)}
