@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import utf8_views, worker_object
+from gridspark.llm.text import small_batches, utf8_views, worker_object
 from gridspark.llm.token_count import Pieces
 
 
@@ -74,24 +74,14 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str):
     return tokenizer
 
 
-class Codec:
-    """Encoder and byte table of one rank file."""
+class Table:
+    """The byte string of each id of one rank file: all that decoding and offsets need."""
 
-    def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]):
         self.table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
         self.sizes = np.array([len(t) for t in self.table], np.int64)
-        self.tokenizer = build_tokenizer(ranks, pattern)
-        self.pieces = Pieces(self._packed)
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.pieces(text))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -104,6 +94,23 @@ class Codec:
         return first, begun[edge[1:]]
 
 
+class Codec(Table):
+    """Encoder and byte table of one rank file."""
+
+    def __init__(self, path: str, pattern: str):
+        ranks = read_ranks(path)
+        super().__init__(ranks)
+        self.tokenizer = build_tokenizer(ranks, pattern)
+        self.pieces = Pieces(self._packed)
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.pieces(text))
+
+
 def text_pieces(tokens: Iterable[bytes]) -> Iterator[str]:
     """The text of a run of tokens; an unfinished character waits for its other bytes, stray bytes become U+FFFD."""
     import codecs
@@ -120,19 +127,29 @@ def _codec(path: str | None, pattern: str | None) -> Codec:
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit); with ``offsets`` also ``starts`` and ``ends`` in characters."""
+    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit); with ``offsets`` also ``starts`` and ``ends`` in characters,
+    with ``decoded`` also the bytes that the ids decode to, in the same stage."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
     schema = "doc_id long, n_tokens long, ids binary"
     if offsets:
         fields += [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
         schema += ", starts array<long>, ends array<long>"
+    if decoded:
+        fields.append(("decoded", pa.binary()))
+        schema += ", decoded binary"
     out = pa.schema(fields)
 
     def run(batches):
         codec = _codec(path, pattern)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             ids, spans = [], []
             for buf in utf8_views(batch.column("text")):
                 packed = codec.encode(buf.tobytes().decode("utf-8", "replace"))
@@ -142,20 +159,24 @@ def encode(
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if offsets:
                 columns += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
+            if decoded:
+                columns.append(pa.array(map(codec.decode, ids), pa.binary()))
             yield pa.record_batch(columns, schema=out)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds ``decoded``, the bytes of ``ids``, to ``doc_id, n_tokens, ids``."""
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches):
-        codec = _codec(path, pattern)
+        # a worker of its own, beside the one that encodes: it needs no tokenizer
+        file = path or default_path()
+        table = worker_object(f"table-{file}", lambda: Table(read_ranks(file)))
         for batch in batches:
-            decoded = [codec.decode(x.as_py() or b"") for x in batch.column("ids")]
+            decoded = [table.decode(x.as_py() or b"") for x in batch.column("ids")]
             yield pa.record_batch([*(batch.column(f.name) for f in list(out)[:3]), pa.array(decoded, pa.binary())], schema=out)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

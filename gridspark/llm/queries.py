@@ -45,7 +45,7 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = byte_bpe.decode(byte_bpe.encode(read(spark, folder, "documents")))
+    coded = byte_bpe.encode(read(spark, folder, "documents"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

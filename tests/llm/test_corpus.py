@@ -85,7 +85,9 @@ def test_byte_bpe_matches_ranks(spark, odd, none):
             at += len(token)
             assert b == sum((x & 0xC0) != 0x80 for x in text.encode()[:at])
         assert "".join(byte_bpe.text_pieces(tokens)) == text
-    got = byte_bpe.decode(byte_bpe.encode(odd, offsets=True)).collect()
+    both = byte_bpe.encode(odd, offsets=True, decoded=True)
+    assert Counter(bytes(r.decoded) for r in both.collect()) == Counter((r.text or "").encode() for r in odd.collect())
+    got = byte_bpe.decode(both).collect()
     want = Counter((r.doc_id, bytes(np.array(exact.encode_ordinary(r.text or ""), "<u4").tobytes()), (r.text or "").encode()) for r in odd.collect())
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == want
     assert byte_bpe.encode(none).count() == 0
