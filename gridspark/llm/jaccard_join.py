@@ -15,11 +15,15 @@ smallest node is compared with the others; afterwards only pairs in different
 groups matter, and of those the nodes of rank 1 to 63, then 64 to 4095, ... of
 the bucket are compared with the later ones, until every bucket lies in one
 group or has had all its pairs.  So no link between groups is lost and a bucket of near copies
-costs one comparison per node.  The join that meets such nodes emits only pairs
+costs one comparison per node.  Tokens of one passage fill buckets of the very
+same nodes; of such buckets one stays, found by their extremes, sizes and two
+sums of node hashes.  The join that meets nodes of a bucket emits only pairs
 that can link by their sizes and parities: each token flips one bit of a set's
 PARITY_BITS, so two sets differ in at least as many tokens as their bits
-differ.  Pairs are then refuted on their prefixes where these already differ
-too much; the rest is compared on the whole sets.
+differ.  Sets that may differ in more tokens than these bits can show have a
+second parity, about four bits for each such token and 2^WIDE_BITS at most; of
+two widths the wider one is folded.  Pairs are then refuted on their prefixes
+where these already differ too much; the rest is compared on the whole sets.
 
 Cases: null and empty texts have an empty set, are linked with nothing and keep
 their own id; a text of fewer words than n is one token.  Rows that repeat an
@@ -36,11 +40,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.components import connected
-from gridspark.llm.text import mix, small_arrow_batches, small_batches, utf8_views, window_hashes, word_hashes, word_spans
+from gridspark.llm.text import may_hold, mix, small_arrow_batches, small_batches, utf8_views, window_hashes, word_hashes, word_spans
 from gridspark.session import cut_lineage
 
 SKETCH_BITS = 22
@@ -49,6 +53,7 @@ WANTED_BITS = 24
 COMBINATION = 2
 STEP = 64
 PARITY_BITS = 512
+WIDE_BITS = 16
 _U = np.uint64
 
 
@@ -145,12 +150,18 @@ def _frequent_bits(sketches: DataFrame, total: int) -> np.ndarray:
     return flags.ravel()
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
     """Bit i tells whether an odd number of tokens fall on i, in words of 64 bits."""
-    odd = np.bincount((tokens % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    odd = np.bincount((tokens % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def wide_parity(tokens: np.ndarray, rule: Rule) -> np.ndarray | None:
+    """The parity of a set for which PARITY_BITS are too few to tell a stranger; None for others."""
+    bits = 1 << min(WIDE_BITS, (4 * rule.errors(len(tokens))).bit_length())
+    return parity(tokens, bits) if bits > PARITY_BITS else None
+
+
 def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """What a set is indexed under, and its first tokens in the common order."""
     n = len(tokens)
@@ -167,9 +178,9 @@ def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple
 
 
 def _prefixes(texts: DataFrame, rule: Rule, bits) -> DataFrame:
-    """``doc_id, digest, n, tokens, first, parity``: index tokens, the leading part of the ordered set and its parities."""
+    """``doc_id, digest, n, tokens, first, parity, wide``: index tokens, the leading part of the ordered set and its parities."""
     longs = pa.list_(pa.int64())
-    names = (("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", longs), ("first", pa.binary()), ("parity", longs))
+    names = (("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", longs), ("first", pa.binary()), ("parity", longs), ("wide", longs))
     out = pa.schema(names)
 
     def run(batches):
@@ -180,11 +191,12 @@ def _prefixes(texts: DataFrame, rule: Rule, bits) -> DataFrame:
                 tokens = shingles(buf, rule.words)
                 if len(tokens):
                     index, first = prefix_tokens(tokens, frequent, rule)
-                    rows.append((doc, _digest(tokens), len(tokens), index.view(np.int64), _heads(first).tobytes(), parity(tokens)))
+                    known = doc, _digest(tokens), len(tokens), np.unique(index).view(np.int64)
+                    rows.append((*known, _heads(first).tobytes(), parity(tokens), wide_parity(tokens, rule)))
             columns = list(zip(*rows)) if rows else [[]] * len(out)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, out)], schema=out)
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, n long, tokens array<long>, first binary, parity array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest binary, n long, tokens array<long>, first binary, parity array<long>, wide array<long>")
 
 
 def _wanted_bits(ids: DataFrame) -> np.ndarray:
@@ -247,6 +259,9 @@ def _possible(pairs: DataFrame, firsts: DataFrame, rule: Rule, bits) -> DataFram
             keep = pa.array([not _refuted(*row, frequent, rule) for row in zip(*columns)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
+    # only the leading tokens of nodes that may be in a pair are shuffled
+    ends = pairs.select(F.col("a").cast("string").cast("binary").alias("end")).union(pairs.select(F.col("b").cast("string").cast("binary")))
+    firsts = may_hold(firsts.withColumn("end", F.col("node").cast("string").cast("binary")), ends, "end", "met").where("met")
     side_a = firsts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"))
     side_b = firsts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("first").alias("first_b"))
     fits = (100 * F.col("n_a") >= rule.percent * F.col("n_b")) & (100 * F.col("n_b") >= rule.percent * F.col("n_a"))
@@ -273,7 +288,7 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, n, root`` per row; rows of one root are linked, a row without words has none."""
+    """``doc_id, text_key, n, root, lowest`` per row; rows of one root are linked, the smallest id there is ``lowest``; a row without words has none."""
     with small_arrow_batches(docs.sparkSession):  # every stage that reads texts runs in here
         return _grouped(docs, rule, id_col, text_col)
 
@@ -292,20 +307,24 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     # the id without its nulls, so that the join's partitions serve to take each node once, however often its row is repeated
     place = [F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id"), "digest"]
-    found = _prefixes(texts, rule, bits).select(*place, "n", "tokens", "first", "parity").join(nodes.select("node", *place), ["id0", "no_id", "digest"])
+    found = _prefixes(texts, rule, bits).select(*place, "n", "tokens", "first", "parity", "wide").join(nodes.select("node", *place), ["id0", "no_id", "digest"])
     found = found.dropDuplicates(["id0", "no_id", "digest"])
-    prefixes = cut_lineage(found.select("node", "n", "tokens", "first", "parity"), "jaccard-prefixes")
+    prefixes = cut_lineage(found.select("node", "n", "tokens", "first", "parity", "wide"), "jaccard-prefixes")
 
     # dealt once by token: the bounds of a bucket and its rows come from the same exchange
     index = prefixes.select("node", F.explode("tokens").alias("token")).repartition("token")
-    buckets = index.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
-    shared = cut_lineage(index.join(buckets.where("hub < top"), "token").select("token", "node", "hub"), "jaccard-buckets")
+    marks = F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark1")
+    buckets = index.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("size"), *marks)
+    # of the buckets that hold the same nodes one stays
+    buckets = buckets.where("hub < top").groupBy("hub", "top", "size", "mark", "mark1").agg(F.min("token").alias("token"))
+    shared = cut_lineage(index.join(buckets, "token").select("token", "node", "hub"), "jaccard-buckets")
     pairs = shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     firsts = prefixes.select("node", "n", "first")
-    traits = prefixes.select("node", "n", "parity")
+    traits = prefixes.select("node", "n", "parity", "wide")
     with_node = nodes.select("node", "doc_id", "digest")
 
     def verified(pairs: DataFrame) -> DataFrame | None:
+        pairs = cut_lineage(pairs, "jaccard-pairs")
         possible = cut_lineage(_possible(pairs, firsts, rule, bits), "jaccard-possible")
         if possible.isEmpty():
             return None
@@ -334,16 +353,16 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
             break
         pairs = _between(open_rows, low, high, rule)
 
-    root = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return members.join(root, "digest", "left").select("doc_id", "text_key", "n", "root")
+    rooted = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    rooted = rooted.join(lowest, "root").select("digest", "root", "lowest")
+    return members.join(rooted, "digest", "left").select("doc_id", "text_key", "n", "root", "lowest")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row; the component is the smallest id reachable by links."""
-    rows = cut_lineage(jaccard_groups(docs, rule, id_col, text_col), "jaccard-rows")
-    lowest = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(lowest, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = jaccard_groups(docs, rule, id_col, text_col)
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
@@ -379,14 +398,32 @@ def _open(shared: DataFrame, groups: DataFrame, traits: DataFrame, done: int) ->
     return None if ranked.isEmpty() else ranked
 
 
+def _wide_difference(x: str, y: str) -> Column:
+    """Bits in which two wide parities differ, the wider one folded to the other's width; null if one is missing."""
+    words = F.least(F.size(x), F.size(y))
+
+    def folded(name: str) -> Column:
+        def word(i: Column) -> Column:
+            places = F.sequence(i, F.size(name) - 1, words)
+            return F.aggregate(places, F.lit(0).cast("long"), lambda total, j: total.bitwiseXOR(F.get(F.col(name), j)))
+
+        return F.when(F.size(name) == words, F.col(name)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), word))
+
+    odd = F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    counted = F.aggregate(odd, F.lit(0), lambda total, bits: total + bits)
+    return F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), counted)
+
+
 def _between(rows: DataFrame, low: int, high: int, rule: Rule) -> DataFrame:
     """Distinct pairs of different groups that can link, with the bucket's nodes of rank ``low`` to ``high`` - 1 on one side."""
     rows = rows.withColumn("errors", F.expr(f"({100 - rule.percent} * ((100 * n) div {rule.percent})) div 100"))
     lead = rows.where((F.col("rank") >= low) & (F.col("rank") < high))
-    lead = lead.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "rank", "n", "parity", "errors")))
+    lead = lead.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "rank", "n", "parity", "wide", "errors")))
     uncompared = (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a"))
     fits = (100 * F.col("n") >= rule.percent * F.col("n_a")) & (100 * F.col("n_a") >= rule.percent * F.col("n"))
     words = range(PARITY_BITS // 64)
     differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_a")[i])) for i in words), F.lit(0))
-    both = rows.join(lead, "token").where(uncompared & fits & (differ <= F.least("errors", "errors_a")))
+    allowed = F.least("errors", "errors_a")
+    stranger = F.coalesce(_wide_difference("wide", "wide_a") > allowed, F.lit(False))
+    both = rows.join(lead, "token").where(uncompared & fits & (differ <= allowed) & ~stranger)
     return both.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()

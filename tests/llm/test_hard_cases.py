@@ -7,10 +7,12 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.llm import jaccard_join, mixing, pii_tagger, token_count, warc
+from tests.llm.test_corpus import plain_groups
 
 MAGIC = "WARC/1.0"
 
@@ -95,3 +97,44 @@ def test_repeated_rows_cost_one_pair(spark, monkeypatch):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert seen and max(seen) == 2
     assert Counter((r.doc_id, r.component_id) for r in got) == {(None, 5): 1000, (5, 5): 1000}
+
+
+def test_wide_parities(spark):
+    """Sets of any two sizes differ in at least as many tokens as their wide parities in bits, whichever is folded."""
+    rng = np.random.default_rng(9)
+    rule = jaccard_join.Rule()
+    rows, differences = [], []
+    for n, m in ((300, 5000), (1700, 1700), (5000, 5600), (5600, 5000), (9000, 40000)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        near = np.unique(np.concatenate([a[rng.random(len(a)) > 0.04], rng.integers(0, 1 << 63, 20).astype(np.uint64)]))
+        far = np.unique(rng.integers(0, 1 << 63, m).astype(np.uint64))
+        for b in (near, far):
+            wide = [jaccard_join.wide_parity(x, rule) for x in (a, b)]
+            rows.append((len(rows), *(None if w is None else w.tolist() for w in wide)))
+            differences.append((len(np.setxor1d(a, b)), min(rule.errors(len(a)), rule.errors(len(b)))))
+    assert jaccard_join.wide_parity(np.arange(400, dtype=np.uint64), rule) is None
+    table = spark.createDataFrame(rows, "k int, x array<long>, y array<long>")
+    for k, bits in table.select("k", jaccard_join._wide_difference("x", "y")).collect():
+        true, allowed = differences[k]
+        if k < 2:
+            assert bits is None
+        elif k % 2:
+            assert allowed < bits <= true
+        else:
+            assert bits <= min(true, allowed)
+
+
+def test_passages_of_several_buckets_lose_no_link(spark):
+    """Long texts that share passages, some nearly equal: the buckets of a passage's tokens hold the same nodes and one of them is enough."""
+    rng = random.Random(12)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for i in range(36):
+        own = [f"w{rng.randrange(100000)}" for _ in range(rng.choice((20, 300, 1800)))]
+        text = own + [w for p in passages if rng.random() < 0.6 for w in p]
+        rows.append((2 * i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(text[:-5] + ["changed"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert Counter(map(tuple, got)) == plain_groups(rows, 4, 85)
