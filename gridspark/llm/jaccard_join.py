@@ -23,7 +23,8 @@ PARITY_BITS, so two sets differ in at least as many tokens as their bits
 differ.  Sets that may differ in more tokens than these bits can show have a
 second parity, about four bits for each such token and 2^WIDE_BITS at most; of
 two widths the wider one is folded.  Pairs are then refuted on their prefixes
-where these already differ too much; the rest is compared on the whole sets.
+where these already differ too much; the rest is compared on the whole sets,
+each of which meets the smaller node of its pairs in slices of about SLICE nodes.
 
 Cases: null and empty texts have an empty set, are linked with nothing and keep
 their own id; a text of fewer words than n is one token.  Rows that repeat an
@@ -54,6 +55,7 @@ COMBINATION = 2
 STEP = 64
 PARITY_BITS = 512
 WIDE_BITS = 16
+SLICE = 512
 _U = np.uint64
 
 
@@ -268,23 +270,37 @@ def _possible(pairs: DataFrame, firsts: DataFrame, rule: Rule, bits) -> DataFram
     return pairs.join(side_a, "a").join(side_b, "b").where(fits).mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets link."""
+def _sends(pairs: DataFrame) -> DataFrame:
+    """``node, a, slice``: the meetings of each node of the pairs ``a, b`` (a < b); about SLICE nodes meet ``a`` in a slice, to which ``a`` itself goes too."""
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    dealt = pairs.join(slices, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"))
+    leads = slices.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    return dealt.union(leads)
+
+
+def _links(meetings: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets link, from rows ``a, slice, node, set``."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        at, lead = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= rule.percent * (len(a) + len(b) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=out)
-
-    side_a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    side_b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(side_a, "a").join(side_b, "b").mapInArrow(run, "a long, b long")
+            found = []
+            for a, part, node, data in zip(batch.column("a").to_pylist(), batch.column("slice").to_pylist(), batch.column("node").to_pylist(), batch.column("set")):
+                tokens = np.frombuffer(data.as_buffer(), _U)
+                if node == a:  # the smallest node of its slices, so it comes first
+                    at, lead = (a, part), tokens.copy()
+                    continue
+                if at != (a, part):
+                    raise RuntimeError("a slice came without its first set")
+                shared = len(np.intersect1d(lead, tokens, assume_unique=True))
+                if 100 * shared >= rule.percent * (len(lead) + len(tokens) - shared):
+                    found.append((a, node))
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], schema=out)
+
+    dealt = meetings.repartition("a", "slice").sortWithinPartitions("a", "slice", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,13 +344,12 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
         possible = cut_lineage(_possible(pairs, firsts, rule, bits), "jaccard-possible")
         if possible.isEmpty():
             return None
-        wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct().join(with_node, "node")
-        wanted = cut_lineage(wanted, "jaccard-wanted")
-        slots = spark.sparkContext.broadcast(_wanted_bits(wanted.select("doc_id")).tobytes())
-        chosen = _sets(texts, rule, slots)
-        match = F.col("s.digest").eqNullSafe(F.col("w.digest")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-        sets = chosen.alias("s").join(wanted.alias("w"), match).select("w.node", "s.set").dropDuplicates(["node"])
-        return cut_lineage(_links(possible, cut_lineage(sets, "jaccard-sets"), rule), "jaccard-links")
+        sends = cut_lineage(_sends(possible).join(with_node, "node"), "jaccard-sends")
+        slots = spark.sparkContext.broadcast(_wanted_bits(sends.select("doc_id")).tobytes())
+        # one exchange by id and digest serves to take each set once and to meet its sends, one brings a slice together
+        chosen = _sets(texts, rule, slots).select(*place, "set").dropDuplicates(["id0", "no_id", "digest"])
+        meetings = chosen.join(sends.select("node", "a", "slice", *place), ["id0", "no_id", "digest"])
+        return cut_lineage(_links(meetings.select("a", "slice", "node", "set"), rule), "jaccard-links")
 
     groups = nodes.select("node", F.col("node").alias("root")).limit(0)
     low, high = 0, 1

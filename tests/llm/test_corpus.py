@@ -207,6 +207,7 @@ def test_parities_bound_the_difference():
 def test_jaccard_later_rounds(spark, monkeypatch):
     """Texts that share a long passage fall into the same buckets without being linked: rounds of small steps find every link."""
     monkeypatch.setattr(jaccard_join, "STEP", 3)
+    monkeypatch.setattr(jaccard_join, "SLICE", 4)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join(passage + [f"q{rng.randrange(12)}" for _ in range(rng.randrange(4, 16))])) for i in range(60)]
